@@ -51,5 +51,57 @@ FROM j
 """
 
 
+_OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(13, len(ws)) AS k, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS t
+        FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM win),
+spot AS (SELECT rid, k, i, array_to_string(ws[i:i + k - 1], ' ') AS t
+       FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
+hits AS (SELECT rid, spot.k, i, item FROM spot JOIN win ON spot.k = win.k AND spot.t = win.t),
+words AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT rid, i, k FROM hits)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def _op4() -> str:
+    """Row by row cumulative sums instead of ranges; the parameters as in mixing."""
+    from . import mixing as m
+
+    domains = " ".join(f"WHEN '{s}' THEN '{d}'" for s, d in m.DOMAINS.items())
+    weights = ", ".join(f"('{'/'.join(k)}', {v})" for k, v in m.WEIGHTS.items())
+    weight = lambda path, wild: f"coalesce((SELECT w FROM weights WHERE p = {path}), (SELECT w FROM weights WHERE p = {wild}), 1)"
+
+    def level(name: str, children: str, parent: str, label: str) -> str:
+        return f"""
+{name}_r AS (SELECT *, coalesce(sum(capacity) OVER (PARTITION BY {parent} ORDER BY CAST(capacity AS DOUBLE) / w, {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (PARTITION BY {parent} ORDER BY CAST(capacity AS DOUBLE) / w, {label} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM ({children})),
+{name}_f AS (SELECT *, capacity * ahead <= (total - before) * w AS isfull FROM {name}_r),
+{name} AS (SELECT *, CASE WHEN isfull THEN capacity ELSE least(capacity, ((total - coalesce(sum(capacity) FILTER (isfull) OVER (PARTITION BY {parent}), 0)) * w)
+  // sum(w) FILTER (NOT isfull) OVER (PARTITION BY {parent})) END AS budget FROM {name}_f)"""
+
+    return f"""
+WITH weights(p, w) AS (VALUES {weights}),
+d AS (SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS src, CASE source {domains} ELSE '{m.DEFAULT_DOMAIN}' END AS domain,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, language, src, sum(n_tokens) AS tokens, sum(n_tokens) * {m.MAX_EPOCHS} AS capacity FROM d GROUP BY ALL),
+la AS (SELECT domain, language, sum(capacity) AS capacity FROM leaf GROUP BY ALL),
+dm AS (SELECT domain, sum(capacity) AS capacity FROM la GROUP BY ALL),
+tot AS (SELECT least(sum(tokens) * {m.SHARE[0]} // {m.SHARE[1]}, sum(capacity)) AS total FROM leaf),
+{level("bd", f"SELECT dm.*, total, {weight('dm.domain', "'*'")} AS w FROM dm, tot", "1", "domain")},
+{level("bl", f"SELECT la.*, bd.budget AS total, {weight("la.domain || '/' || la.language", "'*/' || la.language")} AS w FROM la JOIN bd USING (domain)", "domain", "language")},
+{level("bs", f"SELECT leaf.*, bl.budget AS total, {weight("leaf.domain || '/' || leaf.language || '/' || leaf.src", "'*/' || leaf.language || '/' || leaf.src")} AS w FROM leaf JOIN bl USING (domain, language)", "domain, language", "src")},
+b AS (SELECT domain, language, src, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM bs),
+o AS (SELECT d.*, budget, whole, rest, CAST('0x' || substr(md5('{m.SEED}:' || (whole + 1)::BIGINT || ':' || doc_id), 1, 15) AS BIGINT) AS key FROM d JOIN b USING (domain, language, src)),
+c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, src ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS until FROM o)
+SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, domain, language, src, n_tokens, CAST(budget AS BIGINT) AS leaf_budget
+FROM (SELECT *, unnest(range(1, (whole + CASE WHEN rest > 0 AND until < rest THEN 1 ELSE 0 END)::BIGINT + 1)) AS epoch FROM c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2, "op10_quality_rules": _OP10}
+    return {"op2_url_filter": _OP2, "op3_decontaminate": _OP3, "op4_mix_sources": _op4(), "op10_quality_rules": _OP10}

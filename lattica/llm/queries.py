@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_rules, simhash, token_count, token_file, url_filter
+from . import decontaminate, license_scan, mixing, quality_rules, simhash, token_count, token_file, url_filter
 from .common import table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -26,6 +26,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), BLOCK, ALLOW)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -43,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op7_token_count, op8_token_file, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_decontaminate, op4_mix_sources, op7_token_count, op8_token_file, op9_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
