@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, quality_model, quality_rules, simhash, token_count, token_file, url_filter
+from . import decontaminate, license_scan, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_count, token_file, url_filter
 from .common import table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -34,6 +34,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_decontaminate, op4_mix_sources, op6_quality_model, op7_token_count, op8_token_file, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_decontaminate, op4_mix_sources, op5_suffix_dedup, op6_quality_model, op7_token_count, op8_token_file, op9_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
