@@ -18,6 +18,7 @@ by a parallel prefix scan (log2 of the number of chunks rounds).
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -112,6 +113,12 @@ def prefix_scan(maps: list[StateMap], count) -> list[StateMap]:
     return maps
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> "Counter":
+    """The counter of this process: Python workers serve many tasks, and keep what they have compiled."""
+    return Counter(path)
+
+
 class Counter:
     """Counts tokens of whole texts."""
 
@@ -175,7 +182,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, id_c
     schema = StructType([docs.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())])
 
     def make():
-        counter = Counter(vocabulary_path)
+        counter = counter_of(vocabulary_path)
 
         def count(ids, texts):
             tokens = counter.tokens_of(texts)

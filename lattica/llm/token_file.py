@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import fresh_path, id_and_text, map_columns, materialize
-from .vocabulary import Vocabulary
+from .vocabulary import load
 
 SKIPPABLE, SEEK_MAGIC, TABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1, b"LTDOCS01"
 #: Uncompressed bytes of a frame at most; the format's sizes have 32 bits.
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary_path: str, end_i
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def make():
-        vocabulary, state = Vocabulary(vocabulary_path), {}
+        vocabulary, state = load(vocabulary_path), {}
         shard = TaskContext.get().partitionId()
 
         def write(ids, texts):

@@ -12,6 +12,7 @@ as it stands.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -28,7 +29,7 @@ _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r0-9{_L
 #: What the compilation relies on; a file that differs is encoded by the library text by text.
 _EXPECTED_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries that a worker keeps; beyond, it starts anew.
-MAX_ENTRIES = 800_000
+MAX_ENTRIES = 600_000
 
 
 class Vocabulary:
@@ -111,3 +112,9 @@ class Vocabulary:
             else:
                 out.append(b"".join(map(get, c)))
         return out
+
+
+@functools.lru_cache(maxsize=1)
+def load(path: str) -> Vocabulary:
+    """The vocabulary of this process: Python workers serve many tasks, and keep what they have compiled."""
+    return Vocabulary(path)
