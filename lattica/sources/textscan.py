@@ -114,7 +114,7 @@ def route(path: Column, content: Column | None = None) -> Column:
     by_name = F.when(base.isin("Dockerfile", "Makefile"), "config")
     out = F.coalesce(by_ext, by_name)
     if content is not None:
-        shebang = F.regexp_extract(S.text(content), r"^#!\s*\S*?(python|node|ruby|php|bash|perl|sh)\d*\b", 1)
+        shebang = F.regexp_extract(S.text(content), r"^#![^\n]*?\b(python|node|ruby|php|bash|perl|sh)\d*\b", 1)
         out = F.coalesce(out, F.when(shebang == "node", "javascript").when(shebang == "sh", "bash").when(shebang != "", shebang))
     return F.coalesce(out, F.lit(""))
 
