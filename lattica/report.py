@@ -34,6 +34,13 @@ def sarif(findings: DataFrame, tool: str = "lattica") -> DataFrame:
     return results.crossJoin(F.broadcast(rules)).select(body.alias("sarif"))  # one row each
 
 
+def graph_json(functions: DataFrame, calls: DataFrame, findings: DataFrame) -> DataFrame:
+    """(kind, json) rows of a code map: functions (fn, loc), call edges (caller, callee), findings with the functions they pass (fp, rule_id, fns)."""
+    f = functions.select(F.lit("function").alias("kind"), F.to_json(F.struct("fn", "loc")).alias("json"))
+    c = calls.select(F.lit("call").alias("kind"), F.to_json(F.struct("caller", "callee")).alias("json"))
+    return f.union(c).union(findings.select(F.lit("finding").alias("kind"), F.to_json(F.struct("fp", "rule_id", "fns")).alias("json")))
+
+
 def validate_sarif(text: str) -> list[str]:
     """What a document lacks; empty if it is sound."""
     wrong = []
