@@ -83,7 +83,7 @@ def _(spark, d):
     return solve.witness_parents(views.flows(spark, d).where("dst like 'S:%'"), live)
 
 
-@query("witness_path")
+@query("witness_path", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH}, w AS (SELECT f.dst AS node_id, min(f.src) AS parent FROM flows f JOIN d ON d.node_id = f.src WHERE f.dst LIKE 'S:%' AND f.src NOT IN (SELECT node_id FROM kills) GROUP BY f.dst) SELECT w.node_id, 'C:' || o_custkey || ' -> ' || parent || ' -> ' || w.node_id AS path FROM w JOIN orders ON parent = 'O:' || o_orderkey WHERE w.node_id IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal < 2000)")
 def _(spark, d):
     live = materialize(reached(spark, d).join(kills(spark, d), "node_id", "left_anti"), "live")
     parents = materialize(solve.witness_parents(views.flows(spark, d), live), "parents")
