@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import fresh_path, id_and_text, materialize
 from .suffix_array import MOST, adjacent_prefixes, suffix_array
@@ -118,8 +118,16 @@ def contexts(raw: bytes, counts: dict[int, int], length: int, gram: int) -> Iter
                 yield key, (p - s) * more + xxhash.xxh64_intdigest(one) % more, s, one
 
 
-def repeated_starts(group: list[list[tuple[bytes, int, bytes]]], length: int) -> Iterator[tuple[bytes, int, int]]:
-    """(text key, first byte, end) of covered stretches. ``group``: for each anchor its (text key, first start, context)."""
+def gathered(found: Iterator[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, list[int], bytes]]:
+    """A text's contexts with the first starts of all its places: a text that repeats itself sends each context once."""
+    places: dict[tuple[int, int, bytes], list[int]] = {}
+    for key, salt, start, context in found:
+        places.setdefault((key, salt, context), []).append(start)
+    return ((key, salt, starts, context) for (key, salt, context), starts in places.items())
+
+
+def repeated_starts(group: list[list[tuple[bytes, list[int], bytes]]], length: int) -> Iterator[tuple[bytes, int, int]]:
+    """(text key, first byte, end) of covered stretches. ``group``: for each anchor its (text key, first starts, context)."""
     texts, owners, size = [], [], 0
 
     def flush():
@@ -130,8 +138,8 @@ def repeated_starts(group: list[list[tuple[bytes, int, bytes]]], length: int) ->
 
     for members in group:
         distinct: dict[bytes, list[tuple[bytes, int]]] = {}
-        for key, start, context in members:
-            distinct.setdefault(context, []).append((key, start))
+        for key, starts, context in members:
+            distinct.setdefault(context, []).extend((key, s) for s in starts)
         for context, own in distinct.items():
             if len(own) > 1:
                 for key, start in own:
@@ -198,7 +206,7 @@ def _raw(text) -> bytes:
 
 
 ANCHORS = StructType([StructField("hash", LongType()), StructField("key", BinaryType()), StructField("n", IntegerType())])
-CONTEXTS = StructType([StructField("hash", LongType()), StructField("salt", LongType()), StructField("key", BinaryType()), StructField("start", LongType()), StructField("context", BinaryType())])
+CONTEXTS = StructType([StructField("hash", LongType()), StructField("salt", LongType()), StructField("key", BinaryType()), StructField("starts", ArrayType(LongType())), StructField("context", BinaryType())])
 SPANS = StructType([StructField("key", BinaryType()), StructField("from", LongType()), StructField("to", LongType())])
 
 
@@ -224,8 +232,8 @@ def _find_contexts(length: int, gram: int):
             out, size = [], 0
             for key, text, hashes, counts in zip(*b.columns):
                 k = key.as_py()
-                for h, salt, start, context in contexts(_raw(text), dict(zip(hashes.as_py(), counts.as_py())), length, gram):
-                    out.append((h, salt, k, start, context))
+                for h, salt, starts, context in gathered(contexts(_raw(text), dict(zip(hashes.as_py(), counts.as_py())), length, gram)):
+                    out.append((h, salt, k, starts, context))
                     size += len(context)
                     if size > 4 << 20:
                         yield out
@@ -241,9 +249,9 @@ def _find_spans(length: int):
     def rows(batches):
         group, members, last, size = [], [], None, 0
         for b in batches:
-            for h, salt, key, start, context in zip(*(c.to_pylist() for c in b.columns)):
+            for h, salt, key, starts, context in zip(*(c.to_pylist() for c in b.columns)):
                 if (h, salt) != last:
-                    if len(members) > 1:
+                    if len(members) > 1 or members and len(members[0][1]) > 1:
                         group.append(members)
                     else:
                         size -= sum(len(m[2]) for m in members)
@@ -251,10 +259,9 @@ def _find_spans(length: int):
                         yield list(repeated_starts(group, length))
                         group, size = [], 0
                     members, last = [], (h, salt)
-                members.append((key, start, context))
+                members.append((key, starts, context))
                 size += len(context)
-        if len(members) > 1:
-            group.append(members)
+        group.append(members)
         yield list(repeated_starts(group, length))
 
     return rows

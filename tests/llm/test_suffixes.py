@@ -76,6 +76,7 @@ def passages():
         rows.append((i, " ".join(parts), "en", "a"))
     rows += [(100 + i, rows[i][1], "en", "a") for i in range(5)]
     rows += [(200 + i, rows[3][1][:-i], "en", "a") for i in range(1, 9)]
+    rows += [(400 + i, text(i) + " again and" * (20 + i), "en", "a") for i in range(6)]
     return rows + [(300, "z" * 300, "en", "a"), (301, "ab" * 200 + "q", "en", "a"), (302, None, "en", "a"), (303, "", "en", "a"), (None, shared[2] * 2, "en", "a")]
 
 
@@ -91,8 +92,8 @@ def test_repeats_against_brute_force(spark, monkeypatch, length, gram, hot):
     counts = {h: n for h, n in counts.items() if n > 1}
     shards = {}
     for r in texts:
-        for h, salt, start, context in suffix_dedup.contexts(r, counts, length, gram):
-            shards.setdefault((h, salt), []).append((r, start, context))
+        for h, salt, starts, context in suffix_dedup.gathered(suffix_dedup.contexts(r, counts, length, gram)):
+            shards.setdefault((h, salt), []).append((r, starts, context))
     spans = {r: ([(0, len(r))] if n > 1 and len(r) >= length else []) for r, n in texts.items()}
     for r, a, b in suffix_dedup.repeated_starts(list(shards.values()), length):
         spans[r].append((a, b))
@@ -131,6 +132,6 @@ def test_contexts_too_many_for_one_array(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST", 300)
     rng = random.Random(2)
     shared = bytes(rng.choice(b"abc") for _ in range(30))
-    members = [(bytes([k]), 7, bytes([97 + k]) * k + shared + bytes([100 + k])) for k in range(12)]
+    members = [(bytes([k]), [7], bytes([97 + k]) * k + shared + bytes([100 + k])) for k in range(12)]
     got = list(suffix_dedup.repeated_starts([members], 20))
     assert {(k, a - 7 - k[0], b - a) for k, a, b in got} == {(bytes([k]), 0, 30) for k in range(12)}
