@@ -151,10 +151,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     known = materialize(classes(prints, threshold), "classes").withColumnRenamed("fp", "k")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     ranked = prints.groupBy("fp").agg(F.min(rank).alias("best")).join(known, F.col("fp") == F.col("k"))
-    best = ranked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_best_id"), F.col("best.digest").alias("_best_digest"))
+    best = ranked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
     best = materialize(best, "representatives")
     columns = docs.columns
-    marked = docs.select("*", F.xxhash64(F.col(text_col).cast("string")).alias("_digest"))
-    kept = marked.join(best, marked[id_col].eqNullSafe(best._best_id) & (marked._digest == best._best_digest), "left_semi")
-    window = Window.partitionBy(id_col, "_digest").orderBy(F.xxhash64(*columns))
-    return kept.withColumn("_row", F.row_number().over(window)).where("_row = 1").select(*columns)
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own_digest"))
+    kept = rows.join(best, F.col("own_id").eqNullSafe(F.col("best_id")) & (F.col("own_digest") == F.col("best_digest")), "left_semi")
+    window = Window.partitionBy("own_id", "own_digest").orderBy(F.xxhash64("row"))
+    return kept.withColumn("place", F.row_number().over(window)).where("place = 1").select(*(F.col("row")[c].alias(c) for c in columns))

@@ -121,16 +121,20 @@ class DigestIndex:
         return [(None, default) if b is None else (b[2], "allow" if b[3] else "block") for b in best]
 
 
+#: Index files that an application's executors were given.
+_published: set[tuple[str, str]] = set()
+
+
 def publish(spark, index: bytes) -> str:
     """Hand the index file to all executors; its name there."""
     name = f"lattica-digest-{hashlib.sha256(index).hexdigest()[:24]}.bin"
-    known = spark.sparkContext.__dict__.setdefault("_lattica_files", set())
-    if name not in known:
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _published:
         path = os.path.join(tempfile.mkdtemp(prefix="lattica-"), name)
         with open(path, "wb") as f:
             f.write(index)
         spark.sparkContext.addFile(path)
-        known.add(name)
+        _published.add(key)
     return name
 
 

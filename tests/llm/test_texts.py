@@ -96,6 +96,7 @@ def test_keep_one(spark):
     ids = Counter(r.doc_id for r in kept)
     assert ids == Counter([1, 2, None, 5, 6, 7, 8, 9])
     assert set(kept[0].asDict()) == set(docs.columns)
+    assert {(r._row, r.fingerprint, r.n_words, r.host) for r in kept} == {(1, "x", 7, "y")}
     assert simhash.keep_one(odd_documents(spark, [])).count() == 0
     assert simhash.near_duplicates(odd_documents(spark, [])).count() == 0
 
