@@ -100,9 +100,9 @@ def plan(docs: DataFrame, seed: int, weights: dict, share: tuple[int, int], max_
     part = part.select(*leaf, "tokens", "rest", "bits", place.alias("place")).withColumn("range", F.expr(f"shiftright(place.key, {_BITS} - bits)"))
     sums = part.groupBy(*leaf, "rest", "range").agg(F.sum("tokens").alias("sum"))
     upto = F.sum("sum").over(Window.partitionBy(*leaf).orderBy("range"))
-    last = materialize(sums.withColumn("upto", upto).where("upto - sum < rest and rest <= upto").select(*leaf, F.col("range").alias("at"), (F.col("upto") - F.col("sum")).alias("before")), "ranges")
+    last = materialize(sums.withColumn("upto", upto).where("upto - sum < rest and rest <= upto").select(*leaf, "range", (F.col("upto") - F.col("sum")).alias("before")), "ranges")
     # one range a leaf: that in which its prefix ends
-    edge = part.join(last, leaf).where("range = at")
+    edge = part.join(last, [*leaf, "range"])
     until = F.col("before") + F.coalesce(F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = edge.withColumn("until", until).where("until < rest").groupBy(*leaf).agg(F.max("place").alias("end"))
     ends = ends.select(*(F.col(c).alias(f"_{c}") for c in leaf), "end")
