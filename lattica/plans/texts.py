@@ -108,6 +108,11 @@ def _(spark, d):
     return report.finding_json(order_findings(spark, d))
 
 
+@query("sink_api_json", f"WITH {F_SQL} SELECT fp, to_json({{'version': 1, 'finding': {{'confidence': confidence, 'fp': fp, 'rule_id': rule_id, 'seq': seq, 'severity': severity, 'sink': sink, 'witness_length': witness_length}}}})::VARCHAR AS json FROM f")
+def _(spark, d):
+    return report.api_json(order_findings(spark, d))
+
+
 _SARIF = """to_json({'ruleId': rule_id, 'level': CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END, 'message': {'text': 'finding of ' || rule_id},
   'locations': [{'physicalLocation': {'artifactLocation': {'uri': 'orders/o' || seq}, 'region': {'startLine': seq % 90 + 1}}}], 'partialFingerprints': {'primary/v1': fp}})::VARCHAR"""
 

@@ -15,6 +15,21 @@ def finding_json(findings: DataFrame) -> DataFrame:
     return findings.select("fp", F.to_json(F.struct(*sorted(findings.columns))).alias("json")).orderBy("fp")
 
 
+API_VERSION = 1
+
+
+def api_json(findings: DataFrame) -> DataFrame:
+    """(fp, json): each finding with all its columns, nested ones included, in a versioned envelope."""
+    return findings.select("fp", F.to_json(F.struct(F.lit(API_VERSION).alias("version"), F.struct(*sorted(findings.columns)).alias("finding"))).alias("json"))
+
+
+def validate_api(text: str) -> list[str]:
+    """What an envelope lacks; empty if it is sound."""
+    doc = json.loads(text)
+    wrong = [] if doc.get("version") == API_VERSION else [f"version {doc.get('version')}"]
+    return wrong + [f"no {k}" for k in ("rule_id", "severity", "confidence", "fp") if not doc.get("finding", {}).get(k)]
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """One SARIF result object for each finding (rule_id, severity, fp, loc)."""
     place = F.struct(F.struct(F.struct(S.loc_file("loc").alias("uri")).alias("artifactLocation"), F.struct(S.loc_line("loc").alias("startLine")).alias("region")).alias("physicalLocation"))

@@ -255,6 +255,9 @@ def test_reports(spark):
     assert [(r["ruleId"], r["level"]) for r in results] == [("R1", "error"), ("R2", "note")]
     assert results[0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 3
     assert [r.line for r in report.text_report(f).collect()] == ["[P1] R1 ab (high)", "[P4] R2 cd (low)"]
+    envelope = report.api_json(f.withColumn("evidence", F.array(F.struct(F.lit("unless").alias("clause"))))).first().json
+    assert report.validate_api(envelope) == [] and json.loads(envelope)["finding"]["evidence"] == [{"clause": "unless"}]
+    assert report.validate_api('{"version": 2, "finding": {"fp": "x"}}') == ["version 2", "no rule_id", "no severity", "no confidence"]
     assert json.loads(report.finding_json(f).first().json)["rule_id"] == "R1"
 
 
