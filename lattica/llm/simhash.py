@@ -149,6 +149,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     known = materialize(classes(prints, threshold), "classes").withColumnRenamed("fp", "k")
+    return representatives(docs, prints, known, id_col, text_col)
+
+
+def representatives(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row that stays of each group. ``prints``: doc_id, fp, digest; ``known``: k (an fp), root."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     ranked = prints.groupBy("fp").agg(F.min(rank).alias("best")).join(known, F.col("fp") == F.col("k"))
     best = ranked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
