@@ -64,8 +64,12 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
 
 
-def frequent_lines(docs: DataFrame, max_share: float, min_documents: int) -> DataFrame:
-    """(host, lines): for each host the hashes of its lines above the limit. ``docs``: host, text."""
+def frequent_lines(docs: DataFrame, max_share: float | None, min_documents: int) -> DataFrame:
+    """(host, lines): for each host the hashes of its lines above the limit. ``docs``: host, text.
+
+    Without ``max_share`` only distinct texts of a host count, and the limit
+    grows with the square root of their number.
+    """
 
     def make():
         sums: Counter = Counter()
@@ -87,19 +91,20 @@ def frequent_lines(docs: DataFrame, max_share: float, min_documents: int) -> Dat
         return count
 
     schema = StructType([StructField("host", StringType()), StructField("line", LongType()), StructField("n", LongType())])
-    counts = map_columns(docs.select("host", "text"), schema, make).groupBy("host", "line").agg(F.sum("n").alias("n"))
+    counts = map_columns(docs.select("host", "text") if max_share is not None else docs.select("host", "text").distinct(), schema, make).groupBy("host", "line").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "line-counts")
     size = counts.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("docs"))
     # a line over the limit is in more than min_documents; that filter comes before the join
     many = counts.where(F.col("line").isNotNull() & (F.col("n") > min_documents))
-    over = many.join(size, many.host.eqNullSafe(size.h)).where(F.col("n") > F.lit(max_share) * F.col("docs"))
+    over = many.join(size, many.host.eqNullSafe(size.h)).where(F.col("n") > (F.lit(max_share) * F.col("docs") if max_share is not None else F.sqrt("docs")))
     return materialize(over.groupBy("host").agg(F.collect_list("line").alias("lines")), "frequent-lines")
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float | None = MAX_SHARE, min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left and, if asked for, clean_text (without the removed lines) and the columns to carry.
 
-    A document is a row: repeated rows count as often as they occur. A null
+    A document is a row: repeated rows count as often as they occur, unless
+    ``max_share`` is None (see ``frequent_lines``). A null
     text has no words and fails. A null host is a host of its own. Lines
     without a word are neither counted nor removed. Columns of other names are
     ignored; an empty table gives an empty result.

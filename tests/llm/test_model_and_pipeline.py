@@ -91,3 +91,17 @@ def test_stages_on_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_quality_stage_removes_a_hot_hosts_boilerplate(spark):
+    boiler = "Accept all our cookies and terms of use before you read on here now"
+    own = lambda i, n: " ".join(f"own{i}word{k}" for k in range(n))
+    rows = [(i, own(i, 60), "en", "hot") for i in range(300)]
+    # in 26 of 326 texts, under a tenth; the last is mostly that line
+    rows += [(1000 + i, boiler + "\n" + own(1000 + i, 60), "en", "hot") for i in range(25)] + [(2000, (boiler + "\n") * 3 + own(2000, 30), "en", "hot")]
+    # copies of one text don't make its lines boilerplate
+    rows += [(3000 + i, own(3000, 60), "en", "hot") for i in range(40)]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, SF).collect()}
+    assert set(got) == {r[0] for r in rows} - {2000}
+    assert not any(boiler in t for t in got.values()) and got[3000] == own(3000, 60)
