@@ -139,7 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chars = F.col(chars_col).cast("long") if chars_col else F.lit(None).cast("long")
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), chars.alias("chars"))
     # at most max_rows rows of two numbers on the small side
-    rows = narrow.join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("text", "chars", "_label", F.xxhash64("_id", "text").alias("order"))
+    rows = narrow.join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("_id", "text", "chars", "_label", F.xxhash64("_id", "text").alias("order"))
+    # a label is one example: of several rows of its id always the same one
+    one = rows.groupBy("_id").agg(F.min(F.struct("order", "text", "chars", "_label")).alias("r"))
+    rows = one.select("r.text", "r.chars", "r._label", "r.order")
     schema = StructType([StructField("order", LongType()), StructField("label", IntegerType()), StructField("stats", ArrayType(DoubleType())), StructField("ids", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType()))])
 
     def make():
@@ -150,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return features
 
-    got = sorted(map_columns(rows, schema, make).limit(2 * max_rows).collect())
+    got = sorted(map_columns(rows, schema, make).collect())
     y = np.array([r.label for r in got], dtype=float)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5

@@ -105,3 +105,14 @@ def test_quality_stage_removes_a_hot_hosts_boilerplate(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, SF).collect()}
     assert set(got) == {r[0] for r in rows} - {2000}
     assert not any(boiler in t for t in got.values()) and got[3000] == own(3000, 60)
+
+
+def test_repeated_ids_do_not_displace_other_labels(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_model.Machine, "fit", lambda self, stats, words, y: seen.append(sorted(y.tolist())) or self)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    rows = [(ids[0], f"text {k}", 6) for k in range(200)] + [(i, f"own {i}", 5) for i in ids[1:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    labels = spark.createDataFrame([(i, int(i != ids[0])) for i in ids], "doc_id long, quality int")
+    quality_model.fit(docs, labels, max_rows=6)
+    assert seen == [[0.0] + [1.0] * 5]
