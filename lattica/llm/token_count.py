@@ -1,174 +1,21 @@
 """Token counts by a compiled finite-state transducer.
 
-The tokenizer is compiled into a deterministic transducer whose transitions
-are annotated with emitted-token counts. Its states are the prefixes of
-pre-tokens met so far; the transition on a character carries the change of the
-count, and the end of the pre-token carries the rest, so that the weights on a
-path sum to the tokens of that pre-token. States and transitions are added as
-new pre-tokens occur (their counts come from the library), and the total of a
-path that was walked before is kept, so that it is walked once.
-
-A text is cut into chunks. White space resets the transducer to its start
-state whatever state it was in, so a chunk's map from entry states to (exit
-state, emitted count) is given by three things: the characters before its first
-white space, the count of what lies between, and the characters after its
-last. Two maps compose associatively, and the maps of all chunks are combined
-by a parallel prefix scan (log2 of the number of chunks rounds).
+The vocabulary's merges are compiled into a deterministic transducer whose
+transitions carry emitted-token counts (automaton). Every text is walked
+through it: texts are joined to one stream of symbols, the stream is cut into
+equal chunks that run in lockstep, chunk maps of states are composed, and the
+counts of documents are differences of the prefix sums over all transitions.
 """
 
 from __future__ import annotations
 
-import functools
-import re
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import id_and_text, map_columns, utf8
-from .vocabulary import Vocabulary
+from .vocabulary import load
 
-#: Characters of a chunk.
-CHUNK = 1 << 15
 LIMIT = 2048
-#: Pre-tokens that a worker's transducer holds; beyond, it starts anew.
-MAX_WORDS = 400_000
-_BLANKS = " \t\n\r\x0b\x0c"
-_BLANK = re.compile("[ \t-\r]")
-
-
-class Transducer:
-    """A trie of pre-tokens with counts on its transitions, compiled on demand.
-
-    The transition out of the start state emits one token, later ones none,
-    and the end of the pre-token the rest.
-    """
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.edges: dict[int, int] = {}
-        self.final: dict[int, int] = {}
-        self.paths: dict[str, int] = {}
-
-    def compile(self, words: set[str]) -> None:
-        """Add a path for each new pre-token; its weights sum to the library's count."""
-        new = words.difference(self.paths)
-        if not new:
-            return
-        if len(self.paths) + len(new) > MAX_WORDS:
-            self.__init__(self.vocabulary)
-            new = words
-        self.vocabulary.words.clear()
-        self.vocabulary.learn(new)
-        for w in new:
-            self.add(w, len(self.vocabulary.words[w]) // 4)
-
-    def add(self, word: str, tokens: int) -> None:
-        state = 0
-        for c in word:
-            state = self.edges.setdefault(state * 0x110000 + ord(c), len(self.edges) + 1)
-        self.final[state] = tokens - 1
-        self.paths[word] = self.walk(word)
-
-    def walk(self, word: str) -> int:
-        """Sum of the weights on the path of a pre-token that was added."""
-        state = total = 0
-        for c in word:
-            total += state == 0
-            state = self.edges[state * 0x110000 + ord(c)]
-        return total + self.final[state]
-
-    def count(self, words: list[str]) -> int:
-        return sum(map(self.paths.__getitem__, words))
-
-
-@dataclass(frozen=True)
-class StateMap:
-    """A chunk as a map of states. ``synced`` tells whether it has white space; if not, all of it is in ``head``."""
-
-    head: str
-    count: int
-    tail: str
-    synced: bool
-
-
-def compose(a: StateMap, b: StateMap, count) -> StateMap:
-    """First a, then b: associative. count(text) gives the tokens of a text without white space."""
-    if not a.synced and not b.synced:
-        return StateMap(a.head + b.head, 0, "", False)
-    if not a.synced:
-        return StateMap(a.head + b.head, b.count, b.tail, True)
-    if not b.synced:
-        return StateMap(a.head, a.count, a.tail + b.head, True)
-    middle = a.tail + b.head
-    return StateMap(a.head, a.count + b.count + (count(middle) if middle else 0), b.tail, True)
-
-
-def prefix_scan(maps: list[StateMap], count) -> list[StateMap]:
-    """Inclusive scan; each round composes with the map ``step`` places before, independently at all places."""
-    step = 1
-    while step < len(maps):
-        maps = maps[:step] + [compose(maps[i - step], maps[i], count) for i in range(step, len(maps))]
-        step *= 2
-    return maps
-
-
-@functools.lru_cache(maxsize=1)
-def counter_of(path: str) -> "Counter":
-    """The counter of this process: Python workers serve many tasks, and keep what they have compiled."""
-    return Counter(path)
-
-
-class Counter:
-    """Counts tokens of whole texts."""
-
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
-        self.transducer = Transducer(self.vocabulary)
-
-    def stretch(self, text: str) -> int:
-        """Tokens of a text that begins and ends at white space or the text's ends."""
-        words = self.vocabulary.cut(text)
-        if words is not None:
-            self.transducer.compile(set(words))
-            return self.transducer.count(words)
-        if not self.vocabulary.by_word:
-            return len(self.vocabulary.encode_raw(text)) // 4
-        total = 0
-        for p in re.split("[ \t-\r]+", text):
-            if p:
-                own = self.vocabulary.cut(p)
-                if own is None:
-                    total += len(self.vocabulary.piece(p)) // 4
-                else:
-                    self.transducer.compile(set(own))
-                    total += self.transducer.count(own)
-        return total
-
-    def state_map(self, chunk: str) -> StateMap:
-        first = _BLANK.search(chunk)
-        if not first:
-            return StateMap(chunk, 0, "", False)
-        last = max(chunk.rfind(c) for c in _BLANKS)
-        return StateMap(chunk[: first.start()], self.stretch(chunk[first.start() : last]), chunk[last + 1 :], True)
-
-    def tokens(self, text: str | None, chunk: int = CHUNK) -> int:
-        if not text:
-            return 0
-        if len(text) <= chunk or not self.vocabulary.by_word:
-            return self.stretch(text)
-        maps = [self.state_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        whole = prefix_scan(maps, self.stretch)[-1]
-        return whole.count + sum(self.stretch(x) for x in (whole.head, whole.tail) if x)
-
-    def tokens_of(self, texts: list[str | None]) -> list[int]:
-        """As tokens(), with the new pre-tokens of all texts compiled together."""
-        words: set[str] = set()
-        for t in texts:
-            if t and (own := self.vocabulary.cut(t)) is not None:
-                words.update(own)
-        self.transducer.compile(words)
-        return [self.tokens(t) for t in texts]
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,10 +29,10 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, id_c
     schema = StructType([docs.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())])
 
     def make():
-        counter = counter_of(vocabulary_path)
+        vocabulary = load(vocabulary_path)
 
         def count(ids, texts):
-            tokens = counter.tokens_of(texts)
+            tokens = vocabulary.count(texts)
             return {"doc_id": ids, "n_bytes": [len(utf8(t)) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
 
         return count

@@ -1,118 +1,117 @@
-"""The lower-casing word BPE of the tokenizers library, compiled word by word.
+"""The lower-casing word BPE of the tokenizers library, by compiled transducers.
 
-Its normaliser and pre-tokeniser work on each white-space separated piece
-alone, and every pre-token ends in an id whose string ends in ``</w>``. So ids
-of a text are the ids of its pre-tokens one after another, those of a
-pre-token never change, and many new pre-tokens can be encoded by one call.
-
-Texts of ASCII and Latin letters are cut into pre-tokens here; any piece with
-other characters, or with the start of a special string, goes to the library
-as it stands.
+Its normaliser and pre-tokeniser never look across ASCII white space, so the
+ids of a text are those of its pieces one after another. Pieces of the
+transducers' alphabet (ASCII and Western European letters, no special string)
+go through them in batches; any other piece goes to the library as it stands.
+A vocabulary file of another kind is encoded by the library text by text.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 
 import numpy as np
 
+from . import automaton
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Characters whose class, lower case and normal form need no tables: ASCII, and Latin letters up to U+017F without the dotted capital I.
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
-_LETTERS = "a-zß-öø-ſ"
-#: The file's own pattern, restricted to these characters.
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r0-9{_LETTERS}]+")
-#: What the compilation relies on; a file that differs is encoded by the library text by text.
+#: What the compilation relies on.
 _EXPECTED_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries that a worker keeps; beyond, it starts anew.
-MAX_ENTRIES = 600_000
+#: Pieces of other characters that a worker keeps, each of so many characters at most; beyond, it starts anew.
+MAX_PIECES, MAX_PIECE = 50_000, 100
+#: Bytes that go through the transducers at a time, about.
+BATCH_BYTES = 1 << 20
+_BLANKS = re.compile("[ \t-\r]+")
 
 
 class Vocabulary:
-    """Ids of words as little-endian 32-bit bytes, compiled on demand."""
+    """Ids and counts of whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path) as f:
-            spec = json.load(f)
+        spec = automaton.load_model(path)
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == _EXPECTED_SPLIT
-        vocab = spec["model"]["vocab"]
-        self.ends = np.zeros(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, dtype=bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        kinds = [x.get("type") for x in splits]
+        specials = all(t["content"].startswith("<|") for t in spec.get("added_tokens", ()))
+        self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == _EXPECTED_SPLIT and kinds == ["Split", "ByteLevel"] and specials
+        self.machine = automaton.Machine(spec["model"]) if self.by_word else None
         self.pieces: dict[str, bytes] = {}
 
     def encode_raw(self, text: str) -> bytes:
+        """By the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def cut(self, text: str) -> list[str] | None:
-        """Pre-tokens of a plain text, else None."""
-        if self.by_word and _PLAIN.fullmatch(text) and "<|" not in text:
-            return _WORDS.findall(text.lower())
-        return None
-
-    def learn(self, words: set[str]) -> None:
-        """Compile all new words by a few calls of the library."""
-        new = [w for w in words if w not in self.words]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                raw, start = ids.tobytes(), 0
-                for w, stop in zip(some, stops.tolist()):
-                    self.words[w] = raw[4 * start : 4 * stop]
-                    start = stop
-            else:
-                for w in some:
-                    self.words[w] = self.encode_raw(w)
-
     def piece(self, text: str) -> bytes:
-        if text not in self.pieces:
-            if len(self.pieces) > MAX_ENTRIES // 10:
+        found = self.pieces.get(text)
+        if found is None:
+            found = self.encode_raw(text)
+            if len(self.pieces) > MAX_PIECES:
                 self.pieces.clear()
-            self.pieces[text] = self.encode_raw(text)
-        return self.pieces[text]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, as bytes. A null text has none."""
-        cuts: list = []
-        for t in texts:
-            if not t:
-                cuts.append([])
-            elif (c := self.cut(t)) is not None:
-                cuts.append(c)
-            elif not self.by_word:
-                cuts.append(self.encode_raw(t))
+            if len(text) <= MAX_PIECE:
+                self.pieces[text] = found
+        return found
+
+    def _read(self, raws: list[bytes], ids: bool) -> list:
+        """Ids (as bytes) or numbers of tokens of plain lower-cased texts."""
+        out: list = []
+        at = 0
+        while at < len(raws):
+            end, size = at, 0
+            while end < len(raws) and (size < BATCH_BYTES or end == at):
+                size += len(raws[end]) + 1
+                end += 1
+            data = np.frombuffer(b"\n".join([*raws[at:end], b""]), dtype=np.uint8)
+            symbols, place = automaton.symbols_of(data)
+            states, change = self.machine.run(symbols)
+            stops = place[np.cumsum([len(r) + 1 for r in raws[at:end]]) - 1]
+            if ids:
+                token = self.machine.tokens(symbols, states)
+                found = token >= 0
+                raw, ends = token[found].astype("<u4").tobytes(), np.cumsum(found, dtype=np.int64)[stops].tolist()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
             else:
-                cuts.append([(p, self.cut(p)) for p in re.split("[ \t-\r]+", t) if p])
-        if len(self.words) > MAX_ENTRIES:
-            self.words.clear()
-        need: set[str] = set()
-        for c in cuts:
-            if isinstance(c, list):
-                for x in c if c and isinstance(c[0], tuple) else [(None, c)]:
-                    if x[1] is not None:
-                        need.update(x[1])
-        self.learn(need)
-        get, out = self.words.__getitem__, []
-        for c in cuts:
-            if isinstance(c, bytes):
-                out.append(c)
-            elif c and isinstance(c[0], tuple):
-                out.append(b"".join(self.piece(p) if own is None else b"".join(map(get, own)) for p, own in c))
-            else:
-                out.append(b"".join(map(get, c)))
+                total = np.cumsum(change, dtype=np.int64)[stops]
+                out += np.diff(total, prepend=0).tolist()
+            at = end
+        return out
+
+    def _each(self, texts: list[str | None], ids: bool) -> list:
+        raws = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        lengths = np.array([len(r) + 1 for r in raws], dtype=np.int64)
+        data = np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8)
+        odd = np.unique(np.searchsorted(np.cumsum(lengths), np.flatnonzero(~automaton.readable(data)), "right")).tolist()
+        rest: dict[int, list[str]] = {}
+        for k in odd:
+            plain = []
+            for p in _BLANKS.split(texts[k]):
+                low = p.lower().encode("utf-8", "surrogatepass")
+                plain.append((p, low, bool(automaton.readable(np.frombuffer(low, dtype=np.uint8)).all())))
+            rest[k] = plain
+        whole = [k for k in range(len(texts)) if k not in rest]
+        out: list = [None] * len(texts)
+        for k, found in zip(whole, self._read([raws[k] for k in whole], ids)):
+            out[k] = found
+        for k, plain in rest.items():
+            own = iter(self._read([low for _, low, ok in plain if ok], ids))
+            parts = [next(own) if ok else self.piece(p) if ids else len(self.piece(p)) // 4 for p, _, ok in plain]
+            out[k] = b"".join(parts) if ids else sum(parts)
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, as little-endian 32-bit bytes. A null text has none."""
+        return self._each(texts, True) if self.by_word else [self.encode_raw(t) if t else b"" for t in texts]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Numbers of tokens of whole texts: sums over the transitions."""
+        return self._each(texts, False) if self.by_word else [len(self.encode_raw(t)) // 4 if t else 0 for t in texts]
+
 
 @functools.lru_cache(maxsize=1)
 def load(path: str) -> Vocabulary:

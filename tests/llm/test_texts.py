@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lattica.llm import license_scan, quality_rules, queries, simhash, token_count, token_file, url_filter
+from lattica.llm import automaton, license_scan, quality_rules, queries, simhash, token_count, token_file, url_filter, vocabulary
 from lattica.llm.components import connected_components
 
 from .data import ODD, odd_documents
@@ -149,22 +150,38 @@ def test_token_counts(spark, tokenizer):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048), i
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, 64])
-def test_chunk_maps_compose(tokenizer, chunk):
-    counter = token_count.Counter(queries.vocabulary_path())
-    for _, t, *_ in ODD:
-        if t and len(t) < 1000:
-            assert counter.tokens(t, chunk) == len(tokenizer.encode(t, add_special_tokens=False).ids)
+@pytest.mark.parametrize("chunk", [1, 2, 7, 64, 512])
+def test_chunk_maps_compose(tokenizer, monkeypatch, chunk):
+    monkeypatch.setattr(automaton, "CHUNK", chunk)
+    words = vocabulary.Vocabulary(queries.vocabulary_path())
+    texts = [t for _, t, *_ in ODD if t and len(t) < 1000] + ["x" * 700 + " don't", "'" * 90 + "ll's we've l've 12a", " a\n"]
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.count(texts) == [len(x) for x in ids]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in words.encode(texts)] == ids
 
 
-def test_composition_is_associative():
-    counter = token_count.Counter(queries.vocabulary_path())
-    maps = [counter.state_map(x) for x in ("ab", "cd e", "", " x", "yz'", "ll q ")]
-    both = lambda a, b: token_count.compose(a, b, counter.stretch)
-    for a in maps:
-        for b in maps:
-            for c in maps:
-                assert both(both(a, b), c) == both(a, both(b, c))
+@pytest.mark.parametrize("letters", ["abcdefghij klmnopqrstuvwxyz ' .,!?|éüñ ß123", "th e in g ' s re ll ve an d", "aàAÀ×÷İıſﬁΣς數٣½ \x1c\x85\u3000\u0308'<|> 9"])
+def test_random_texts_against_the_library(tokenizer, monkeypatch, letters):
+    monkeypatch.setattr(automaton, "MAX_STATES", 3000)
+    words = vocabulary.Vocabulary(queries.vocabulary_path())
+    parts = list(letters) if "th" not in letters else [*letters.split(" "), " "]
+    rng = random.Random(4)
+    for _ in range(40):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(30)]
+        ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert words.count(texts) == [len(x) for x in ids]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in words.encode(texts)] == ids
+
+
+def test_vocabularies_of_another_kind_go_to_the_library():
+    from importlib import import_module
+
+    from tokenizers import Tokenizer
+
+    path = import_module("public_tokenizers").path("byte_bpe_50k.json")
+    words, library = vocabulary.Vocabulary(path), Tokenizer.from_file(path)
+    texts = ["Some text, isn't it?", "", None, "數字 é"]
+    assert not words.by_word and words.count(texts) == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
 
 
 def test_token_files(spark, tokenizer):
