@@ -8,11 +8,16 @@ equal strings have equal anchors at the same place in them. So:
    of ``length`` or more that has copies is covered.
 2. The distinct anchors of each text are counted over all texts. A string can
    repeat only if its anchor occurs twice or more.
-3. For each such anchor the bytes that its strings span are sent to the
-   anchor's shard. Anchors of many texts are split by the place of
-   the anchor in the string (equal strings agree on it), beyond that by the
-   string's own hash, so that no shard holds more than a bounded number of
-   strings' contexts of one anchor.
+3. For each such anchor the bytes that its strings span, its context in a
+   text, are sent to the anchor's shard. An anchor of over ``HOT`` places
+   takes another way: equal contexts are counted first, by partial sums, and
+   what stands twice is covered at once. If more than ``HOT`` distinct ones
+   are left, each is cut by the anchor's place in the string (equal strings
+   agree on it) into eight narrower contexts, which are dealt by all bytes that
+   their strings have in common; and so on, until a group is small enough for
+   a shard or a context is one string. A context that differs from all others
+   within those bytes drops out, so that a text sends a bounded number of
+   pieces, however many others share its passages.
 4. A shard reads contexts sorted by anchor in stretches of about a MB, lets
    equal contexts be one, sorts the suffixes of the rest (suffix_array: direct
    sort of the suffixes smaller than their successors, induction of the
@@ -27,8 +32,10 @@ later joins bring small tables to the buckets.
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +49,10 @@ from .common import fresh_path, id_and_text, materialize
 from .suffix_array import MOST, adjacent_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
-#: Occurrences of one anchor that go to one shard before it is split.
-HOT = 2000
+#: Contexts of one anchor that go to one shard; beyond, equal ones are counted and the rest is cut. Parts of a cut.
+HOT, CUT = 2000, 8
+#: Digests of equal pieces (16 bytes each) that are broadcast to mark their places; where there are more, they are joined.
+ALIKE = 1 << 18
 #: Bytes of contexts that are sorted together, about.
 STRETCH = 1 << 20
 #: A text is cut into overlapping parts of so many bytes for its anchors; places in them fit the packed keys.
@@ -92,38 +101,39 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def contexts(raw: bytes, counts: dict[int, int], length: int, gram: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(anchor hash, salt, first start, bytes) of each stretch of starts of a text that may repeat."""
+def contexts(raw: bytes, counts: dict[int, int], length: int, gram: int, hot: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(anchor hash, 1 if the anchor is hot, place of the anchor in the first string, first start, bytes) of each stretch of starts that may repeat."""
     if len(raw) < length:
         return
     h, place, first, last = anchors(raw, length, gram)
-    span = length - gram + 1
     for key, p, a, b in zip(h.tolist(), place.tolist(), first.tolist(), last.tolist()):
-        if key not in counts:
-            continue
-        splits = -(-counts[key] // HOT)
-        if splits <= 1:
-            yield key, 0, a, raw[a : b + length]
-        elif splits <= span:
-            for c in range((p - b) * splits // span, (p - a) * splits // span + 1):
-                # starts s with (p - s) * splits // span == c
-                high, low = p - -(-c * span // splits), p - (-(-(c + 1) * span // splits) - 1)
-                s, e = max(a, low), min(b, high)
-                if s <= e:
-                    yield key, c, s, raw[s : e + length]
-        else:
-            more = -(-splits // span)
-            for s in range(a, b + 1):
-                one = raw[s : s + length]
-                yield key, (p - s) * more + xxhash.xxh64_intdigest(one) % more, s, one
+        if key in counts:
+            yield key, int(counts[key] > hot), p - a, a, raw[a : b + length]
 
 
-def gathered(found: Iterator[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, list[int], bytes]]:
+def gathered(found: Iterator[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int, list[int], bytes]]:
     """A text's contexts with the first starts of all its places: a text that repeats itself sends each context once."""
-    places: dict[tuple[int, int, bytes], list[int]] = {}
-    for key, salt, start, context in found:
-        places.setdefault((key, salt, context), []).append(start)
-    return ((key, salt, starts, context) for (key, salt, context), starts in places.items())
+    places: dict[tuple[int, int, int, bytes], list[int]] = {}
+    for key, hot, x, start, context in found:
+        places.setdefault((key, hot, x, context), []).append(start)
+    return ((key, hot, x, starts, context) for (key, hot, x, context), starts in places.items())
+
+
+def pieces(group: int, x: int, context: bytes, length: int, gram: int, width: int) -> Iterator[tuple[int, bytes, int, bytes]]:
+    """(group, digest, offset, bytes) of a context cut into stretches of strings whose anchor stands at ``width`` neighbouring places.
+
+    ``x``: the anchor's place in the context's first string. The group is named
+    by the old one, the stretch, and all bytes that every string of it holds.
+    """
+    last = len(context) - length
+    for c in range((x - last) // width, x // width + 1):
+        low, high = c * width, min(c * width + width - 1, length - gram)
+        i, j = x - min(x, high), x - max(x - last, low)
+        part = context[i : j + length]
+        core = context[x - low : x - high + length]
+        name = xxhash.xxh3_64_intdigest(core, (group + c * 0x9E3779B97F4A7C15) % (1 << 64))
+        digest = hashlib.blake2b(part, digest_size=16, salt=struct.pack("<qq", x - i, c)).digest()
+        yield name - (1 << 63), digest, i, part
 
 
 def repeated_starts(group: list[list[tuple[bytes, list[int], bytes]]], length: int) -> Iterator[tuple[bytes, int, int]]:
@@ -159,29 +169,19 @@ def _sorted_starts(texts: list[bytes], owners: list, length: int) -> Iterator[tu
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     joined = SEPARATOR.join([*texts, b""])
-    if len(joined) >= MOST:
-        # one anchor's contexts exceed what one array holds: all strings by their bytes
-        found: dict[bytes, int] = {}
-        for t in texts:
-            for s in range(len(t) - length + 1):
-                one = t[s : s + length]
-                found[one] = found.get(one, 0) + 1
-        flags = [np.array([found[t[s : s + length]] > 1 for s in range(len(t) - length + 1)], dtype=bool) for t in texts]
-    else:
-        text = np.frombuffer(joined, dtype=np.uint8)
-        array = suffix_array(text, length)
-        # strings that repeat stand together, and only a context's own starts have so many bytes before a separator
-        valid = np.zeros(len(text), dtype=bool)
-        edge = np.zeros(len(text) + 1, dtype=np.int8)
-        edge[begin[:-1]] += 1
-        edge[begin[:-1] + sizes - length + 1] -= 1
-        valid = np.cumsum(edge[:-1]) > 0
-        array = array[valid[array]]
-        long = adjacent_prefixes(text, array, length) >= length
-        hit = np.zeros(len(text), dtype=bool)
-        hit[array[long]] = True
-        hit[array[np.flatnonzero(long) - 1]] = True
-        flags = [hit[a : a + n - length + 1] for a, n in zip(begin.tolist(), sizes.tolist())]
+    text = np.frombuffer(joined, dtype=np.uint8)
+    array = suffix_array(text, length)
+    # strings that repeat stand together, and only a context's own starts have so many bytes before a separator
+    edge = np.zeros(len(text) + 1, dtype=np.int8)
+    edge[begin[:-1]] += 1
+    edge[begin[:-1] + sizes - length + 1] -= 1
+    valid = np.cumsum(edge[:-1]) > 0
+    array = array[valid[array]]
+    long = adjacent_prefixes(text, array, length) >= length
+    hit = np.zeros(len(text), dtype=bool)
+    hit[array[long]] = True
+    hit[array[np.flatnonzero(long) - 1]] = True
+    flags = [hit[a : a + n - length + 1] for a, n in zip(begin.tolist(), sizes.tolist())]
     for own, flag in zip(owners, flags):
         if own is not None and flag.any():
             turns = np.flatnonzero(np.diff(flag.astype(np.int8), prepend=0, append=0))
@@ -206,7 +206,10 @@ def _raw(text) -> bytes:
 
 
 ANCHORS = StructType([StructField("hash", LongType()), StructField("key", BinaryType()), StructField("n", IntegerType())])
-CONTEXTS = StructType([StructField("hash", LongType()), StructField("salt", LongType()), StructField("key", BinaryType()), StructField("starts", ArrayType(LongType())), StructField("context", BinaryType())])
+CONTEXTS = StructType([StructField("hash", LongType()), StructField("salt", IntegerType()), StructField("x", IntegerType()), StructField("key", BinaryType()), StructField("starts", ArrayType(LongType())), StructField("context", BinaryType())])
+#: A piece with its bytes, and with all its places.
+WIDE = StructType([StructField("group", LongType()), StructField("digest", BinaryType()), StructField("n", LongType()), StructField("x", IntegerType()), StructField("key", BinaryType()), StructField("start", LongType()), StructField("context", BinaryType())])
+PLACES = StructType([StructField("group", LongType()), StructField("digest", BinaryType()), StructField("key", BinaryType()), StructField("starts", ArrayType(LongType())), StructField("size", LongType())])
 SPANS = StructType([StructField("key", BinaryType()), StructField("from", LongType()), StructField("to", LongType())])
 
 
@@ -226,14 +229,14 @@ def _find_anchors(length: int, gram: int):
     return rows
 
 
-def _find_contexts(length: int, gram: int):
+def _find_contexts(length: int, gram: int, hot: int):
     def rows(batches):
         for b in batches:
             out, size = [], 0
             for key, text, hashes, counts in zip(*b.columns):
                 k = key.as_py()
-                for h, salt, starts, context in gathered(contexts(_raw(text), dict(zip(hashes.as_py(), counts.as_py())), length, gram)):
-                    out.append((h, salt, k, starts, context))
+                for h, salt, x, starts, context in gathered(contexts(_raw(text), dict(zip(hashes.as_py(), counts.as_py())), length, gram, hot)):
+                    out.append((h, salt, x, k, starts, context))
                     size += len(context)
                     if size > 4 << 20:
                         yield out
@@ -243,6 +246,93 @@ def _find_contexts(length: int, gram: int):
     return rows
 
 
+def _find_pieces(length: int, gram: int, width: int, places: bool):
+    """``batches``: hash, x, key, starts, context. Rows of PLACES or of WIDE."""
+
+    def rows(batches):
+        for b in batches:
+            out, size = [], 0
+            for h, x, key, starts, context in zip(*(c.to_pylist() for c in b.columns)):
+                for group, digest, i, part in pieces(h, x, context, length, gram, width):
+                    if places:
+                        out.append((group, digest, key, [s + i for s in starts], len(part)))
+                    else:
+                        out.append((group, digest, len(starts), x - i, key, starts[0] + i, part))
+                        size += len(part)
+                if size > 4 << 20 or len(out) > 50_000:
+                    yield out
+                    out, size = [], 0
+            yield out
+
+    return rows
+
+
+def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    at = end = -1
+    for a, e in sorted(spans):
+        if a > end:
+            if end >= 0:
+                yield at, end
+            at, end = a, e
+        end = max(end, e)
+    if end >= 0:
+        yield at, end
+
+
+def _mark_pieces(length: int, gram: int, width: int, alike):
+    """``batches``: hash, x, key, starts, context. SPANS of the pieces whose digests are in the broadcast set, united over neighbouring rows of a text."""
+
+    def rows(batches):
+        known, last, spans = alike.value, None, []
+        for b in batches:
+            out = []
+            for h, x, key, starts, context in zip(*(c.to_pylist() for c in b.columns)):
+                if key != last:
+                    out += [(last, a, e) for a, e in _merged(spans)]
+                    last, spans = key, []
+                for _, digest, i, part in pieces(h, x, context, length, gram, width):
+                    if digest in known:
+                        spans += [(s + i, s + i + len(part)) for s in starts]
+            yield out
+        yield [(last, a, e) for a, e in _merged(spans)]
+
+    return rows
+
+
+def resolve_hot(members: DataFrame, length: int, gram: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of hot anchors' contexts (CONTEXTS): contexts for the shards, and covered stretches (SPANS).
+
+    Each round counts equal pieces, covers those that stand twice, hands groups
+    of a few distinct pieces to the shards and cuts those of larger groups.
+    Pieces of one digest are one row after the first round.
+    """
+    sent, covered, width = [], [], length - gram + 1
+    while True:
+        rows = members.select("hash", "x", "key", "starts", "context")
+        wide = _arrow_map(rows, WIDE, _find_pieces(length, gram, width, False))
+        one = wide.groupBy("group", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "x", "context")).alias("r"))
+        one = materialize(one.select("group", "digest", "n", "r.*"), "pieces")
+        distinct = one.groupBy("group").agg(F.count("*").alias("d")).where("d > 1")
+        alike = one.where("n > 1").select(F.col("group").alias("g"), F.col("digest").alias("e"))
+        if alike.count() <= ALIKE:
+            # a digest names the group too: its bytes hold all that the group's strings have in common
+            known = members.sparkSession.sparkContext.broadcast(frozenset(alike.select("e").toArrow().column(0).to_pylist()))
+            met = _arrow_map(rows, SPANS, _mark_pieces(length, gram, width, known))
+        else:
+            places = _arrow_map(rows, PLACES, _find_pieces(length, gram, width, True))
+            met = places.join(alike, (F.col("group") == F.col("g")) & (F.col("digest") == F.col("e"))).select("key", "size", F.explode("starts").alias("from"))
+            met = met.select("key", "from", (F.col("from") + F.col("size")).alias("to"))
+        covered.append(materialize(met, "alike"))
+        left = one.join(distinct.withColumnRenamed("group", "g"), F.col("group") == F.col("g"))
+        left = left.select(F.col("group").alias("hash"), F.lit(1 + len(sent)).alias("salt"), "x", "key", F.array("start").alias("starts"), "context", "d")
+        left = materialize(left, "unlike")
+        sent.append(left.where(F.col("d") <= hot if width > 1 else F.lit(True)).drop("d"))
+        members = left.where(F.col("d") > hot)
+        if width == 1 or members.isEmpty():
+            return sent, covered
+        width = -(-width // CUT)
+
+
 def _find_spans(length: int):
     """Partitions come sorted by (hash, salt)."""
 
@@ -289,7 +379,7 @@ def _finish(length: int, with_kept: bool):
     return rows
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes: a cut may split a character).
 
     A null text is empty. Repeated rows are copies: of a text of ``length``
@@ -299,6 +389,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if gram & (gram - 1) or gram > length:
         raise ValueError("gram is a power of two, up to length")
+    hot = min(hot, (MOST - 1) // (2 * length - gram + 2))  # one anchor's contexts fit one array
     spark = docs.sparkSession
     narrow = id_and_text(docs, id_col, text_col)
     narrow = narrow.withColumn("text", F.coalesce("text", F.lit("")))
@@ -316,13 +407,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = found.join(many, F.col("hash") == F.col("h")).groupBy("key").agg(F.collect_list(F.struct("hash", "count")).alias("found"))
     repeated = repeated.select(F.col("key").alias("k"), F.col("found.hash").alias("hashes"), F.col("found.count").alias("counts"))
     met = long.join(repeated, F.col("key") == F.col("k")).select("key", "text", "hashes", "counts")
-    sent = _arrow_map(met, CONTEXTS, _find_contexts(length, gram))
-    dealt = sent.repartition("hash", "salt").sortWithinPartitions("hash", "salt")
-    spans = _arrow_map(dealt, SPANS, _find_spans(length)).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    sent, covered = _arrow_map(met, CONTEXTS, _find_contexts(length, gram, hot)), []
+    if not many.where(F.col("count") > hot).isEmpty():
+        sent = materialize(sent, "contexts")
+        more, covered = resolve_hot(sent.where("salt = 1"), length, gram, hot)
+        sent = reduce(DataFrame.union, more, sent.where("salt = 0"))
+    dealt = sent.select("hash", "salt", "key", "starts", "context").repartition("hash", "salt").sortWithinPartitions("hash", "salt")
+    spans = reduce(DataFrame.union, covered, _arrow_map(dealt, SPANS, _find_spans(length))).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     spans = materialize(spans.withColumnRenamed("key", "k"), "spans")
 
     fields = [StructField("key", BinaryType()), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType())]
     fields += [StructField("kept", BinaryType())] * with_kept
     judged = texts.join(spans, F.col("key") == F.col("k"), "left").select("key", "text", "copies", "spans")
     results = materialize(_arrow_map(judged, StructType(fields), _finish(length, with_kept)), "kept")
+    spark.sql(f"DROP TABLE {name}")
     return keyed.select("doc_id", F.col("key").alias("k")).join(results, F.col("k") == F.col("key")).select("doc_id", *(f.name for f in fields[1:]))
