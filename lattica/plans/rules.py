@@ -62,7 +62,7 @@ def graph(spark, d) -> Graph:
     nodes = base.unionByName(code).unionByName(state, allowMissingColumns=True)
     kind = F.create_map(*(F.lit(x) for kv in {"org.Region": "Zone", "party.Customer": "Buyer", "party.Supplier": "Vendor", "asset.Part": "Part", "event.Order": "Order"}.items() for x in kv))
     typed = base.select("node_id", kind[F.col("node_type")].alias("concept")).where("concept is not null")
-    users = base.where("node_type = 'party.Customer' and cast(substring(node_id, 3) as long) % 50 = 1").select("node_id", F.lit("User").alias("concept"))
+    users = base.where("node_type = 'party.Customer' and props['segment'] = 'MACHINERY'").select("node_id", F.lit("User").alias("concept"))
     blocked = base.where("node_type = 'event.Order' and props['priority'] = '1-URGENT'").select("node_id", F.lit("Blocked").alias("concept"))
     late = views.cfg(spark, d).where("ord >= 4").select("node_id", F.lit("late").alias("concept"))
     plain = typed.union(users).union(blocked).union(late).select("*", F.lit("high").alias("confidence"), F.lit("semantic").alias("fidelity"), F.create_map().cast("map<string,string>").alias("detail"))
@@ -92,12 +92,12 @@ _TAINT = "r(node_id) AS (SELECT 'C:' || c_custkey FROM customer UNION SELECT f.d
 query("rule_taint", f"WITH RECURSIVE {FLOWS}, {_TAINT} " + _sql("D-5", "Vendor", "SELECT node_id, 'party.Supplier:' || substr(node_id, 3) AS loc FROM r WHERE node_id LIKE 'S:%'"))(findings_of("Taint"))
 _R3 = "n1 AS (SELECT 'R:' || r_regionkey AS source, n.dst AS node FROM region JOIN net n ON n.src = 'R:' || r_regionkey), n2 AS (SELECT source, n.dst AS node FROM n1 JOIN net n ON n.src = node), n3 AS (SELECT DISTINCT source, n.dst AS node_id, 'asset.Part:' || substr(n.dst, 3) AS loc, CAST(substr(n.dst, 3) AS BIGINT) AS k FROM n2 JOIN net n ON n.src = node WHERE n.dst LIKE 'P:%')"
 query("rule_reach", f"WITH {NET}, {_R3} " + _sql("D-6", "Part", "SELECT n3.* FROM n3 JOIN part ON p_partkey = k WHERE p_type IN ('TIN', 'BRASS')", source="source"))(findings_of("Reach"))
-query("rule_grant", f"WITH {STEPS}, o AS (SELECT DISTINCT 'C:' || c_custkey AS source, dst AS node FROM customer JOIN steps ON src = 'C:' || c_custkey WHERE c_custkey % 50 = 1) " + _sql("D-7", "Rich", "SELECT source, dst AS node_id, 'party.Supplier:' || substr(dst, 3) AS loc FROM o JOIN steps ON src = node WHERE dst IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000)", source="source"))(findings_of("Grant"))
+query("rule_grant", f"WITH {STEPS}, o AS (SELECT DISTINCT 'C:' || c_custkey AS source, dst AS node FROM customer JOIN steps ON src = 'C:' || c_custkey WHERE c_mktsegment = 'MACHINERY') " + _sql("D-7", "Rich", "SELECT source, dst AS node_id, 'party.Supplier:' || substr(dst, 3) AS loc FROM o JOIN steps ON src = node WHERE dst IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000)", source="source"))(findings_of("Grant"))
 query("rule_order", f"WITH {CFG} " + _sql("D-8", "", "SELECT * FROM cfg b WHERE concept = 'candidate' AND EXISTS (SELECT 1 FROM cfg a WHERE a.concept = 'check' AND a.okey = b.okey AND a.ord < b.ord AND (a.region = b.region OR starts_with(a.region, b.region || '/') OR starts_with(b.region, a.region || '/')))"))(findings_of("Order"))
 query("rule_references", _sql("D-9", "", "SELECT 'O:' || o_orderkey AS node_id, 'event.Order:' || o_orderkey AS loc FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"))(findings_of("Refs"))
 query("rule_labeledAs", f"WITH {CFG} " + _sql("D-10", "", "SELECT * FROM cfg WHERE concept = 'candidate' AND ord >= 4"))(findings_of("Both"))
 query("rule_transition", _sql("D-11", "", "SELECT 'T:' || conv_id || ':' || turn AS node_id, '' AS loc FROM conversations WHERE role = 'assistant'"))(findings_of("Move"))
 query("solver_call_reach", f"WITH {NET}, {_R3} " + _sql("D-12", "Part", "SELECT n3.* FROM n3 JOIN part ON p_partkey = k WHERE p_size >= 40"))(findings_of("Near"))
-query("solver_call_grant", f"WITH {STEPS}, o AS (SELECT DISTINCT c_custkey, dst AS node FROM customer JOIN steps ON src = 'C:' || c_custkey WHERE c_custkey % 50 = 1) " + _sql("D-13", "User", "SELECT DISTINCT 'C:' || c_custkey AS node_id, 'party.Customer:' || c_custkey AS loc FROM o JOIN steps ON src = node WHERE dst IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000)"))(findings_of("Can"))
+query("solver_call_grant", f"WITH {STEPS}, o AS (SELECT DISTINCT c_custkey, dst AS node FROM customer JOIN steps ON src = 'C:' || c_custkey WHERE c_mktsegment = 'MACHINERY') " + _sql("D-13", "User", "SELECT DISTINCT 'C:' || c_custkey AS node_id, 'party.Customer:' || c_custkey AS loc FROM o JOIN steps ON src = node WHERE dst IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000)"))(findings_of("Can"))
 query("solver_call_dominates", f"WITH {CFG}, g AS (SELECT * FROM cfg WHERE concept = 'check') " + _sql("D-14", "candidate", f"SELECT * FROM cfg c WHERE concept = 'candidate' AND EXISTS (SELECT 1 FROM g WHERE g.okey = c.okey AND {DOMINATES})", confidence=CONF))(findings_of("After"))
 query("rule_reach_semantic", f"WITH {NET}, {_R3} " + _sql("D-15", "", "SELECT * FROM n3"))(findings_of("Semantic"))

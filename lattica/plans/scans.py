@@ -48,11 +48,10 @@ def _(spark, d):
     return g.expand(g.nodes_of_type("asset.Part"), "NET", reverse=True).groupBy("node_id").agg(F.count("*").alias("n_in"))
 
 
-@query("scan_labels", f"WITH {CFG} SELECT node_id, concept, confidence, fidelity, coverage FROM cfg WHERE okey % 10 = 3")
+@query("scan_labels", f"WITH {CFG} SELECT node_id, concept, confidence, fidelity, coverage FROM cfg")
 def _(spark, d):
     g = graph(spark, d)
-    ids = views.cfg(spark, d).where("okey % 10 = 3")
-    return g.labels_of(ids).select("node_id", "concept", "confidence", "fidelity", F.element_at("detail", F.lit("coverage")).alias("coverage"))
+    return g.labels_of(views.cfg(spark, d)).select("node_id", "concept", "confidence", "fidelity", F.element_at("detail", F.lit("coverage")).alias("coverage"))
 
 
 @query("write_node", "SELECT 'S:' || s_suppkey AS node_id, CASE WHEN s_acctbal < 0 THEN 'flagged' ELSE 'kept' END AS state FROM supplier")

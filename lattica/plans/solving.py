@@ -106,10 +106,10 @@ def _(spark, d):
 
 
 def vip(spark, d):
-    return views.table(spark, d, "customer").where("c_custkey % 50 = 1").select(views.ident("C", "c_custkey").alias("node_id"))
+    return views.table(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(views.ident("C", "c_custkey").alias("node_id"))
 
 
-VIP = "vip AS (SELECT 'C:' || c_custkey AS node_id FROM customer WHERE c_custkey % 50 = 1)"
+VIP = "vip AS (SELECT 'C:' || c_custkey AS node_id FROM customer WHERE c_mktsegment = 'MACHINERY')"
 
 
 @query("grant_closure", f"WITH {STEPS}, {VIP}, o AS (SELECT DISTINCT node_id AS source, dst AS node FROM vip JOIN steps ON src = node_id), s AS (SELECT DISTINCT source, dst AS node FROM o JOIN steps ON src = node), n AS (SELECT DISTINCT source, dst AS node FROM s JOIN steps ON src = node WHERE node NOT IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000)) SELECT source, node AS target, 2 AS depth FROM s WHERE node IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000) UNION ALL SELECT source, node, 3 FROM n WHERE node IN ('N:1', 'N:2')")
