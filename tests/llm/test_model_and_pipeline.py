@@ -8,7 +8,8 @@ from lattica.llm import quality_model, queries
 
 from .data import odd_documents
 from .test_corpus import brute_contamination, brute_mix
-from .test_texts import brute_components, brute_fingerprint, brute_quality
+from .test_near_copies import brute_kept
+from .test_texts import brute_quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,8 +68,7 @@ def test_stages_against_brute_force(spark):
         if name == "quality rules":
             expected = [x[0] for x in brute_quality(rows) if x[-1]]
         elif name == "SimHash near-dedup":
-            roots = brute_components([brute_fingerprint(t) for _, t, *_ in rows])
-            expected = [min(i for (i, *_), q in zip(rows, roots) if q == r) for r in set(roots)]
+            expected = brute_kept([r[:2] for r in rows])
         elif name == "benchmark decontamination":
             expected = [x[0] for x in brute_contamination(rows, [tuple(r) for r in benchmark.select("item_id", "text").collect()]) if not x[-1]]
         else:
