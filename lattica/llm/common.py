@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _release() -> None:
+    """Give freed memory back to the system: Python workers are reused, and stand beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_columns(df: DataFrame, schema: StructType, make: Callable[[], Callable[..., dict | None]]) -> DataFrame:
     """mapInArrow over slices of columns.
 
@@ -81,6 +89,8 @@ def map_columns(df: DataFrame, schema: StructType, make: Callable[[], Callable[.
                     yield batch_of(out)
         for out in getattr(fn, "finish", lambda: ())():
             yield batch_of(out)
+        del fn
+        _release()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ MIN_LEFT = 0.5
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, "#*$%&|<>"
 #: (host, line) sums that a task holds before it passes them on.
-HELD = 200_000
+HELD = 40_000
 
 
 def line_key(line: bytes) -> int | None:

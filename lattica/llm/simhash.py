@@ -104,7 +104,9 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if threshold > 3:
         raise ValueError("the anchors cover thresholds up to 3")
     sides = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
-    halves = distinct.select("fp", F.posexplode(sides).alias("side", "half"))
+    # few bytes, but many replicas: all cores make them
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    halves = spread.select("fp", F.posexplode(sides).alias("side", "half"))
     key = F.col("side").cast("long") * F.lit(1 << 32)
     homes = halves.select(F.col("fp").alias("x"), (key + home(F.col("half"))).alias("at"))
     replicas = halves.select(F.col("fp").alias("y"), F.explode(F.transform(anchors(F.col("half")), lambda c: c + key)).alias("anchor"))
