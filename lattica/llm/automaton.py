@@ -27,8 +27,10 @@ import json
 
 import numpy as np
 
-#: Symbols of a chunk; states that are kept, beyond which the machine starts anew.
-CHUNK, MAX_STATES = 512, 1 << 18
+#: Symbols of a chunk; states beyond which only the half visited most is kept for the next batch.
+CHUNK, MAX_STATES = 512, 3 << 16
+#: States that the tables have room for before they grow. Their pages take memory only once a state is written to them.
+ROOM = 3 << 17
 _BLANKS, _DIGITS = b" \t\n\r\x0b\x0c", b"0123456789"
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Second bytes of the lower-case letters U+00DF to U+00FF without the division sign.
@@ -115,10 +117,33 @@ class Machine:
         self.fits: dict[int, bool] = {}
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = [()]  # state 0 is none
-        self.table = np.zeros(1024 * WIDTH, dtype=np.uint32)
-        self.prefix_token, self.end_token = np.zeros(1024, dtype=np.int32), np.zeros(1024, dtype=np.int32)
+        self.table = np.zeros(ROOM * WIDTH, dtype=np.uint32)
+        self.prefix_token, self.end_token = np.zeros(ROOM, dtype=np.int32), np.zeros(ROOM, dtype=np.int32)
+        self.visits = np.zeros(0, dtype=np.int64)
         self.start = self._state((0, -1, 0))
 
+    def shrink(self) -> None:
+        """Keep the half of MAX_STATES that was visited most, with the transitions among them; the others are made again when met."""
+        visits = self.visits.copy()
+        visits[: self.start + 1] = np.iinfo(np.int64).max
+        keep = np.sort(np.argsort(-visits, kind="stable")[: max(MAX_STATES // 2, self.start + 1)])
+        to = np.zeros(len(self.keys), dtype=np.uint32)
+        to[keep] = np.arange(len(keep), dtype=np.uint32)
+        old, self.table = self.table.reshape(-1, WIDTH), np.zeros(ROOM * WIDTH, dtype=np.uint32)
+        new = self.table.reshape(-1, WIDTH)
+        for at in range(0, len(keep), 4096):
+            entries = old[keep[at : at + 4096]]
+            target = to[(entries >> _BITS) // WIDTH]
+            new[at : at + len(entries)] = np.where(target > 0, target * np.uint32(WIDTH) << _BITS | entries & _LOW, 0)
+        for name in ("prefix_token", "end_token"):
+            held = np.zeros(ROOM, dtype=np.int32)
+            held[: len(keep)] = getattr(self, name)[keep]
+            setattr(self, name, held)
+        self.keys = [self.keys[k] for k in keep.tolist()]
+        self.states = {key: k for k, key in enumerate(self.keys) if k}
+        self.visits = self.visits[keep] // 2
+        self.fits = {}
+
     def _state(self, key: tuple) -> int:
         found = self.states.get(key)
         if found is None:
@@ -221,7 +246,7 @@ class Machine:
     def run(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """After each symbol: the state's place, and the change of the number of tokens. The stream begins after an END and ends with one."""
         if len(self.keys) > MAX_STATES:
-            self.reset()
+            self.shrink()
         n = -(-len(symbols) // CHUNK)
         stream = np.zeros(n * CHUNK, dtype=np.uint8)
         stream[: len(symbols)] = symbols
@@ -252,6 +277,9 @@ class Machine:
             state[at] = now  # chunks without END
             live = live[(first[live] == CHUNK) & (live + 1 < n)] + 1
         flat = np.ascontiguousarray(entries.T).reshape(-1)[: len(symbols)]
+        visits = np.bincount((flat >> _BITS) // WIDTH, minlength=len(self.keys))
+        visits[: len(self.visits)] += self.visits
+        self.visits = visits
         return flat >> _BITS, (flat & _LOW).astype(np.int8) - np.int8(_BIAS)
 
     def tokens(self, symbols: np.ndarray, states: np.ndarray) -> np.ndarray:
