@@ -59,7 +59,7 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the system: Python workers are reused, and stand beside the next stage's."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -90,7 +90,7 @@ def map_columns(df: DataFrame, schema: StructType, make: Callable[[], Callable[.
         for out in getattr(fn, "finish", lambda: ())():
             yield batch_of(out)
         del fn
-        _release()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -79,6 +80,53 @@ def test_longest_matches(spark):
         assert d[r.doc_word : r.doc_word + r.n_words] == i[r.item_word : r.item_word + r.n_words]
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 2000])
+def test_longest_match_of_each_document(spark, slice_bytes):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefgh")
+    items = [(i, " ".join(word() for _ in range(rng.choice([2, 13, 14, 40, 60])))) for i in range(30)]
+    items += [(100 + i, items[i][1][: 60 - i] + " tail of its own " + items[i + 1][1]) for i in range(20)]
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            w = items[rng.randrange(len(items))][1].split()
+            a = rng.randrange(max(1, len(w) - 12))
+            parts += [word(), *w[a : a + rng.randrange(10, 60)]]
+        docs.append((i, " ".join(parts), "en", "a"))
+    read = [(str(n), words(t)) for n, t in items]
+    want = {}
+    for i, text, *_ in docs:
+        w, best = words(text), (0, 0)
+        for a in range(len(w)):
+            for _, x in read:
+                for s in range(max(1, len(x) - 12)):
+                    m = 0
+                    while a + m < len(w) and s + m < len(x) and w[a + m] == x[s + m]:
+                        m += 1
+                    if m >= min(13, len(x)):
+                        best = max(best, (m, -a))
+        want[i] = (best[0], -best[1]) if best[0] else (None, None)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.judge(odd_documents(spark, docs), benchmark, slice_bytes=slice_bytes, with_longest=True).collect()
+    assert {r.doc_id: (r.longest, r.longest_at) for r in got} == want and any(want.values())
+    names = dict(read)
+    for r in got:
+        if r.longest:
+            run = " ".join(words(docs[r.doc_id][1])[r.longest_at : r.longest_at + r.longest])
+            assert f" {run} " in f" {' '.join(names[r.longest_item])} "
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 300])
+def test_clean_documents_keep_their_columns(spark, slice_bytes):
+    docs = odd_documents(spark, DOCS).withColumnsRenamed({"host": "_hits", "fingerprint": "_items", "n_chars": "n_hit"})
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, benchmark, slice_bytes=slice_bytes)
+    bad = {(x[0], x[1]) for x in brute_contamination(DOCS, ITEMS) if x[-1]}
+    assert bad and kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((tuple(r) for r in docs.collect() if (r.doc_id, len(words(r.text))) not in bad), key=str)
+
+
 def test_empty_tables(spark):
     docs, items = odd_documents(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.judge(docs, items).where("n_hit > 0").count() == 0
