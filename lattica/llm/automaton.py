@@ -28,9 +28,9 @@ import json
 import numpy as np
 
 #: Symbols of a chunk; states beyond which only the half visited most is kept for the next batch.
-CHUNK, MAX_STATES = 512, 3 << 16
+CHUNK, MAX_STATES = 512, 1 << 17
 #: States that the tables have room for before they grow. Their pages take memory only once a state is written to them.
-ROOM = 3 << 17
+ROOM = 1 << 18
 _BLANKS, _DIGITS = b" \t\n\r\x0b\x0c", b"0123456789"
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Second bytes of the lower-case letters U+00DF to U+00FF without the division sign.

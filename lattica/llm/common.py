@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Rows that are turned into Python objects at a time; bounds a worker's memory, not the result.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch, where the session does not say.
+BATCH_ROWS = 2048
 
 _own_dirs: dict[str, str] = {}
 
@@ -66,6 +68,13 @@ def release() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches in a session that has Spark's own default of 10,000 rows: JVM and worker each hold some batches of whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_columns(df: DataFrame, schema: StructType, make: Callable[[], Callable[..., dict | None]]) -> DataFrame:
     """mapInArrow over slices of columns.
 
@@ -74,6 +83,7 @@ def map_columns(df: DataFrame, schema: StructType, make: Callable[[], Callable[.
     columns by name, or None for no rows. A ``finish`` attribute of that
     function, if there is one, yields more outputs at the task's end.
     """
+    bound_batches(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def batch_of(cols: dict) -> pa.RecordBatch:

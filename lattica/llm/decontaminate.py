@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import materialize, release, utf8
+from .common import bound_batches, materialize, release, utf8
 
 WINDOW = 13
 #: A document is contaminated if at least this share of its words is hit (as a fraction: words times it).
@@ -260,6 +260,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     nor a worker holds more than one slice.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kept = [f for f in docs.schema.fields]
     state = [StructField(f"_found_{uuid.uuid4().hex}", kind) for kind in (ArrayType(LongType()), ArrayType(StringType()), *(f.dataType for f in LONGEST))]
     parts = slices(benchmark, item_col, item_text, slice_bytes)

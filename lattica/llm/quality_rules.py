@@ -19,7 +19,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from .common import map_columns, materialize, utf8
 
@@ -64,12 +64,12 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
 
 
-def frequent_lines(docs: DataFrame, max_share: float | None, min_documents: int) -> DataFrame:
-    """(host, lines): for each host the hashes of its lines above the limit. ``docs``: host, text.
+def line_keys(text: str | None) -> set[int]:
+    return {k for x in set(utf8(text).split(b"\n")) if (k := line_key(x)) is not None}
 
-    Without ``max_share`` only distinct texts of a host count, and the limit
-    grows with the square root of their number.
-    """
+
+def _document_counts(docs: DataFrame) -> DataFrame:
+    """(host, line, n): the documents of each line; a null line counts all of the host."""
 
     def make():
         sums: Counter = Counter()
@@ -84,14 +84,44 @@ def frequent_lines(docs: DataFrame, max_share: float | None, min_documents: int)
         def count(hosts, texts):
             for host, text in zip(hosts, texts):
                 rows[host] += 1
-                sums.update((host, k) for k in {line_key(x) for x in set(utf8(text).split(b"\n"))} if k is not None)
+                sums.update((host, k) for k in line_keys(text))
             return flush() if len(sums) > HELD else None
 
         count.finish = lambda: [flush()]
         return count
 
     schema = StructType([StructField("host", StringType()), StructField("line", LongType()), StructField("n", LongType())])
-    counts = map_columns(docs.select("host", "text") if max_share is not None else docs.select("host", "text").distinct(), schema, make).groupBy("host", "line").agg(F.sum("n").alias("n"))
+    return map_columns(docs, schema, make).groupBy("host", "line").agg(F.sum("n").alias("n"))
+
+
+def _distinct_text_counts(docs: DataFrame) -> DataFrame:
+    """(host, line, n): the distinct texts of each line; a null line counts all of the host.
+
+    A text is told by its 128-bit digest, so that only its line hashes are
+    shuffled. Copies are met within each task first.
+    """
+
+    def make():
+        def keys(hosts, texts):
+            return {"host": hosts, "digest": [None if t is None else xxhash.xxh3_128_digest(utf8(t)) for t in texts], "lines": [sorted(line_keys(t)) for t in texts]}
+
+        return keys
+
+    schema = StructType([StructField("host", StringType()), StructField("digest", BinaryType()), StructField("lines", ArrayType(LongType()))])
+    once = map_columns(docs, schema, make).distinct()
+    lines = F.concat(F.array(F.lit(None).cast("long")), "lines")
+    return once.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequent_lines(docs: DataFrame, max_share: float | None, min_documents: int) -> DataFrame:
+    """(host, lines): for each host the hashes of its lines above the limit. ``docs``: host, text.
+
+    Without ``max_share`` only distinct texts of a host count, and the limit
+    grows with the square root of their number.
+    """
+
+    docs = docs.select("host", "text")
+    counts = _distinct_text_counts(docs) if max_share is None else _document_counts(docs)
     counts = materialize(counts, "line-counts")
     size = counts.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("docs"))
     # a line over the limit is in more than min_documents; that filter comes before the join
@@ -101,7 +131,7 @@ def frequent_lines(docs: DataFrame, max_share: float | None, min_documents: int)
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float | None = MAX_SHARE, min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """One row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left and, if asked for, clean_text (without the removed lines) and the columns to carry.
+    """One row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left and, if asked for, clean_text (without the removed lines), changed (whether any was) and the columns to carry.
 
     A document is a row: repeated rows count as often as they occur, unless
     ``max_share`` is None (see ``frequent_lines``). A null
@@ -115,7 +145,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = narrow.join(frequent, narrow.host.eqNullSafe(frequent.h), "left").select("doc_id", "text", "lines", *(f"_c_{c}" for c in carry))
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     fields = [narrow.schema["doc_id"], *(StructField(c, LongType()) for c in longs), StructField("base_failed", BooleanType()), StructField("kept", BooleanType()), StructField("words_left", LongType())]
-    fields += [StructField("clean_text", StringType())] * with_text + [narrow.schema[f"_c_{c}"] for c in carry]
+    fields += [StructField("clean_text", StringType()), StructField("changed", BooleanType())] * with_text + [narrow.schema[f"_c_{c}"] for c in carry]
 
     def make():
         sets: dict[int, tuple] = {}
@@ -132,12 +162,12 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out: dict[str, list] = {f.name: [] for f in fields}
             for text, known in zip(texts, lines):
                 stats = statistics(text)
-                left, clean = stats[0], text
+                left, clean, changed = stats[0], text, False
                 if known:
                     common = frequent_set(known)
                     parts = utf8(text).split(b"\n")
                     gone = [line_key(x) in common for x in parts]
-                    if any(gone):
+                    if changed := any(gone):
                         left -= sum(len(x.split()) for x, g in zip(parts, gone) if g)
                         clean = b"\n".join(x for x, g in zip(parts, gone) if not g).decode("utf-8", "surrogatepass") if with_text else None
                 failed = base_failed(stats[0], stats[4])
@@ -148,6 +178,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out["words_left"].append(left)
                 if with_text:
                     out["clean_text"].append(clean)
+                    out["changed"].append(changed)
             out["doc_id"] = ids
             for c, values in zip(carry, others):
                 out[f"_c_{c}"] = values

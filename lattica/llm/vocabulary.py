@@ -24,7 +24,7 @@ _EXPECTED_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of other characters that a worker keeps, each of so many characters at most; beyond, it starts anew.
 MAX_PIECES, MAX_PIECE = 50_000, 100
 #: Bytes that go through the transducers at a time, about.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 _BLANKS = re.compile("[ \t-\r]+")
 
 
