@@ -103,5 +103,54 @@ FROM (SELECT *, unnest(range(1, (whole + CASE WHEN rest > 0 AND until < rest THE
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT rid, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+base AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS n_lang, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(base.n, 0) + 2 * v.v) AS p,
+      1 + (1000000000 * (kept.n + 2)) // (v.n + 2 * v.v) AS q
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN base ON base.lang = g.lang AND base.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+_OP11 = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0::BIGINT] || [0] || [0] || [0] || [0] || [0] || [0] || [0]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+size AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+r AS (
+  SELECT ids.conv_id, o.pos, role, text FROM ids JOIN o ON o.conv_id = base WHERE o.pos < h
+  UNION ALL
+  SELECT ids.conv_id, o.pos - h + least(h, coalesce(size.n, 0)), role, text FROM ids JOIN o USING (conv_id) LEFT JOIN size ON size.conv_id = base WHERE o.pos >= h
+),
+m AS (
+  SELECT conv_id, 0 AS depth, '' AS node, 0 AS size FROM ids
+  UNION ALL
+  SELECT conv_id, pos + 1 AS depth, sha256(to_json(list(md5(to_json([role, text]))) OVER (PARTITION BY conv_id ORDER BY pos))) AS node, length(text) AS size FROM r
+),
+l AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY conv_id),
+n AS (SELECT node, min(conv_id) AS own, min(depth) AS depth, count(*) AS n_convs, min(size) AS size FROM m GROUP BY node),
+up AS (SELECT DISTINCT m.node, p.node AS parent FROM m JOIN m p ON p.conv_id = m.conv_id AND p.depth = m.depth - 1),
+kids AS (SELECT parent AS node, count(*) AS n FROM up GROUP BY parent),
+one AS (SELECT n.node, n.own, n.size * (n_convs - 1) AS saved, kids.n IS NULL AS leaf FROM n LEFT JOIN kids USING (node)),
+under AS (SELECT a.node AS top, one.* FROM one JOIN n d USING (node) JOIN m a ON a.conv_id = d.own AND a.depth <= d.depth),
+sums AS (SELECT top AS node, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM under GROUP BY top),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM m JOIN l USING (conv_id) WHERE depth = last GROUP BY node)
+SELECT n.own AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.own AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN up USING (node) LEFT JOIN n p ON p.node = up.parent LEFT JOIN kids ON kids.node = n.node JOIN sums ON sums.node = n.node LEFT JOIN ends ON ends.node = n.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2, "op3_decontaminate": _OP3, "op4_mix_sources": _op4(), "op10_quality_rules": _OP10}
+    return {"op2_url_filter": _OP2, "op3_decontaminate": _OP3, "op4_mix_sources": _op4(), "op10_quality_rules": _OP10, "op11_conversation_trie": _OP11, "op12_source_divergence": _OP12}

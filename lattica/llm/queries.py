@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_count, token_file, url_filter
+from . import conversation_trie, decontaminate, divergence, license_scan, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_count, token_file, url_filter, word_dedup
 from .common import table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -58,8 +58,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_decontaminate, op4_mix_sources, op5_suffix_dedup, op6_quality_model, op7_token_count, op8_token_file, op9_license_scan, op10_quality_rules)}
+    known = [op1_simhash, op2_url_filter, op3_decontaminate, op4_mix_sources, op5_suffix_dedup, op6_quality_model, op7_token_count, op8_token_file, op9_license_scan, op10_quality_rules]
+    return {f.__name__: f for f in [*known, op11_conversation_trie, op12_source_divergence, op13_word_dedup]}
 
 
 def oracle_sql() -> dict[str, str]:
