@@ -15,10 +15,16 @@ emitted since. Each transition carries the change of the number of tokens
 back to the start state. States and transitions are made when they are first
 met, and kept.
 
-A batch is cut into equal chunks that are run in lockstep, from the start
-state. A chunk with an END is a constant map of states; only the symbols
-before its first END depend on its entry state, which is the composed exit of
-the chunks before, and these are run again.
+A stream is read in segments of equal chunks that run in lockstep, first all
+from the start state. That gives each chunk's map of states at one entry; a
+chunk with an END has a constant map. The exits of one turn are tried as the
+entries of the next chunks in the following turn, until the maps' composition,
+by a parallel prefix scan, says every chunk's true entry; few symbols suffice
+for most runs to meet what they wrote before, and end there. Where TURNS turns
+don't tell all entries, the chunks left are run one after another.
+
+Tables have room for ROOM states, whatever the text: when they are full, within
+a segment too, the half visited most is kept, with all states in use.
 """
 
 from __future__ import annotations
@@ -27,10 +33,10 @@ import json
 
 import numpy as np
 
-#: Symbols of a chunk; states beyond which only the half visited most is kept for the next batch.
-CHUNK, MAX_STATES = 512, 1 << 17
-#: States that the tables have room for before they grow. Their pages take memory only once a state is written to them.
-ROOM = 1 << 18
+#: Symbols of a chunk and of a segment; turns in which entries of chunks are guessed.
+CHUNK, SEGMENT, TURNS = 512, 1 << 19, 6
+#: States that a machine has at most: 408 bytes of tables each, about 350 of keys; known pairs of tokens.
+ROOM, MAX_FITS = 1 << 17, 1 << 19
 _BLANKS, _DIGITS = b" \t\n\r\x0b\x0c", b"0123456789"
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Second bytes of the lower-case letters U+00DF to U+00FF without the division sign.
@@ -39,7 +45,7 @@ END, NONE, LEAD = 0, 255, 0xC3
 _READ = _DIGITS + b"abcdefghijklmnopqrstuvwxyz" + _PUNCTUATION + bytes([LEAD]) + _SECOND
 WIDTH = len(_READ) + 1
 _LETTER, _DIGIT, _OTHER, _BLANK = range(4)
-#: A table entry is the next state's place in the table, and in its low bits the change of the number of tokens.
+#: A table entry is the next state's number (25 bits), and in its low bits the change of the number of tokens.
 _BITS, _BIAS = 7, 64
 _LOW = (1 << _BITS) - 1
 
@@ -118,41 +124,43 @@ class Machine:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = [()]  # state 0 is none
         self.table = np.zeros(ROOM * WIDTH, dtype=np.uint32)
-        self.prefix_token, self.end_token = np.zeros(ROOM, dtype=np.int32), np.zeros(ROOM, dtype=np.int32)
-        self.visits = np.zeros(0, dtype=np.int64)
+        self.prefix_token, self.end_token = np.zeros(ROOM, dtype=np.int32), np.full(ROOM, -1, dtype=np.int32)
+        self.visits = np.zeros(ROOM, dtype=np.int64)
         self.start = self._state((0, -1, 0))
 
-    def shrink(self) -> None:
-        """Keep the half of MAX_STATES that was visited most, with the transitions among them; the others are made again when met."""
-        visits = self.visits.copy()
+    def shrink(self, used: list[np.ndarray]) -> np.ndarray:
+        """Keep the half of the states that was visited most and those in use, with the transitions among them; the others are made again when met. The new numbers of the old ones, 0 for none."""
+        n = len(self.keys)
+        visits = self.visits[:n].copy()
         visits[: self.start + 1] = np.iinfo(np.int64).max
-        keep = np.sort(np.argsort(-visits, kind="stable")[: max(MAX_STATES // 2, self.start + 1)])
-        to = np.zeros(len(self.keys), dtype=np.uint32)
+        for u in used:
+            visits[u] = np.iinfo(np.int64).max
+        n_used = int((visits == np.iinfo(np.int64).max).sum())
+        keep = np.sort(np.argsort(-visits, kind="stable")[: max(ROOM // 2, n_used)])
+        to = np.zeros(n, dtype=np.uint32)
         to[keep] = np.arange(len(keep), dtype=np.uint32)
-        old, self.table = self.table.reshape(-1, WIDTH), np.zeros(ROOM * WIDTH, dtype=np.uint32)
-        new = self.table.reshape(-1, WIDTH)
-        for at in range(0, len(keep), 4096):
-            entries = old[keep[at : at + 4096]]
-            target = to[(entries >> _BITS) // WIDTH]
-            new[at : at + len(entries)] = np.where(target > 0, target * np.uint32(WIDTH) << _BITS | entries & _LOW, 0)
-        for name in ("prefix_token", "end_token"):
-            held = np.zeros(ROOM, dtype=np.int32)
-            held[: len(keep)] = getattr(self, name)[keep]
-            setattr(self, name, held)
+        table = self.table.reshape(-1, WIDTH)
+        for at in range(0, len(keep), 4096):  # in place: a state never moves up
+            entries = table[keep[at : at + 4096]]
+            target = to[entries >> _BITS]
+            table[at : at + len(entries)] = np.where(target > 0, target << _BITS | entries & _LOW, 0)
+        table[len(keep) : n] = 0
+        for name, none in (("prefix_token", 0), ("end_token", -1), ("visits", 0)):
+            held = getattr(self, name)
+            held[: len(keep)] = held[keep]
+            held[len(keep) :] = none
+        self.visits //= 2
+        if len(self.arcs) >= MAX_FITS:
+            self.arcs.clear()
         self.keys = [self.keys[k] for k in keep.tolist()]
         self.states = {key: k for k, key in enumerate(self.keys) if k}
-        self.visits = self.visits[keep] // 2
-        self.fits = {}
+        return to
 
     def _state(self, key: tuple) -> int:
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = len(self.keys)
             self.keys.append(key)
-            if found >= len(self.prefix_token):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.prefix_token = np.concatenate([self.prefix_token, np.zeros_like(self.prefix_token)])
-                self.end_token = np.concatenate([self.end_token, np.zeros_like(self.end_token)])
             self.prefix_token[found] = key[1]
         return found
 
@@ -174,6 +182,8 @@ class Machine:
                 else:
                     found = True
                     break
+            if len(self.fits) >= MAX_FITS:
+                self.fits.clear()
             self.fits[key] = found
         return found
 
@@ -198,7 +208,7 @@ class Machine:
         """Make a transition; its table entry."""
         key, fits = self.keys[state], self.fits
         if symbol == END:
-            entry = self.start * WIDTH << _BITS | _BIAS
+            to, change = self.start, 0
             if state != self.start:
                 own = self.suffixes[key[0]]
                 for k in range(len(own) - 1, 0, -1):
@@ -208,13 +218,13 @@ class Machine:
                 else:
                     raise ValueError("the merges leave a pre-token without an encoding")
                 self.end_token[state] = token
-                entry = self.start * WIDTH << _BITS | (_BIAS + 1 - key[2 * k + 2])
+                change = 1 - key[2 * k + 2]
         else:
             at = key[0] << 8 | symbol
             arc = self.arcs.get(at)
             if arc is None:
                 arc = self.arcs[at] = self._arc(key[0], _READ[symbol - 1])
-            to, tokens, carried = arc
+            node, tokens, carried = arc
             for place, token in tokens:
                 before = key[place]
                 if before < 0:
@@ -225,79 +235,162 @@ class Machine:
             else:
                 raise ValueError("the merges leave a prefix without an encoding")
             change = 1 - key[place + 1]
-            new = [to, token, 0]
+            new = [node, token, 0]
             for p in carried:
                 new += key[p], key[p + 1] + change
-            entry = self._state(tuple(new)) * WIDTH << _BITS | (_BIAS + change)
-        if not 0 <= entry & _LOW == entry - (entry >> _BITS << _BITS) or entry >> 32:
-            raise OverflowError("a table entry has 32 bits")
+            to = self._state(tuple(new))
+        if not -_BIAS <= change < _BIAS:
+            raise OverflowError(f"a transition changes the number of tokens by {change}")
+        entry = to << _BITS | (_BIAS + change)
         self.table[state * WIDTH + symbol] = entry
         return entry
 
-    def take(self, at: np.ndarray) -> np.ndarray:
+    def take(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Table entries of one step of all chunks; new transitions are made."""
+        at = state * WIDTH + symbols
         entry = self.table[at]
         if not entry.all():
             for x in np.unique(at[entry == 0]).tolist():
                 self.step(x // WIDTH, x % WIDTH)
             entry = self.table[at]
+        self.visits[state] += 1
         return entry
 
     def run(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """After each symbol: the state's place, and the change of the number of tokens. The stream begins after an END and ends with one."""
-        if len(self.keys) > MAX_STATES:
-            self.shrink()
-        n = -(-len(symbols) // CHUNK)
-        stream = np.zeros(n * CHUNK, dtype=np.uint8)
-        stream[: len(symbols)] = symbols
-        stream = stream.reshape(n, CHUNK)
-        chunks = np.ascontiguousarray(stream.T)
-        entries = np.empty((CHUNK, n), dtype=np.uint32)
-        begin = self.start * WIDTH
-        state = np.full(n, begin, dtype=np.int64)
-        for i in range(CHUNK):
-            entries[i] = entry = self.take(state + chunks[i])
-            state = (entry >> _BITS).astype(np.int64)
-        ends = stream == END
-        first = np.where(ends.any(axis=1), ends.argmax(axis=1), CHUNK)
-        # the exits of constant maps are known; a chunk without END waits for the one before it
-        known = first < CHUNK
-        known[0] = True
-        live = np.flatnonzero(known[:-1]) + 1
-        while len(live):
-            at = live[state[live - 1] != begin]  # the others were run from their entry state already
-            now = state[at - 1]
-            for i in range(CHUNK):
-                if not len(at):
-                    break
-                entry = self.take(now + chunks[i, at])
-                entries[i, at] = entry
-                more = first[at] > i
-                at, now = at[more], (entry >> _BITS).astype(np.int64)[more]
-            state[at] = now  # chunks without END
-            live = live[(first[live] == CHUNK) & (live + 1 < n)] + 1
-        flat = np.ascontiguousarray(entries.T).reshape(-1)[: len(symbols)]
-        visits = np.bincount((flat >> _BITS) // WIDTH, minlength=len(self.keys))
-        visits[: len(self.visits)] += self.visits
-        self.visits = visits
-        return flat >> _BITS, (flat & _LOW).astype(np.int8) - np.int8(_BIAS)
-
-    def tokens(self, symbols: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """At each symbol the token that ends there if the pre-token's prefix does (at an END: its last token, or -1), and the change of the number of tokens. The stream begins after an END and ends with one."""
+        state, tokens, changes = self.start, [], []
+        for at in range(0, len(symbols), SEGMENT):
+            t, c, state = _Segment(self, symbols[at : at + SEGMENT], state).read()
+            tokens.append(t)
+            changes.append(c)
+        return (np.concatenate(tokens), np.concatenate(changes)) if tokens else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int8))
+
+    def tokens(self, symbols: np.ndarray, ended: np.ndarray) -> np.ndarray:
         """The token that ends at each symbol, or -1: followed back from every END, all pre-tokens at once."""
         out = np.full(len(symbols), -1, dtype=np.int32)
-        stops = np.flatnonzero(symbols == END)
-        at = stops - 1
-        at = at[(at >= 0) & (symbols[at] != END)]
-        token = self.end_token[states[at] // WIDTH]
-        while len(at):
+        at = np.flatnonzero((symbols == END) & (ended >= 0))
+        token, at = ended[at], at - 1
+        for _ in range(64):
+            if not len(at):
+                return out
             out[at] = token
             at = at - self.sizes[token]
             at = at[at >= 0]
             at = at[symbols[at] != END]
-            token = self.prefix_token[states[at] // WIDTH]
+            token = ended[at]
+        for place in at.tolist():  # few pre-tokens have so many tokens
+            while place >= 0 and symbols.item(place) != END:
+                found = ended.item(place)
+                out[place] = found
+                place -= self.size[found]
         return out
 
 
+class _Segment:
+    """A stretch of symbols in equal chunks: the states after each symbol, and what the machine says there."""
+
+    def __init__(self, machine: Machine, symbols: np.ndarray, entry: int):
+        self.machine, self.length = machine, len(symbols)
+        self.n = n = -(-self.length // CHUNK)
+        stream = np.zeros(n * CHUNK, dtype=np.uint8)
+        stream[: self.length] = symbols
+        stream = stream.reshape(n, CHUNK)
+        self.chunks = np.ascontiguousarray(stream.T)
+        ends = stream == END
+        self.first = np.where(ends.any(axis=1), ends.argmax(axis=1), CHUNK)
+        self.states = np.zeros((CHUNK, n), dtype=np.uint32)
+        self.ended = np.zeros((CHUNK, n), dtype=np.int32)
+        self.change = np.zeros((CHUNK, n), dtype=np.int8)
+        # each turn's entries and exits of all chunks: the maps as far as known
+        now = np.full(n, machine.start, dtype=np.int64)
+        now[0] = entry
+        self.entries, self.exits = [now], []
+
+    def walk(self, at: np.ndarray, state: np.ndarray, meet: bool) -> None:
+        """Run chunks ``at`` from their states; with ``meet`` they end where they come to what stands there already, or after an END."""
+        m = self.machine
+        for i in range(CHUNK):
+            if not len(at):
+                break
+            if len(m.keys) + len(at) >= ROOM:
+                state = self.renumber(m.shrink([state, *self.entries, *self.exits]), state)
+            symbols = self.chunks[i, at]
+            entry = m.take(state, symbols)
+            new = (entry >> _BITS).astype(np.int64)
+            self.ended[i, at] = np.where(symbols == END, np.where(state == m.start, -1, m.end_token[state]), m.prefix_token[new])
+            self.change[i, at] = (entry & _LOW).astype(np.int16) - _BIAS
+            if meet:
+                more = (self.states[i, at] != new) & (self.first[at] > i)
+                self.states[i, at] = new
+                at, state = at[more], new[more]
+            else:
+                self.states[i, at] = new
+                state = new
+
+    def renumber(self, to: np.ndarray, state: np.ndarray) -> np.ndarray:
+        self.states = to[self.states]
+        self.entries, self.exits = ([to[x].astype(np.int64) for x in held] for held in (self.entries, self.exits))
+        return to[state].astype(np.int64)
+
+    def true_entries(self) -> np.ndarray:
+        """Of each chunk the turn whose entry is the true one, -1 if unknown: the composition of all maps before it, by a prefix scan."""
+        entries, exits = np.stack(self.entries, axis=1), np.stack(self.exits, axis=1)
+        turns = entries.shape[1]
+        same = exits[:-1, :, None] == entries[1:, None, :]
+        # row k says which turn of this chunk follows turn k of the one before; the last column stands for unknown
+        maps = np.full((self.n, turns + 1), turns, dtype=np.int64)
+        maps[1:, :turns] = np.where(same.any(axis=2), same.argmax(axis=2), turns)
+        maps[0] = 0
+        distance = 1
+        while distance < self.n:
+            maps[distance:] = np.take_along_axis(maps[distance:], maps[:-distance], axis=1)
+            distance *= 2
+        return np.where(maps[:, 0] == turns, -1, maps[:, 0])
+
+    def read(self) -> tuple[np.ndarray, np.ndarray, int]:
+        every = np.arange(self.n)
+        self.walk(every, self.entries[0], False)
+        self.exits.append(self.states[-1].astype(np.int64))
+        standing = np.zeros(self.n, dtype=np.int64)  # the turn whose run is written in the arrays
+        for turn in range(1, TURNS + 1):
+            true = self.true_entries()
+            if (true >= 0).all():
+                break
+            wanted = np.concatenate([self.entries[0][:1], self.exits[-1][:-1]])
+            todo = np.flatnonzero(wanted != self.entries[-1])
+            self.entries.append(wanted)
+            self.walk(todo, wanted[todo], True)
+            self.exits.append(self.states[-1].astype(np.int64))
+            standing[:] = turn
+        true = self.true_entries()
+        again = np.flatnonzero((true >= 0) & (np.stack(self.entries)[true, every] != np.stack(self.entries)[standing, every]))
+        self.walk(again, np.stack(self.entries)[true[again], again], True)
+        for c in np.flatnonzero(true < 0).tolist():
+            entry = np.array([int(self.states[-1, c - 1])])
+            if entry[0] != (self.entries[-1][c]):
+                self.walk_one(c, entry)
+        last = (self.length - 1) % CHUNK
+        state = int(self.states[last, self.n - 1])
+        return self.ended.T.reshape(-1)[: self.length], self.change.T.reshape(-1)[: self.length], state
+
+    def walk_one(self, c: int, entry: np.ndarray) -> None:
+        """One chunk, symbol by symbol."""
+        m = self.machine
+        if len(m.keys) + CHUNK >= ROOM:
+            entry = self.renumber(m.shrink([entry, *self.entries, *self.exits, self.states[-1]]), entry)
+        state, start = int(entry[0]), m.start
+        for i, symbol in enumerate(self.chunks[:, c].tolist()):
+            found = m.table.item(state * WIDTH + symbol) or m.step(state, symbol)
+            new = found >> _BITS
+            self.ended[i, c] = (m.end_token.item(state) if state != start else -1) if symbol == END else m.prefix_token.item(new)
+            self.change[i, c] = (found & _LOW) - _BIAS
+            if self.states[i, c] == new or symbol == END:
+                self.states[i, c] = new
+                break
+            self.states[i, c] = new
+            state = new
+
+
 def symbols_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of plain bytes that end with a blank, and the place of each byte's symbol."""
     symbol = _SYMBOL[data]

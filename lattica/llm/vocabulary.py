@@ -67,12 +67,12 @@ class Vocabulary:
             while end < len(raws) and (size < BATCH_BYTES or end == at):
                 size += len(raws[end]) + 1
                 end += 1
-            data = np.frombuffer(b"\n".join([*raws[at:end], b""]), dtype=np.uint8)
+            data = np.frombuffer(b"\n".join([*raws[at:end], b""]), dtype=np.uint8)  # of a longer text the machine reads segments
             symbols, place = automaton.symbols_of(data)
-            states, change = self.machine.run(symbols)
+            ended, change = self.machine.run(symbols)
             stops = place[np.cumsum([len(r) + 1 for r in raws[at:end]]) - 1]
             if ids:
-                token = self.machine.tokens(symbols, states)
+                token = self.machine.tokens(symbols, ended)
                 found = token >= 0
                 raw, ends = token[found].astype("<u4").tobytes(), np.cumsum(found, dtype=np.int64)[stops].tolist()
                 out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
