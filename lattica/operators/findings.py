@@ -58,8 +58,8 @@ def resolve(proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ceiling(confidence: Column, fidelity: Column) -> Column:
-    """Rank of the confidence; a syntactic label is medium at most."""
-    r = S.rank(confidence, CONFIDENCES)
+    """Rank of the confidence, of an unset or unknown one the highest; a syntactic label is medium at most."""
+    r = F.when(S.rank(confidence, CONFIDENCES) == 0, len(CONFIDENCES)).otherwise(S.rank(confidence, CONFIDENCES))
     return F.when(fidelity == "syntactic", F.least(r, F.lit(2))).otherwise(r)
 
 
@@ -68,6 +68,12 @@ def node_confidence(labels: DataFrame, concept: str) -> DataFrame:
     return labels.where(F.col("concept") == concept).groupBy("node_id").agg(F.min(ceiling(F.col("confidence"), F.col("fidelity"))).alias("confidence_rank"))
 
 
+def first_label(labels: DataFrame, names: list[str]) -> DataFrame:
+    """(node_id, concept): of the labels that name one of the concepts the first (by ``seq``, if there is one)."""
+    seq = F.col("seq") if "seq" in labels.columns else F.lit(0)
+    return labels.where(F.col("concept").isin(*names)).groupBy("node_id").agg(F.min(F.struct(seq.alias("seq"), "concept"))["concept"].alias("concept"))
+
+
 def provenance_pick(labels: DataFrame) -> DataFrame:
     """Of each node's labels the one with the highest provenance priority, else the first."""
     return first_by(labels, ["node_id"], F.coalesce(F.col("provenance_priority"), F.lit(0)).desc(), F.col("seq"))

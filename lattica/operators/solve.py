@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import action_matches
 from ..storage import materialize
+from .flows import witness_paths
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -79,7 +80,8 @@ def kill_nodes(labels: DataFrame, concepts: list[str], excluded: str = "") -> Da
 def witness_parents(edges: DataFrame, reached: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """(node_id, parent): of the predecessors one level nearer to a source the one of the highest rank, then the smallest id.
 
-    ``ranks``: node_id, rank (of the best source behind a node).
+    ``ranks``: node_id, rank (of the best source behind a node). The nearest
+    sources come first here; flows.Runs has the witnesses of the best sources.
     """
     near = reached.select(F.col("node_id").alias("parent"), F.col("depth").alias("above"))
     if ranks is not None:
@@ -90,15 +92,6 @@ def witness_parents(edges: DataFrame, reached: DataFrame, ranks: DataFrame | Non
     return steps.groupBy("node_id").agg(F.min(F.struct((-F.col("rank")).alias("r"), F.col("parent").alias("p"))).alias("best")).select("node_id", F.col("best.p").alias("parent"))
 
 
-def witness_paths(parents: DataFrame, targets: DataFrame, max_length: int) -> DataFrame:
-    """(node_id, path) from a source to each target, by following parents."""
-    out = targets.select("node_id", F.col("node_id").alias("head"), F.array("node_id").alias("path"))
-    up = parents.select(F.col("node_id").alias("child"), "parent")
-    for _ in range(max_length):
-        out = out.join(up, F.col("head") == F.col("child"), "left").select("node_id", F.col("parent").alias("head"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), F.col("path"))).alias("path"))
-    return out.select("node_id", "path")
-
-
 def hop_reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, protocols: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """(source, target, depth): targets at one hop or more; the search does not pass through a target. ``edges``: src, dst, proto."""
     if protocols:
@@ -129,6 +122,39 @@ def via_roles(path: Column) -> Column:
     return F.slice(path, F.lit(2), F.greatest(F.size(path) - 2, F.lit(0)))
 
 
+def _ways(edges: DataFrame, starts: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """By start: (source, node_id, depth) within max_depth, and (source, node_id, parent) of the smallest node before each."""
+    reached = materialize(closure(edges, starts, None, max_depth, by_source=True), "ways")
+    before = reached.select(F.col("source").alias("s"), F.col("node_id").alias("parent"), F.col("depth").alias("d"))
+    steps = reached.join(edges.select("src", "dst"), F.col("node_id") == F.col("dst")).join(before, (F.col("src") == F.col("parent")) & (F.col("source") == F.col("s")) & (F.col("depth") == F.col("d") + 1))
+    return reached, steps.groupBy("source", "node_id").agg(F.min("parent").alias("parent"))
+
+
+def _ways_to(parents: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, node_id, path) from the source to each of the ends (source, node_id)."""
+    key = lambda node: F.struct(F.col("source").alias("source"), F.col(node).alias("node"))
+    paths = witness_paths(parents.select(key("node_id").alias("node_id"), key("parent").alias("parent")), ends.select(key("node_id").alias("node_id")))
+    return paths.select("node_id.source", F.col("node_id.node").alias("node_id"), F.transform("path", lambda p: p["node"]).alias("path"))
+
+
+def grant_chains(steps: DataFrame, principals: DataFrame, resources: DataFrame, max_depth: int) -> DataFrame:
+    """(source, resource, path): a shortest chain of up to max_depth steps of every pair that has one, with the smallest node in its middle.
+
+    Forward from the principals and backward from the resources, half the
+    steps each, and joined where they meet, so that neither side holds all
+    that the other one reaches. Chains of no step are left out.
+    """
+    ahead, up = _ways(steps, principals, -(-max_depth // 2))
+    back, down = _ways(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), resources, max_depth // 2)
+    back = back.select(F.col("source").alias("resource"), F.col("node_id").alias("mid"), F.col("depth").alias("rest"))
+    met = ahead.join(back, F.col("node_id") == F.col("mid")).where("depth + rest > 0")
+    met = materialize(met.groupBy("source", "resource").agg(F.min(F.struct((F.col("depth") + F.col("rest")).alias("n"), F.abs(F.col("depth") - F.col("rest")).alias("skew"), "mid")).alias("m")).select("source", "resource", "m.mid"), "met")
+    first = _ways_to(materialize(up, "up"), met.select("source", F.col("mid").alias("node_id")).distinct()).select(F.col("source").alias("s"), F.col("node_id").alias("m1"), F.col("path").alias("first"))
+    last = _ways_to(materialize(down, "down"), met.select(F.col("resource").alias("source"), F.col("mid").alias("node_id")).distinct()).select(F.col("source").alias("t"), F.col("node_id").alias("m2"), F.col("path").alias("last"))
+    both = met.join(first, (F.col("source") == F.col("s")) & (F.col("mid") == F.col("m1"))).join(last, (F.col("resource") == F.col("t")) & (F.col("mid") == F.col("m2")))
+    return both.select("source", "resource", F.concat("first", F.slice(F.reverse("last"), F.lit(2), F.size("last"))).alias("path"))
+
+
 def trace_shortest(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(source, depth): steps from each source to the nearest sink other than itself."""
     reached = closure(edges, sources, None, max_depth, by_source=True).where("depth > 0 and node_id <> source")
@@ -152,13 +178,19 @@ def ancestors(parents: DataFrame) -> DataFrame:
 
 
 def attack_paths(steps: DataFrame, starts: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
-    """(path,): node sequences without repeats from a start to a target, where they stop. ``steps``: src, dst."""
+    """(path,): node sequences without repeats from a start to a target, where they stop. ``steps``: src, dst.
+
+    Steps back from the targets say how near each node is; a path goes on only
+    to nodes from which a target is within the hops left.
+    """
     moves = materialize(steps.select("src", "dst").distinct(), "steps")
+    near = closure(moves.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets, max_depth=max_hops)
+    moves = materialize(moves.join(near.select(F.col("node_id").alias("dst"), F.col("depth").alias("left")), "dst"), "steps")
     goal = targets.select(F.col("node_id").alias("goal")).distinct()
     paths = materialize(starts.select(F.col("node_id").alias("head"), F.array("node_id").alias("path")).distinct(), "paths")
     done = []
-    for _ in range(max_hops):
-        grown = paths.join(moves, F.col("head") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("head"), F.array_append("path", F.col("dst")).alias("path"))
+    for hop in range(1, max_hops + 1):
+        grown = paths.join(moves.where(F.col("left") <= max_hops - hop), F.col("head") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("head"), F.array_append("path", F.col("dst")).alias("path"))
         grown = materialize(grown.join(goal, F.col("head") == F.col("goal"), "left"), "paths")
         if grown.isEmpty():
             break
@@ -168,10 +200,10 @@ def attack_paths(steps: DataFrame, starts: DataFrame, targets: DataFrame, max_ho
 
 
 def choke_points(paths: DataFrame, steps: DataFrame) -> DataFrame:
-    """(src, dst, kind, severed): how many paths vanish with a step. Parallel steps of another kind keep a path alive."""
+    """(src, dst, kind, severed): how many paths vanish with a step, of the steps with which any does. Parallel steps of another kind keep a path alive."""
     kinds = steps.select("src", "dst", "kind").distinct()
-    single = kinds.groupBy("src", "dst").agg(F.count("*").alias("kinds"))
+    single = kinds.groupBy("src", "dst").agg(F.count("*").alias("kinds")).where("kinds = 1")
     hops = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
     used = paths.where(F.size("path") > 1).select("path", F.explode(hops).alias("hop")).groupBy("hop.src", "hop.dst").agg(F.countDistinct("path").alias("n"))
     out = kinds.join(single, ["src", "dst"]).join(used, ["src", "dst"])
-    return out.select("src", "dst", "kind", F.when(F.col("kinds") == 1, F.col("n")).otherwise(0).cast("long").alias("severed"))
+    return out.select("src", "dst", "kind", F.col("n").cast("long").alias("severed"))

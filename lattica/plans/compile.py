@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import Graph
-from ..operators import coverage, findings, solve
+from ..operators import coverage, findings, flows, solve
 from ..storage import materialize
 from .lang import Call, Ontology, Op, Ref, Rule, RuleError, Step
 
@@ -23,7 +23,8 @@ INLINE = ("node_type", "loc", "region", "scope", "method", "callee_path")
 class Compiler:
     def __init__(self, graph: Graph, ontology: Ontology, levels: dict[str, int] | None = None):
         self.graph, self.ontology, self.levels = graph, ontology, levels or {}
-        self.runs: dict[tuple, DataFrame] = {}
+        self.runs: dict[tuple, tuple[flows.Runs, str]] = {}
+        self._edges: DataFrame | None = None
 
     # ---- candidates
 
@@ -141,12 +142,27 @@ class Compiler:
                 rows = {"dominates": coverage.uncovered_dominates, "postDominates": coverage.uncovered_post_dominates, "sameScope": coverage.uncovered_same_scope, "sameReceiver": coverage.uncovered_same_receiver, "global": coverage.uncovered_global}[part](rows, g)
         return rows
 
-    def run(self, source: str, controls: tuple[str, ...], excluded: str = "") -> DataFrame:
-        """The reach of a policy, made once for all its rules."""
-        key = (source, controls, excluded)
-        if key not in self.runs:
-            self.runs[key] = materialize(solve.flow_reach(self.graph.out_edges("FLOWS"), self.ids(source), self.kills(controls, excluded)), "policy")
-        return self.runs[key]
+    def policy(self, rule: Rule) -> tuple[str, tuple[str, ...], str]:
+        """Source concept, controls on the path and excluded characters: rules with equal ones share a run."""
+        sink = self.ontology.concepts.get(self.ontology.canonical(rule.ends[1].concept))
+        return rule.ends[0].concept, tuple(sorted(c for p, c in rule.unless if p == "path")), sink.meta.get("excluded_chars", "") if sink else ""
+
+    def prepare(self, rules: list[Rule]) -> None:
+        """Run the policies of all taint rules that have not run yet, in one loop."""
+        todo = {k for r in rules if r.verb == "taint" and (k := self.policy(r)) not in self.runs}
+        if not todo:
+            return
+        if self._edges is None:
+            self._edges = flows.written(self.graph.out_edges("FLOWS"))
+        names = {f"p{i}": k for i, k in enumerate(sorted(todo))}
+        done = flows.run(self._edges, {n: (self.sources(k[0]), self.kills(k[1], k[2])) for n, k in names.items()})
+        self.runs |= {k: (done, n) for n, k in names.items()}
+
+    def sources(self, concept: str) -> DataFrame:
+        """(node_id, rank): the best fidelity of the labels that make a node a source."""
+        rank = F.coalesce(F.array_position(F.array(*map(F.lit, findings.FIDELITIES)), F.col("fidelity")), F.lit(0))
+        labels = self.graph.labels.where(F.col("concept").isin(*self.ontology.descendants(concept)))
+        return labels.groupBy("node_id").agg(F.max(rank).cast("int").alias("rank"))
 
     def kills(self, controls: tuple[str, ...], excluded: str) -> DataFrame:
         names = [n for c in controls for n in self.ontology.descendants(c)]
@@ -154,22 +170,36 @@ class Compiler:
 
     def compile(self, rule: Rule) -> DataFrame:
         """rule_id, severity, source (null without one), node_id, loc, confidence, fp of a rule's findings."""
+        return self.explain(rule).select("rule_id", "severity", "source", "node_id", "loc", "confidence", "fp")
+
+    def explain(self, rule: Rule) -> DataFrame:
+        """The findings with what speaks for them: also path (of a taint rule: from its best source), evidence (clause, satisfied, detail) and review (condition, assumption, confidence)."""
         body = {"issue": self._match, "fact": self._match, "taint": self._taint, "reach": self._reach, "grant": self._grant, "query": self._query}[rule.verb]
         rows = body(rule)
+        nothing = {"path": "array<string>", "source_rank": "int", "ceiling": "int", "evidence": "array<struct<clause:string,satisfied:boolean,detail:string>>", "review": "array<struct<condition:string,assumption:string,confidence:string>>"}
+        for name, kind in nothing.items():
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.lit(None).cast(kind))
         concept = rule.ends[-1].concept if rule.ends else ""
         if concept:
-            names = self.ontology.descendants(concept)
-            ranks = findings.node_confidence(self.graph.labels.withColumn("concept", F.when(F.col("concept").isin(*names), concept).otherwise(F.lit(None))), concept)
-            rows = rows.join(ranks, "node_id", "left")
+            rows = rows.join(self.confidence(concept), "node_id", "left")
         else:
             rows = rows.withColumn("confidence_rank", F.lit(None).cast("int"))
-        rank = F.coalesce("confidence_rank", F.lit(3))
+        rank = F.least(F.coalesce("confidence_rank", F.lit(3)), F.coalesce("source_rank", F.lit(3)), F.coalesce("ceiling", F.lit(3)))
         if rule.confidence:
             rows = rows.where(rank >= findings.CONFIDENCES.index(rule.confidence) + 1)
         name = F.element_at(F.array(*map(F.lit, findings.CONFIDENCES)), F.greatest(rank, F.lit(1)))
         place = self.graph.nodes.select("node_id", "loc")
-        rows = rows.select("source", "node_id", name.alias("confidence")).distinct().join(place, "node_id", "left")
-        return rows.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.meta.get("severity", "info")).alias("severity"), "source", "node_id", "loc", "confidence", S.fingerprint(rule=F.lit(rule.id), loc="loc", concept=F.lit(concept)).alias("fp"))
+        rows = rows.select("source", "node_id", name.alias("confidence"), "path", "evidence", "review").dropDuplicates(["source", "node_id", "confidence"]).join(place, "node_id", "left")
+        return rows.select(
+            F.lit(rule.id).alias("rule_id"), F.lit(rule.meta.get("severity", "info")).alias("severity"), "source", "node_id", "loc", "confidence",
+            S.fingerprint(rule=F.lit(rule.id), loc="loc", concept=F.lit(concept)).alias("fp"), "path", "evidence", "review",
+        )
+
+    def confidence(self, concept: str) -> DataFrame:
+        """(node_id, confidence_rank) over the labels of the concept or one that refines it."""
+        names = self.ontology.descendants(concept)
+        return findings.node_confidence(self.graph.labels.withColumn("concept", F.when(F.col("concept").isin(*names), concept).otherwise(F.lit(None))), concept)
 
     def _match(self, rule: Rule) -> DataFrame:
         e = rule.ends[0]
@@ -178,13 +208,46 @@ class Compiler:
 
     def _taint(self, rule: Rule) -> DataFrame:
         a, b = rule.ends
-        controls = tuple(sorted(c for p, c in rule.unless if p == "path"))
-        sink = self.ontology.concepts.get(self.ontology.canonical(b.concept))
-        excluded = sink.meta.get("excluded_chars", "") if sink else ""
-        hit = solve.taint_flows(self.run(a.concept, controls, excluded), self.ids(b.concept), self.kills(controls, excluded))
-        rows = self.graph.nodes.join(hit.select("node_id"), "node_id", "left_semi")
+        self.prepare([rule])
+        runs, name = self.runs[self.policy(rule)]
+        found = materialize(runs.witnesses(name, self.ids(b.concept)), "witnesses")
+        rows = self.graph.nodes.join(found.select("node_id", "path"), "node_id")
         rows = self.where(rows, rule.where, {b.alias} - {""})
-        return self.exceptions(rows, rule.unless).withColumn("source", F.lit(None).cast("string"))
+        rows = self.exceptions(rows, rule.unless)
+        for part, control in rule.unless:
+            if part == "endpoint":
+                covered = flows.flow_guarded(found, runs.edges, self.graph.nodes, self.guards(control, part))
+                rows = rows.join(covered, "node_id", "left_anti")
+        rows = rows.withColumn("source", F.col("path")[0]).withColumn("evidence", self.evidence(rule))
+        if any(part == "path" for part, _ in rule.unless):
+            near = runs.near_misses(name).agg(F.count("*").alias("near_n"), F.min(F.struct("depth", "node_id")).alias("near_first"))
+            rows = rows.crossJoin(F.broadcast(near))  # one row
+            said = F.when(F.col("near_n") == 0, "none on any flow").otherwise(F.concat(F.col("near_n").cast("string"), F.lit(" on other paths, the nearest at "), F.col("near_first.node_id")))
+            rows = rows.withColumn("evidence", F.transform("evidence", lambda e: F.when(F.startswith(e["clause"], F.lit("path ")), F.struct(e["clause"].alias("clause"), e["satisfied"].alias("satisfied"), said.alias("detail"))).otherwise(e)))
+        of = self.confidence(a.concept).select(F.col("node_id").alias("source"), F.col("confidence_rank").alias("source_rank"))
+        return self.reviewed(a.concept, rows.join(of, "source", "left"))
+
+    def evidence(self, rule: Rule) -> Column:
+        """What the exceptions of a finding that stands found: nothing."""
+        each = [F.struct(F.lit(f"{part} coveredBy {control}").alias("clause"), F.lit(False).alias("satisfied"), F.lit("no control of this part covers it").alias("detail")) for part, control in rule.unless]
+        return F.array(*each) if each else F.array().cast("array<struct<clause:string,satisfied:boolean,detail:string>>")
+
+    def reviewed(self, concept: str, rows: DataFrame) -> DataFrame:
+        """Conditions of the source's concept: what has to be reviewed, and the confidence that a finding has at most."""
+        known = {c: self.ontology.concepts[c].meta for c in self.ontology.descendants(concept) if c in self.ontology.concepts and self.ontology.concepts[c].meta.get("source_condition")}
+        if not known:
+            return rows
+        first = findings.first_label(self.graph.labels, self.ontology.descendants(concept)).select(F.col("node_id").alias("source"), F.col("concept").alias("source_concept"))
+        named = self.graph.nodes.select(F.col("node_id").alias("source"), S.prop("name").alias("source_name"))
+        rows = rows.join(first, "source", "left").join(named, "source", "left")
+        review, ceiling = F.lit(None), F.lit(None)
+        for c, meta in known.items():
+            most = meta.get("source_confidence", "medium")
+            said = F.replace(F.lit(meta["source_condition"]), F.lit("{param}"), S.text("source_name"))
+            one = F.array(F.struct(said.alias("condition"), F.lit(meta.get("source_assumption", "")).alias("assumption"), F.lit(most).alias("confidence")))
+            review = F.when(F.col("source_concept") == c, one).otherwise(review)
+            ceiling = F.when(F.col("source_concept") == c, findings.CONFIDENCES.index(most) + 1).otherwise(ceiling)
+        return rows.withColumn("review", review).withColumn("ceiling", ceiling.cast("int"))
 
     def _found(self, rule: Rule, found: DataFrame) -> DataFrame:
         b = rule.ends[1]

@@ -88,8 +88,8 @@ query("rule_issue", f"WITH {CFG}, {guards('dominates')} " + _sql("D-1", "candida
 query("rule_fact", f"WITH {CFG} " + _sql("D-2", "audit", "SELECT * FROM cfg WHERE concept = 'audit' AND contains(region, 'loop')", confidence=CONF))(findings_of("Fact"))
 query("clause_with_confidence", f"WITH {CFG} " + _sql("D-3", "candidate", "SELECT * FROM cfg WHERE concept = 'candidate' AND confidence = 'high' AND fidelity <> 'syntactic'"))(findings_of("Floor"))
 query("rule_two_exceptions", f"WITH {CFG}, {guards('sameScope')}, p AS (SELECT * FROM cfg WHERE concept = 'check' AND NOT advisory AND coverage = 'postDominates') " + _sql("D-4", "candidate", "SELECT * FROM cfg c WHERE concept = 'candidate' AND NOT EXISTS (SELECT 1 FROM g WHERE g.okey = c.okey AND (c.region = g.region OR starts_with(c.region, g.region || '/'))) AND NOT EXISTS (SELECT 1 FROM p WHERE p.okey = c.okey AND (c.region = p.region OR starts_with(c.region, p.region || '/')) AND p.ord > c.ord)", confidence=CONF))(findings_of("Scope"))
-_TAINT = "r(node_id) AS (SELECT 'C:' || c_custkey FROM customer UNION SELECT f.dst FROM r JOIN flows f ON f.src = r.node_id WHERE r.node_id NOT IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'))"
-query("rule_taint", f"WITH RECURSIVE {FLOWS}, {_TAINT} " + _sql("D-5", "Vendor", "SELECT node_id, 'party.Supplier:' || substr(node_id, 3) AS loc FROM r WHERE node_id LIKE 'S:%'"))(findings_of("Taint"))
+_TAINT = "o AS (SELECT dst AS node_id, min(src) AS parent FROM flows WHERE dst LIKE 'S:%' AND src NOT IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY dst)"
+query("rule_taint", f"WITH {FLOWS}, {_TAINT} " + _sql("D-5", "Vendor", "SELECT node_id, 'party.Supplier:' || substr(node_id, 3) AS loc, 'C:' || o_custkey AS source FROM o JOIN orders ON parent = 'O:' || o_orderkey", source="source"))(findings_of("Taint"))
 _R3 = "n1 AS (SELECT 'R:' || r_regionkey AS source, n.dst AS node FROM region JOIN net n ON n.src = 'R:' || r_regionkey), n2 AS (SELECT source, n.dst AS node FROM n1 JOIN net n ON n.src = node), n3 AS (SELECT DISTINCT source, n.dst AS node_id, 'asset.Part:' || substr(n.dst, 3) AS loc, CAST(substr(n.dst, 3) AS BIGINT) AS k FROM n2 JOIN net n ON n.src = node WHERE n.dst LIKE 'P:%')"
 query("rule_reach", f"WITH {NET}, {_R3} " + _sql("D-6", "Part", "SELECT n3.* FROM n3 JOIN part ON p_partkey = k WHERE p_type IN ('TIN', 'BRASS')", source="source"))(findings_of("Reach"))
 query("rule_grant", f"WITH {STEPS}, o AS (SELECT DISTINCT 'C:' || c_custkey AS source, dst AS node FROM customer JOIN steps ON src = 'C:' || c_custkey WHERE c_mktsegment = 'MACHINERY') " + _sql("D-7", "Rich", "SELECT source, dst AS node_id, 'party.Supplier:' || substr(dst, 3) AS loc FROM o JOIN steps ON src = node WHERE dst IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000)", source="source"))(findings_of("Grant"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -31,12 +29,6 @@ def sinks(spark, d):
 
 
 def reached(spark, d):
-    """One run serves every query of the policy (sources, kills) on the same tables."""
-    return _reached(spark, d)
-
-
-@cache
-def _reached(spark, d):
     return materialize(solve.flow_reach(views.flows(spark, d), sources(spark, d), kills(spark, d)), "policy")
 
 
@@ -87,7 +79,7 @@ def _(spark, d):
 def _(spark, d):
     live = materialize(reached(spark, d).join(kills(spark, d), "node_id", "left_anti"), "live")
     parents = materialize(solve.witness_parents(views.flows(spark, d), live), "parents")
-    paths = solve.witness_paths(parents, solve.taint_flows(live, sinks(spark, d), kills(spark, d)), 3)
+    paths = solve.witness_paths(parents, solve.taint_flows(live, sinks(spark, d), kills(spark, d)))
     return paths.select("node_id", F.array_join("path", " -> ").alias("path"))
 
 
@@ -207,7 +199,7 @@ def _(spark, d):
     return some_paths(spark, d).select(F.array_join("path", ">").alias("path"))
 
 
-@query("choke_points", f"WITH RECURSIVE {STEP_PATHS}, hop AS (SELECT DISTINCT path, path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM paths)), used AS (SELECT src, dst, count(*) AS n FROM hop GROUP BY ALL), kinds AS (SELECT src, dst, count(*) AS kinds FROM st GROUP BY ALL) SELECT src, dst, kind, CAST(CASE WHEN kinds = 1 THEN n ELSE 0 END AS BIGINT) AS severed FROM st JOIN kinds USING (src, dst) JOIN used USING (src, dst)")
+@query("choke_points", f"WITH RECURSIVE {STEP_PATHS}, hop AS (SELECT DISTINCT path, path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM paths)), used AS (SELECT src, dst, count(*) AS n FROM hop GROUP BY ALL), kinds AS (SELECT src, dst, count(*) AS kinds FROM st GROUP BY ALL) SELECT src, dst, kind, n AS severed FROM st JOIN kinds USING (src, dst) JOIN used USING (src, dst) WHERE kinds = 1")
 def _(spark, d):
     return solve.choke_points(materialize(some_paths(spark, d), "paths"), step_kinds(spark, d))
 
@@ -220,7 +212,7 @@ def _(spark, d):
     return r.agg(F.count(F.when((S.text("source") == "") | (S.text("resource") == "") | (F.col("depth") < 1), 1)).alias("violations")).select(F.lit("can_access").alias("solver"), "violations")
 
 
-@query("guard_flow", f"WITH {FLOWS} SELECT DISTINCT a.src AS source, b.dst AS sink FROM flows a JOIN flows b ON b.src = a.dst WHERE a.src LIKE 'C:%' AND b.dst LIKE 'S:%' AND a.dst NOT IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("flow_uncovered_middle", f"WITH {FLOWS} SELECT DISTINCT a.src AS source, b.dst AS sink FROM flows a JOIN flows b ON b.src = a.dst WHERE a.src LIKE 'C:%' AND b.dst LIKE 'S:%' AND a.dst NOT IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def _(spark, d):
     """Paths none of whose inner nodes is covered."""
     f = views.flows(spark, d)

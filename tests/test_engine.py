@@ -69,7 +69,7 @@ def test_witness_prefers_rank_then_id(spark):
     assert {r.node_id: r.parent for r in solve.witness_parents(e, reached).collect()} == {"x": "a", "q": "x"}
     ranks = spark.createDataFrame([("b", 3), ("a", 1)], "node_id string, rank int")
     parents = solve.witness_parents(e, reached, ranks)
-    assert solve.witness_paths(parents, frame(spark, ["q"]), 4).first().path == ["b", "x", "q"]
+    assert solve.witness_paths(parents, frame(spark, ["q"])).first().path == ["b", "x", "q"]
 
 
 def test_attack_paths_and_choke_points(spark):
@@ -77,7 +77,7 @@ def test_attack_paths_and_choke_points(spark):
     paths = solve.attack_paths(steps, frame(spark, ["s"]), frame(spark, ["t"]), 5)
     assert sorted(r.path for r in paths.collect()) == [["s", "a", "g", "t"], ["s", "b", "g", "t"]]
     got = {(r.src, r.dst, r.kind): r.severed for r in solve.choke_points(paths, steps).collect()}
-    assert got[("g", "t", "exploits")] == 2 and got[("s", "a", "reach")] == 0 and got[("s", "b", "reach")] == 1
+    assert got[("g", "t", "exploits")] == 2 and ("s", "a", "reach") not in got and got[("s", "b", "reach")] == 1
 
 
 def test_kill_by_characters(spark):
