@@ -37,10 +37,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import fresh_path, id_and_text, materialize
 from .suffix_dedup import _arrow_map, _merged, _raw
@@ -57,7 +59,7 @@ _FINAL = np.uint64(0x94D049BB133111EB)
 NO_WORDS = hashlib.sha256(b"").hexdigest()
 ANCHORS = StructType([StructField("hash", LongType()), StructField("key", BinaryType())])
 #: A context: its group, 1 if that is hot, the anchor's place in the first window; its text, first doc (null first), place of the anchor and words.
-CONTEXTS = StructType([StructField("group", LongType()), StructField("hot", IntegerType()), StructField("x", IntegerType()), StructField("key", BinaryType()), StructField("doc", StructType([StructField("known", BooleanType()), StructField("id", LongType())])), StructField("place", LongType()), StructField("words", BinaryType())])
+CONTEXTS = StructType([StructField("group", LongType()), StructField("hot", IntegerType()), StructField("x", IntegerType()), StructField("key", BinaryType()), StructField("doc", LongType()), StructField("place", LongType()), StructField("words", BinaryType())])
 DIGESTS = StructType([*CONTEXTS.fields, StructField("digest", BinaryType())])
 SPANS = StructType([StructField("key", BinaryType()), StructField("from", LongType()), StructField("to", LongType())])
 
@@ -125,14 +127,15 @@ def batches_of(texts, hasher: Hasher, length: int, gram: int) -> Iterator[tuple[
 
 
 def _find_anchors(length: int, gram: int):
+    """The function for mapInArrow: ANCHORS of whole texts."""
+
     def rows(batches):
         hasher = Hasher()
         for b in batches:
             for first, _, ends, (h, place, _, _) in batches_of(b.column(1), hasher, length, gram):
                 owner = np.searchsorted(ends, place, "right") + first
-                keys = b.column(0).to_pylist()
                 for at in range(0, len(h), 100_000):
-                    yield [(x, keys[k]) for x, k in zip(h[at : at + 100_000].tolist(), owner[at : at + 100_000].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), b.column(0).take(pa.array(owner[at : at + 100_000]))], schema=to_arrow_schema(ANCHORS))
 
     return rows
 
@@ -205,7 +208,7 @@ class Automaton:
         return copy
 
     def matches(self, words: list[bytes], length: int) -> Iterator[tuple[int, int]]:
-        """(from, to) of the words in matches of ``length`` and more: matching statistics, the longest match that ends at each word."""
+        """(from, to) of the words in matches of ``length`` and more, united where they touch: matching statistics, the longest match that ends at each word."""
         nexts, link, size = self.next, self.link, self.size
         state = n = 0
         begin = end = -1
@@ -250,7 +253,7 @@ def _stream(length: int):
                     last, automaton, taken = group, None, {}
                     waiting.clear()
                     tie = None
-                if (now := (doc["id"], place)) != tie:
+                if (now := (doc, place)) != tie:
                     take()
                     tie = now
                 start = place - x
@@ -305,7 +308,7 @@ def resolve_hot(members: DataFrame, length: int, gram: int, hot: int) -> tuple[l
     sent, covered, width = [], [], length - gram + 1
     while True:
         parts = materialize(_arrow_map(members.select("group", "x", "key", "doc", "place", "words"), DIGESTS, _cut(length, gram, width)), "parts")
-        first = parts.groupBy(F.col("group").alias("g"), F.col("digest").alias("e")).agg(F.min(F.struct("doc", "place")).alias("first"))
+        first = parts.groupBy(F.col("group").alias("g"), F.col("digest").alias("e")).agg(F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "place")).alias("first"))
         first = materialize(first.select("g", "e", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place")), "first-places")
         distinct = first.groupBy(F.col("g").alias("h")).agg(F.count("*").alias("d")).where("d > 1")
         met = parts.join(first, (F.col("group") == F.col("g")) & (F.col("digest") == F.col("e")))
@@ -352,15 +355,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram is from 1 to length")
     spark = docs.sparkSession
     narrow = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    doc = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").cast("long").alias("id"))
-    keyed = narrow.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32))).withColumn("doc", doc)
+    keyed = narrow.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32))).withColumn("doc", F.col("doc_id").cast("long"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"lattica_words_{uuid.uuid4().hex}", fresh_path(spark, "words")
-    distinct = keyed.groupBy("key").agg(F.first("text").alias("text"), F.min("doc").alias("doc"))
+    distinct = keyed.groupBy("key").agg(F.first("text").alias("text"), F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc"))["doc"].alias("doc"))
     distinct.write.bucketBy(buckets, "key").option("path", path).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
 
-    found = materialize(_arrow_map(texts.select("key", "text"), ANCHORS, _find_anchors(length, gram)), "word-anchors")
+    found = materialize(texts.select("key", "text").mapInArrow(_find_anchors(length, gram), ANCHORS), "word-anchors")
     many = found.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).cast("int").alias("hot"))
     many = materialize(many, "repeated-anchors")
     repeated = found.join(many, F.col("hash") == F.col("h")).groupBy(F.col("key").alias("k")).agg(F.map_from_entries(F.collect_set(F.struct("hash", "hot"))).alias("wanted"))
@@ -370,18 +372,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sent = materialize(sent, "contexts")
         more, covered = resolve_hot(sent.where("hot = 1"), length, gram, hot)
         sent = reduce(DataFrame.union, more, sent.where("hot = 0"))
-    order = ["group", "doc", "place"]
+    order = ["group", "doc", "place"]  # nulls first
     dealt = sent.select("group", "x", "key", "doc", "place", "words").repartition("group").sortWithinPartitions(*order)
     spans = reduce(DataFrame.union, covered, _arrow_map(dealt, SPANS, _stream(length)))
     spans = materialize(spans.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("from", "to")).alias("spans")), "word-spans")
 
-    fields = [StructField("key", BinaryType()), StructField("first", texts.schema["doc"].dataType), *(StructField(c, LongType()) for c in ("n_words", "n_removed")), StructField("kept_sha256", StringType())]
+    fields = [StructField("key", BinaryType()), StructField("first", LongType()), *(StructField(c, LongType()) for c in ("n_words", "n_removed")), StructField("kept_sha256", StringType())]
     fields += [StructField("kept", StringType())] * with_kept
     judged = texts.join(spans, F.col("key") == F.col("k"), "left").select("key", "text", "doc", "spans")
     results = materialize(_arrow_map(judged, StructType(fields), _finish(length, with_kept)), "words-kept")
     spark.sql(f"DROP TABLE {name}")
     out = keyed.select("doc_id", "doc", F.col("key").alias("k")).join(results, F.col("k") == F.col("key"))
-    copy = (F.col("doc") > F.col("first")) & (F.col("n_words") >= length)
+    copy = F.col("doc").isNotNull() & (F.col("first").isNull() | (F.col("doc") > F.col("first"))) & (F.col("n_words") >= length)
     out = out.withColumn("n_removed", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed"))).withColumn("kept_sha256", F.when(copy, F.lit(NO_WORDS)).otherwise(F.col("kept_sha256")))
     if with_kept:
         out = out.withColumn("kept", F.when(copy, F.lit("")).otherwise(F.col("kept")))
