@@ -120,6 +120,64 @@ def package_root(name) -> Column:
     return F.when(F.startswith(n, F.lit("@")), F.substring_index(n, "/", 2)).otherwise(F.substring_index(n, "/", 1))
 
 
+def call_root(path) -> Column:
+    """The package-shaped root of a resolved callee: what precedes the first dot or bracket, then its package root."""
+    return package_root(F.regexp_extract(normalize_package(path), r"^([^.\[]*)", 1))
+
+
+#: Import names that differ from the names of the packages they come from.
+IMPORT_ALIASES = {
+    "yaml": ["pyyaml"],
+    "sklearn": ["scikit-learn"],
+    "dateutil": ["python-dateutil"],
+    "jwt": ["pyjwt"],
+    "dotenv": ["python-dotenv"],
+    "openssl": ["pyopenssl"],
+    "mysqldb": ["mysqlclient"],
+    "pil": ["pillow"],
+    "cv2": ["opencv-python"],
+    "bs4": ["beautifulsoup4"],
+    "crypto": ["pycryptodome", "pycrypto"],
+    "serial": ["pyserial"],
+    "git": ["gitpython"],
+    "attr": ["attrs"],
+    "dns": ["dnspython"],
+    "usb": ["pyusb"],
+    "slugify": ["python-slugify"],
+    "magic": ["python-magic"],
+    "docx": ["python-docx"],
+    "jose": ["python-jose"],
+    "memcache": ["python-memcached"],
+}
+
+
+def import_aliases(name) -> Column:
+    """The packages that an import name stands for, where they are called otherwise; else an empty array."""
+    entries = F.create_map(*(x for k, v in IMPORT_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.coalesce(F.element_at(entries, normalize_package(name)), F.array().cast("array<string>"))
+
+
+def package_matches(observed, wanted) -> Column:
+    """Nine ways in which evidence meets a wanted package: equal; the root of one is the other; one goes on after the other at a dot or slash; one without dots and slashes is a segment of the other's path."""
+    o, w = normalize_package(observed), normalize_package(wanted)
+    ahead = lambda a, b: F.startswith(a, F.concat(b, F.lit("."))) | F.startswith(a, F.concat(b, F.lit("/")))
+    within = lambda path, x: F.contains(path, F.lit("/")) & ~x.rlike(r"[./]") & F.array_contains(F.split(path, "/"), x)
+    some = (o == w) | (package_root(observed) == w) | (package_root(wanted) == o) | ahead(o, w) | ahead(w, o) | within(o, w) | within(w, o)
+    return sure((o != "") & (w != "") & some)
+
+
+def package_keys(name, wanted: bool) -> Column:
+    """(way, key) pairs: evidence and a wanted package match if they share one, so that the nine ways are one equality join."""
+    n = normalize_package(name)
+    pair = lambda way: lambda x: F.struct(F.lit(way).alias("way"), x.alias("key"))
+    single = F.when(~n.rlike(r"[./]"), F.array(n)).otherwise(F.array().cast("array<string>"))
+    inner = F.filter(F.when(F.contains(n, F.lit("/")), F.split(n, "/")).otherwise(F.array().cast("array<string>")), lambda x: (x != "") & ~F.contains(x, F.lit(".")))
+    above, below, of, has = (("own", "stem", "name", "segment") if wanted else ("stem", "own", "segment", "name"))
+    sides = {"own": F.array(n), "stem": package_stems(name), "name": single, "segment": inner}
+    ways = [("above", above), ("below", below), ("inside", of), ("around", has)]
+    return F.when(n != "", F.array_distinct(F.flatten(F.array(*(F.transform(sides[k], pair(way)) for way, k in ways))))).otherwise(F.array().cast("array<struct<way:string,key:string>>"))
+
+
 def package_stems(name) -> Column:
     """All prefixes at dots and slashes, so that a prefix match is an equality join."""
     n = normalize_package(name)

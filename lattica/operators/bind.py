@@ -80,6 +80,17 @@ def package_gate(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     return stems.join(wanted.select(S.normalize_package("package").alias("stem"), "package"), "stem").select("name", "package").distinct()
 
 
+def package_pairs(evidence: DataFrame, wanted: DataFrame, aliases: bool = False) -> DataFrame:
+    """(name, package) of all nine ways of package_matches, as one equality join of both sides' names, ancestors and segments.
+
+    With ``aliases`` an import also stands for the packages that it comes from.
+    """
+    name = F.explode(F.array_append(S.import_aliases("name"), F.col("name"))).alias("as_name") if aliases else F.col("name").alias("as_name")
+    own = evidence.select("name").distinct().select("name", name).select("name", F.explode(S.package_keys("as_name", False)).alias("k"))
+    want = wanted.select("package").distinct().select("package", F.explode(S.package_keys("package", True)).alias("w"))
+    return own.join(want, F.col("k") == F.col("w")).select("name", "package").distinct()
+
+
 def advisory_matches(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """packages (eco, name, version) by advisories (eco, name, id, exact, min_safe, max_safe): an exact version, or below the first safe one, or up to the last bad one."""
     a = advisories.select(*(F.col(c).alias(f"a_{c}") for c in advisories.columns))
@@ -100,7 +111,21 @@ def typosquats(names: DataFrame, popular: DataFrame, least: int = 4) -> DataFram
 
 
 def malware_verdicts(packages: DataFrame, known: DataFrame) -> DataFrame:
-    """malicious at a known bad version, suspicious at another version of a package with bad ones."""
+    """malicious at a known bad version (* is all of them), suspicious at another version of a package with bad ones.
+
+    Packages whose ``trusted`` column holds, if there is one, are taken at their word.
+    """
+    if "trusted" in packages.columns:
+        packages = packages.where(~S.sure(F.col("trusted")))
     bad = known.select(F.col("name").alias("b_name"), F.col("version").alias("b_version")).distinct()
-    met = packages.join(bad, F.col("name") == F.col("b_name")).groupBy("name", "version").agg(F.max((F.col("version") == F.col("b_version")).cast("int")).alias("hit"))
+    met = packages.join(bad, F.col("name") == F.col("b_name")).groupBy("name", "version").agg(F.max(((F.col("version") == F.col("b_version")) | (F.col("b_version") == "*")).cast("int")).alias("hit"))
     return met.select("name", "version", F.when(F.col("hit") == 1, "malicious").otherwise("suspicious").alias("verdict"))
+
+
+def name_verdicts(packages: DataFrame, known: DataFrame, popular: DataFrame) -> DataFrame:
+    """(name, version, verdict, near): malware_verdicts, and typosquats among the packages without any bad version on record."""
+    found = malware_verdicts(packages, known).withColumn("near", F.lit(None).cast("string"))
+    left = packages.where(~S.sure(F.col("trusted"))) if "trusted" in packages.columns else packages
+    left = left.select("name", "version").distinct().join(known.select("name").distinct(), "name", "left_anti")
+    near = typosquats(left, popular).groupBy("name").agg(F.min("near").alias("near"))
+    return found.unionByName(left.join(near, "name").select("name", "version", F.lit("suspicious").alias("verdict"), "near"))

@@ -64,9 +64,19 @@ def uncovered_same_scope(candidates: DataFrame, guards: DataFrame) -> DataFrame:
     return candidates.join(above.join(scopes, "scope_key", "left_semi").select("node_id").distinct(), "node_id", "left_anti")
 
 
-def uncovered_same_receiver(candidates: DataFrame, guards: DataFrame) -> DataFrame:
+def uncovered_same_receiver(candidates: DataFrame, guards: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """A guard on the candidate's receiver: a guard with the same receiver path, or the receiver node itself (``recv``) being one.
+
+    ``targets`` (node_id), if given, are the only candidates that such a guard can cover.
+    """
     receivers = guards.select(S.receiver_prefix("callee_path").alias("receiver")).where("receiver <> ''").distinct()
-    return candidates.join(receivers, S.receiver_prefix("callee_path") == F.col("receiver"), "left_anti")
+    covered = candidates.join(receivers, S.receiver_prefix("callee_path") == F.col("receiver"), "left_semi").select("node_id")
+    if "recv" in candidates.columns:
+        nodes = guards.select(F.col("node_id").alias("guard")).distinct()
+        covered = covered.union(candidates.join(nodes, F.col("recv") == F.col("guard"), "left_semi").select("node_id"))
+    if targets is not None:
+        covered = covered.join(targets.select("node_id").distinct(), "node_id", "left_semi")
+    return candidates.join(covered.distinct(), "node_id", "left_anti")
 
 
 def uncovered_global(candidates: DataFrame, guards: DataFrame) -> DataFrame:

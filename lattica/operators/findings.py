@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans import policies
+from ..plans.policies import Policy
 
 CONFIDENCES = ("low", "medium", "high")
 FIDELITIES = ("syntactic", "resolved", "semantic")
 ORIGINS = ("generated", "community", "builtin", "tenant")
 SEVERITIES = ("info", "low", "medium", "high", "critical")
-SEVERITY_WEIGHTS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
-BANDS = ((7, "P1"), (5, "P2"), (3, "P3"))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -82,14 +82,17 @@ def provenance_pick(labels: DataFrame) -> DataFrame:
 # ---- priority
 
 
-def priority(findings: DataFrame, factors: dict[str, int]) -> DataFrame:
-    """total and band: the severity's weight and those of the factors (boolean columns) that hold."""
-    severity = F.lit(0)
-    for name, w in SEVERITY_WEIGHTS.items():
-        severity = F.when(F.col("severity") == name, w).otherwise(severity)
+def priority(findings: DataFrame, factors: dict[str, int], policy: Policy | None = None) -> DataFrame:
+    """total and band: the severity's weight and those of the factors (boolean columns) that hold. Weights and bands are a declared policy's, or the built-in one's."""
+    policy = policy or policies.parse(policies.BUILTIN)["priority"]
+    weights, bands = policy.scores["severity"], policy.bands
+    severity = F.lit(weights.get("default", 0))
+    for name, w in weights.items():
+        if name != "default":
+            severity = F.when(F.col("severity") == name, w).otherwise(severity)
     total = sum((F.when(S.sure(F.col(c)), w).otherwise(0) for c, w in factors.items()), severity)
-    band = F.lit("P4")
-    for least, name in reversed(BANDS):
+    band = F.lit(bands[-1][1])
+    for least, name in reversed(bands):
         band = F.when(F.col("total") >= least, name).otherwise(band)
     return findings.withColumn("total", total).withColumn("band", band)
 

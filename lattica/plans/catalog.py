@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scans", "joins", "ranking", "rules", "solving", "flowing", "texts", "sources")
+_MODULES = ("scans", "joins", "ranking", "rules", "solving", "flowing", "binding", "texts", "sources")
 
 
 def query(name: str, sql: str | None = None):

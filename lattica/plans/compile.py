@@ -7,6 +7,8 @@ them before the plan is made; rules with the same taint policy share one run.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,10 +140,23 @@ class Compiler:
             g = self.guards(control, part)
             if part == "endpoint":
                 rows = coverage.uncovered_endpoint(rows, g, self.graph.edges)
+            elif part == "sameReceiver":
+                rows = self.same_receiver(rows, g, control)
             else:
-                rows = {"dominates": coverage.uncovered_dominates, "postDominates": coverage.uncovered_post_dominates, "sameScope": coverage.uncovered_same_scope, "sameReceiver": coverage.uncovered_same_receiver, "global": coverage.uncovered_global}[part](rows, g)
+                rows = {"dominates": coverage.uncovered_dominates, "postDominates": coverage.uncovered_post_dominates, "sameScope": coverage.uncovered_same_scope, "global": coverage.uncovered_global}[part](rows, g)
         return rows
 
+    def with_role(self, role: str) -> list[str]:
+        """Concepts whose declaration names an internal role."""
+        return [n for n, c in self.ontology.concepts.items() if role in (c.meta.get("roles") or [])]
+
+    def same_receiver(self, rows: DataFrame, guards: DataFrame, control: str) -> DataFrame:
+        """Only where concepts declare roles do they gate: the control has to be a guard on receivers, the row one of their targets."""
+        guarding, targets = self.with_role("same_receiver_guard"), self.with_role("same_receiver_guard_target")
+        if guarding and control not in guarding:
+            return rows
+        return coverage.uncovered_same_receiver(rows, guards, self.graph.nodes_with_concept(*targets) if targets else None)
+
     def policy(self, rule: Rule) -> tuple[str, tuple[str, ...], str]:
         """Source concept, controls on the path and excluded characters: rules with equal ones share a run."""
         sink = self.ontology.concepts.get(self.ontology.canonical(rule.ends[1].concept))
@@ -189,8 +204,7 @@ class Compiler:
         if rule.confidence:
             rows = rows.where(rank >= findings.CONFIDENCES.index(rule.confidence) + 1)
         name = F.element_at(F.array(*map(F.lit, findings.CONFIDENCES)), F.greatest(rank, F.lit(1)))
-        place = self.graph.nodes.select("node_id", "loc")
-        rows = rows.select("source", "node_id", name.alias("confidence"), "path", "evidence", "review").dropDuplicates(["source", "node_id", "confidence"]).join(place, "node_id", "left")
+        rows = rows.select("source", "node_id", "loc", name.alias("confidence"), "path", "evidence", "review").dropDuplicates(["source", "node_id", "confidence"])
         return rows.select(
             F.lit(rule.id).alias("rule_id"), F.lit(rule.meta.get("severity", "info")).alias("severity"), "source", "node_id", "loc", "confidence",
             S.fingerprint(rule=F.lit(rule.id), loc="loc", concept=F.lit(concept)).alias("fp"), "path", "evidence", "review",
@@ -332,8 +346,21 @@ def active(rules: list[Rule], profile: str) -> list[Rule]:
 
 
 def needed_concepts(rules: list[Rule], ontology: Ontology) -> set[str]:
-    """All concepts that the rules can look at; bindings to others need not be evaluated."""
+    """All concepts that the rules can look at, those in conditions and solver calls included; bindings to others need not be evaluated."""
     names = {e.concept for r in rules for e in r.ends} | {c for r in rules for _, c in r.unless}
-    return {d for n in names for d in ontology.descendants(n)}
-
-
+    todo = [x for r in rules for x in [*r.where, *(s.where for s in r.steps if s.where is not None)]]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, (Op, Call)):
+            todo += x.args
+        elif isinstance(x, Ref):
+            names.add(x.name)
+        elif isinstance(x, list):
+            todo += x
+    known = {ontology.canonical(n) for n in names} & set(ontology.concepts) | {n for n in names if n not in ontology.concepts and "." not in n and n}
+    return {d for n in known for d in ontology.descendants(n)}
+
+
+def pruned(graph: Graph, rules: list[Rule], ontology: Ontology) -> Graph:
+    """The graph with the labels that the rules can look at; the concepts are a filter that reaches the scan, or picks its partitions."""
+    return replace(graph, labels=graph.labels.where(F.col("concept").isin(*sorted(needed_concepts(rules, ontology)))))

@@ -28,8 +28,7 @@ def _(spark, d):
 
 @query("concept_in_set", f"WITH {CFG} SELECT node_id, concept FROM cfg WHERE concept IN ('check', 'audit')")
 def _(spark, d):
-    labels = views.cfg_labels(spark, d).where(F.col("concept").isin("check", "audit"))
-    return labels.groupBy("node_id").agg(F.min("concept").alias("concept"))
+    return findings.first_label(views.cfg_labels(spark, d), ["check", "audit"])
 
 
 @query("match_labeledAs", f"WITH {CFG} SELECT node_id FROM cfg WHERE concept = 'candidate' AND ord >= 4")
@@ -80,11 +79,11 @@ def _(spark, d):
     return coverage.uncovered_global(candidates(spark, d), checks(spark, d, "global")).select("node_id")
 
 
-_LINKS = "e AS (SELECT DISTINCT 'L:' || okey || ':' || ord || ':N' AS src, 'L:' || okey || ':' || (ord - 1) || ':R' AS dst FROM cfg WHERE flag = 'N' AND okey % 3 = 0)"
+_LINKS = "e AS (SELECT DISTINCT 'L:' || okey || ':' || ord || ':N' AS src, 'L:' || okey || ':' || (ord - 1) || ':R' AS dst FROM cfg WHERE flag = 'N')"
 
 
 def links(spark, d):
-    c = views.cfg(spark, d).where("flag = 'N' and okey % 3 = 0")
+    c = views.cfg(spark, d).where("flag = 'N'")
     name = lambda k, f: F.concat_ws(":", F.lit("L"), F.col("okey").cast("string"), k.cast("string"), F.lit(f))
     return c.select(F.lit("CHECKS").alias("edge_type"), name(F.col("ord"), "N").alias("src"), name(F.col("ord") - 1, "R").alias("dst")).distinct()
 
@@ -101,10 +100,10 @@ def _(spark, d):
     return coverage.uncovered_endpoint(candidates(spark, d), checks(spark, d, "endpoint"), links(spark, d)).select("node_id")
 
 
-@query("guard_preflight_loop", f"WITH {CFG}, {guards('endpoint')} SELECT DISTINCT c.node_id FROM cfg c JOIN g ON g.okey = c.okey WHERE c.concept = 'candidate' AND g.ord % 3 = 2 AND g.ord < c.ord AND (c.region = '/fn' || c.okey OR c.region = g.region)")
+@query("guard_preflight_loop", f"WITH {CFG}, g AS (SELECT * FROM cfg WHERE flag = 'N' AND NOT advisory AND ord % 3 = 2) SELECT DISTINCT c.node_id FROM cfg c JOIN g ON g.okey = c.okey WHERE c.concept = 'candidate' AND g.ord < c.ord AND (c.region = '/fn' || c.okey OR c.region = g.region)")
 def _(spark, d):
-    # what the loop guards cover
-    c, loops = candidates(spark, d), checks(spark, d, "endpoint").where("region like '%/loop%'")
+    # what the checks in loops cover, whatever their part: a loop over all items that comes before
+    c, loops = candidates(spark, d), views.cfg(spark, d).where("flag = 'N' and okey % 7 <> 0 and region like '%/loop%'")
     left = coverage.uncovered_endpoint(c, loops, links(spark, d).limit(0))
     return c.join(left.select("node_id"), "node_id", "left_anti").select("node_id")
 
@@ -197,6 +196,41 @@ def _(spark, d):
     return bind.malware_verdicts(p, p.where(S.version_parts("version")[1] % 10 == 0))
 
 
+_NAMES = "e AS (SELECT s_suppkey, CASE s_suppkey % 9 WHEN 0 THEN 'acme' WHEN 1 THEN 'acme.core' WHEN 2 THEN 'acme/lib/x' WHEN 3 THEN '@scope/kit/y' WHEN 4 THEN 'github.com/acme/z' WHEN 5 THEN 'acmeother' WHEN 6 THEN '\"Yaml\"' WHEN 7 THEN '@scope' ELSE 'n' || s_suppkey || '[extra]' END AS name FROM supplier), w AS (SELECT 'acme' AS package UNION ALL SELECT 'acme.core.deep' UNION ALL SELECT '@scope/kit' UNION ALL SELECT 'lib' UNION ALL SELECT 'git/acme' UNION ALL SELECT 'pyyaml' UNION ALL SELECT 'n' || n_nationkey || '.x' FROM nation)"
+_NORM = "CASE WHEN strpos({0}, '[') > 0 THEN substr({0}, 1, strpos({0}, '[') - 1) ELSE {0} END"
+_ROOT = "CASE WHEN starts_with({0}, '@') THEN CASE WHEN contains({0}, '/') THEN split_part({0}, '/', 1) || '/' || split_part({0}, '/', 2) ELSE {0} END ELSE split_part({0}, '/', 1) END"
+
+
+@query("package_pairs", f"WITH {_NAMES}, o AS (SELECT DISTINCT s_suppkey, name, {_NORM.format('x')} AS a FROM (SELECT s_suppkey, name, lower(trim(name, chr(34) || chr(39))) AS x FROM e UNION ALL SELECT s_suppkey, name, 'pyyaml' FROM e WHERE lower(trim(name, chr(34))) = 'yaml')) SELECT DISTINCT s_suppkey, name, package FROM (SELECT *, package AS b FROM o, w) WHERE a = b OR {_ROOT.format('a')} = b OR {_ROOT.format('b')} = a OR starts_with(a, b || '.') OR starts_with(b, a || '.') OR starts_with(a, b || '/') OR starts_with(b, a || '/') OR (contains(a, '/') AND NOT contains(b, '/') AND NOT contains(b, '.') AND list_contains(string_split(a, '/'), b)) OR (contains(b, '/') AND NOT contains(a, '/') AND NOT contains(a, '.') AND list_contains(string_split(b, '/'), a))")
+def _(spark, d):
+    """Nine ways as one equality join; the SQL compares all pairs."""
+    k = F.col("s_suppkey")
+    fixed = F.array(*map(F.lit, ("acme", "acme.core", "acme/lib/x", "@scope/kit/y", "github.com/acme/z", "acmeother", '"Yaml"', "@scope")))
+    name = F.coalesce(F.try_element_at(fixed, (k % 9 + 1).cast("int")), F.concat(F.lit("n"), k.cast("string"), F.lit("[extra]")))
+    e = views.table(spark, d, "supplier").select("s_suppkey", name.alias("name"))
+    wanted = spark.sql("select explode(array('acme', 'acme.core.deep', '@scope/kit', 'lib', 'git/acme', 'pyyaml')) as package").union(views.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".x"))))
+    return e.join(bind.package_pairs(e, wanted, aliases=True), "name").select("s_suppkey", "name", "package")
+
+
+@query("name_verdicts", "WITH p AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END AS name, '1.' || p_size || '.0' AS version, p_size % 7 = 0 AS trusted FROM part), k AS (SELECT DISTINCT p_name AS name, CASE WHEN p_size % 20 = 0 THEN '*' ELSE '1.' || p_size || '.0' END AS version FROM part WHERE p_size % 10 = 0), t AS (SELECT * FROM p WHERE NOT trusted), hist AS (SELECT DISTINCT name FROM k), pop AS (SELECT DISTINCT p_name AS near FROM part WHERE p_size >= 5) SELECT DISTINCT name, version, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.name = t.name AND k.version IN ('*', t.version)) THEN 'malicious' ELSE 'suspicious' END AS verdict, NULL::VARCHAR AS near FROM t WHERE name IN (SELECT name FROM hist) UNION ALL SELECT name, version, 'suspicious', min(near) FROM (SELECT DISTINCT name, version FROM t WHERE name NOT IN (SELECT name FROM hist) AND name NOT IN (SELECT near FROM pop)) JOIN pop ON levenshtein(name, near) = 1 AND length(name) >= 4 AND length(near) >= 4 GROUP BY name, version")
+def _(spark, d):
+    """Known bad versions, other versions of the same packages, and look-alikes of popular names without a history."""
+    t = views.table(spark, d, "part")
+    version = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0"))
+    p = t.select(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "x").otherwise("")).alias("name"), version.alias("version"), (F.col("p_size") % 7 == 0).alias("trusted"))
+    known = t.where("p_size % 10 = 0").select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 20 == 0, "*").otherwise(version).alias("version"))
+    return bind.name_verdicts(p, known, t.where("p_size >= 5").select(F.col("p_name").alias("name")))
+
+
+@query("fn_package_roots", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '@s/' || lower(o_orderstatus) ELSE lower(o_orderpriority) END AS root, CASE o_orderstatus WHEN 'F' THEN 'pycryptodome,pycrypto' WHEN 'O' THEN 'pyyaml' ELSE '' END AS aliases, o_orderkey % 3 = 0 AND o_orderstatus = 'F' AS matched FROM orders")
+def _(spark, d):
+    """Roots of callees, what imports stand for, and one pair as a predicate."""
+    o = views.table(spark, d, "orders")
+    path = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("@S/"), "o_orderstatus", F.lit("/deep.call"))).otherwise(F.concat("o_orderpriority", F.lit(".run[0]")))
+    name = F.when(F.col("o_orderstatus") == "F", "'Crypto'").when(F.col("o_orderstatus") == "O", "YAML").otherwise("other")
+    return o.select("o_orderkey", S.call_root(path).alias("root"), F.array_join(S.import_aliases(name), ",").alias("aliases"), S.package_matches(path, F.lit("@s/f")).alias("matched"))
+
+
 # ---- sets
 
 

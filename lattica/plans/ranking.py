@@ -270,13 +270,13 @@ def _(spark, d):
     return views.cfg(spark, d).where(S.path_suffix_matches(p, F.lit("svc.m7.r")) | S.path_suffix_matches(p, F.lit("n"))).select("callee_path").distinct()
 
 
-@query("call_edges", "SELECT DISTINCT 'fn' || (o_custkey % 20) AS caller, 'fn' || (o_orderkey % 30) AS callee FROM orders WHERE o_orderkey % 3 <> 2 AND o_custkey % 20 <> o_orderkey % 30")
+@query("call_edges", "SELECT DISTINCT 'fn' || (o_custkey % 20) AS caller, 'fn' || (o_orderkey % 30) AS callee FROM orders WHERE o_custkey % 20 <> o_orderkey % 30")
 def _(spark, d):
     o = views.table(spark, d, "orders")
     k, fn = F.col("o_orderkey"), lambda c, m: F.concat(F.lit("fn"), (F.col(c) % m).cast("string"))
     name = lambda p: F.concat(F.lit(p), k.cast("string"))
     args = o.select(name("arg").alias("node_id"), fn("o_custkey", 20).alias("fn"))
-    params = o.where(k % 3 == 0).select(name("param").alias("node_id"), fn("o_orderkey", 30).alias("fn"))
-    returns = o.where(k % 3 == 1).select(name("ret").alias("node_id"), fn("o_orderkey", 30).alias("fn"))
+    params = o.where("o_orderstatus = 'F'").select(name("param").alias("node_id"), fn("o_orderkey", 30).alias("fn"))
+    returns = o.where("o_orderstatus <> 'F'").select(name("ret").alias("node_id"), fn("o_orderkey", 30).alias("fn"))
     flows = o.select(name("arg").alias("src"), name("param").alias("dst")).union(o.select(name("ret").alias("src"), name("arg").alias("dst")))
     return bind.call_edges(args, params, returns, flows)

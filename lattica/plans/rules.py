@@ -8,7 +8,7 @@ from ..graph import Graph
 from ..sources import views
 from . import lang
 from .catalog import CFG, FLOWS, NET, STEPS, guards, query
-from .compile import Compiler
+from .compile import Compiler, pruned
 from .joins import DOMINATES
 
 TEXT = """
@@ -31,7 +31,7 @@ rule Fact { meta { id: "D-2" } fact audit as a where a.region contains "loop" }
 rule Floor { meta { id: "D-3", severity: low } issue candidate with confidence >= high }
 rule Scope { meta { id: "D-4", severity: low } issue candidate unless sameScope coveredBy check unless postDominates coveredBy check }
 rule Taint { meta { id: "D-5", severity: critical } taint Buyer -> Vendor unless path coveredBy Blocked }
-rule Reach { meta { id: "D-6", severity: high } reach Zone -> Part as p where holdsAssetKind(p, "TIN", "BRASS") }
+rule Reach { meta { id: "D-6", severity: high } reach Zone -> Part as p where holdsAssetKind(p, "PROMO", "SMALL") }
 rule Grant { meta { id: "D-7", severity: high } grant User -> Rich }
 rule Order { meta { id: "D-8" } query concept as a where a.concept == check reaches concept as b where b.concept == candidate select b }
 rule Refs { meta { id: "D-9" } query concept as o where o.concept == Order references concept as u where u.concept == Buyer and u.id == o.customer select o }
@@ -72,7 +72,7 @@ def graph(spark, d) -> Graph:
 
 def findings_of(name: str):
     def run(spark, d):
-        return Compiler(graph(spark, d), ONTOLOGY, LEVELS).compile(RULES[name]).select("rule_id", "source", "node_id", "confidence", "fp")
+        return Compiler(pruned(graph(spark, d), [RULES[name]], ONTOLOGY), ONTOLOGY, LEVELS).compile(RULES[name]).select("rule_id", "source", "node_id", "confidence", "fp")
 
     return run
 
@@ -91,7 +91,7 @@ query("rule_two_exceptions", f"WITH {CFG}, {guards('sameScope')}, p AS (SELECT *
 _TAINT = "o AS (SELECT dst AS node_id, min(src) AS parent FROM flows WHERE dst LIKE 'S:%' AND src NOT IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY dst)"
 query("rule_taint", f"WITH {FLOWS}, {_TAINT} " + _sql("D-5", "Vendor", "SELECT node_id, 'party.Supplier:' || substr(node_id, 3) AS loc, 'C:' || o_custkey AS source FROM o JOIN orders ON parent = 'O:' || o_orderkey", source="source"))(findings_of("Taint"))
 _R3 = "n1 AS (SELECT 'R:' || r_regionkey AS source, n.dst AS node FROM region JOIN net n ON n.src = 'R:' || r_regionkey), n2 AS (SELECT source, n.dst AS node FROM n1 JOIN net n ON n.src = node), n3 AS (SELECT DISTINCT source, n.dst AS node_id, 'asset.Part:' || substr(n.dst, 3) AS loc, CAST(substr(n.dst, 3) AS BIGINT) AS k FROM n2 JOIN net n ON n.src = node WHERE n.dst LIKE 'P:%')"
-query("rule_reach", f"WITH {NET}, {_R3} " + _sql("D-6", "Part", "SELECT n3.* FROM n3 JOIN part ON p_partkey = k WHERE p_type IN ('TIN', 'BRASS')", source="source"))(findings_of("Reach"))
+query("rule_reach", f"WITH {NET}, {_R3} " + _sql("D-6", "Part", "SELECT n3.* FROM n3 JOIN part ON p_partkey = k WHERE p_type IN ('PROMO', 'SMALL')", source="source"))(findings_of("Reach"))
 query("rule_grant", f"WITH {STEPS}, o AS (SELECT DISTINCT 'C:' || c_custkey AS source, dst AS node FROM customer JOIN steps ON src = 'C:' || c_custkey WHERE c_mktsegment = 'MACHINERY') " + _sql("D-7", "Rich", "SELECT source, dst AS node_id, 'party.Supplier:' || substr(dst, 3) AS loc FROM o JOIN steps ON src = node WHERE dst IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal >= 5000)", source="source"))(findings_of("Grant"))
 query("rule_order", f"WITH {CFG} " + _sql("D-8", "", "SELECT * FROM cfg b WHERE concept = 'candidate' AND EXISTS (SELECT 1 FROM cfg a WHERE a.concept = 'check' AND a.okey = b.okey AND a.ord < b.ord AND (a.region = b.region OR starts_with(a.region, b.region || '/') OR starts_with(b.region, a.region || '/')))"))(findings_of("Order"))
 query("rule_references", _sql("D-9", "", "SELECT 'O:' || o_orderkey AS node_id, 'event.Order:' || o_orderkey AS loc FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"))(findings_of("Refs"))

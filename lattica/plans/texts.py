@@ -90,12 +90,18 @@ def _(spark, d):
     return views.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("sink_changefeed", "SELECT source, substr(sha256(source || chr(0) || string_agg(id, chr(0) ORDER BY id)), 1, 16) AS version, count(*) AS n FROM (SELECT source, substr(sha256(doc_id || chr(0) || coalesce(text, '')), 1, 16) AS id FROM documents) GROUP BY source")
+MANIFEST = "(SELECT source, substr(sha256(source || chr(0) || n || chr(0) || h0 || chr(0) || h1 || chr(0) || h2 || chr(0) || h3), 1, 16) AS version, n FROM (SELECT source, count(*) AS n, " + ", ".join(f"sum(CAST('0x' || substr(id, {15 * k + 1}, 15) AS HUGEINT)) % 1152921504606846976 AS h{k}" for k in range(4)) + " FROM (SELECT source, sha256(coalesce('=' || doc_id, '0') || chr(0) || coalesce('=' || {text}, '0')) AS id FROM documents WHERE {where}) GROUP BY source))"
+
+
+@query("sink_changefeed", f"SELECT * FROM {MANIFEST.format(text='text', where='true')}")
 def _(spark, d):
     return refresh.manifest(views.table(spark, d, "documents").select("source", "doc_id", "text"), "source", ["doc_id", "text"])
 
 
-@query("changefeed_delta", "SELECT CASE WHEN source IN ('src1', 'src2') THEN 'deleted' WHEN source = 'src3' THEN 'changed' WHEN source = 'src4' THEN 'added' END AS op, source FROM (SELECT DISTINCT source FROM documents) WHERE source IN ('src1', 'src2', 'src3', 'src4')")
+_OLD, _NEW = MANIFEST.format(text="text", where="source <> 'src4'"), MANIFEST.format(text="CASE WHEN source = 'src3' THEN upper(text) ELSE text END", where="source NOT IN ('src1', 'src2')")
+
+
+@query("changefeed_delta", f"SELECT * FROM (SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.source IS NULL THEN 'added' WHEN b.source IS NULL THEN 'deleted' WHEN a.version <> b.version THEN 'changed' ELSE 'same' END AS op FROM {_OLD} a FULL JOIN {_NEW} b ON a.source = b.source) WHERE op <> 'same'")
 def _(spark, d):
     t = views.table(spark, d, "documents").select("source", "doc_id", "text")
     before = refresh.manifest(t.where("source <> 'src4'"), "source", ["doc_id", "text"])

@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-
 
 def manifest(rows: DataFrame, module: str, columns: list[str]) -> DataFrame:
-    """(module, version, n): a hash of the hashes of the module's rows, whatever their order."""
-    ids = rows.select(module, S.hash_id(*(F.col(c).cast("string") for c in columns)).alias("id"))
-    out = ids.groupBy(module).agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
-    return out.select(module, F.substring(F.sha2(F.concat_ws("\x00", F.col(module), F.array_join("ids", "\x00")), 256), 1, 16).alias("version"), "n")
+    """(module, version, n): a digest of the module's rows, whatever their order and however many.
+
+    Rows are digested one by one, the digests summed as four numbers of 60 bits
+    modulo 2^60 in partial sums, and the sums and the count digested. No
+    module's rows are put together; repeated rows count each.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("0"))
+    row = F.sha2(F.concat_ws("\x00", *(text(c) for c in columns)), 256)
+    parts = rows.select(module, *(F.conv(F.substring(row, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)").alias(f"h{k}") for k in range(4)))
+    sums = parts.groupBy(module).agg(F.count("*").alias("n"), *((F.sum(f"h{k}") % F.lit(1 << 60).cast("decimal(38,0)")).cast("long").alias(f"h{k}") for k in range(4)))
+    version = F.sha2(F.concat_ws("\x00", F.col(module).cast("string"), F.col("n").cast("string"), *(F.col(f"h{k}").cast("string") for k in range(4))), 256)
+    return sums.select(module, F.substring(version, 1, 16).alias("version"), "n")
 
 
 def delta(before: DataFrame, after: DataFrame, module: str) -> DataFrame:
