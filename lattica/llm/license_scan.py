@@ -1,12 +1,19 @@
 """License scan by a positional index of rare words.
 
-Templates are word sequences with a label and mandatory key phrases. The
-document frequency of every template word is counted over all documents (the
-result has at most as many rows as the templates have words). For each key
-phrase and template the words of highest IDF become its anchors. A file is
-looked up by the anchors it holds: each place of an anchor gives the template
-a relative position, the postings of the template's other words are
-intersected at that position, and the key phrase is verified word by word.
+Templates are word sequences, sentences or whole licences, with a label and
+mandatory key phrases. The document frequency of every template word is counted
+over all documents (the result has at most as many rows as the templates have
+words), which gives the words' IDF.
+
+A template is found where words with ``min_coverage`` of its IDF weight, and
+its key phrase, stand at one relative position. So of its rarest words, those
+that together weigh more than the rest of 1 - min_coverage, one must stand
+there: only their postings (template, position) are in the index. A file takes
+its licence words by falling IDF; every place of one says at which positions
+templates may begin. The weights of the rare words that meet at one position
+are summed, which intersects their postings; a position that the others can't
+bring to min_coverage any more drops out, and the key phrase and all words of
+the template are verified at those left. No template that is there is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +32,8 @@ from .common import id_and_text, map_columns, utf8
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 #: Share of a template's words that has to be found at one relative position.
 MIN_COVERAGE = 0.75
+#: For sums of weights in different orders.
+SLACK = 1e-6
 
 # Base phrases and their labels.
 BASE_PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -45,6 +54,28 @@ TEMPLATES = [
 ]
 
 
+# Whole texts of short public licences, without their copyright lines.
+WHOLE = [
+    ("mit", "permission is hereby granted free of charge", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", "permission to use copy modify", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2", "source and binary forms", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("unlicense", "unencumbered software", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("zlib", "altered source versions must be plainly marked", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(_WORD_BYTES).split()
 
@@ -56,17 +87,19 @@ class Template:
     key_at: int  # where the key phrase stands in the words
     key: tuple[bytes, ...]
     base: bool
+    least: float  # the share of the weight that has to stand at one position
 
 
-def templates(base=None, more=None) -> list[Template]:
+def templates(base=None, more=None, min_coverage: float = MIN_COVERAGE) -> list[Template]:
     out = []
-    rows = [(label, p, p, True) for p, label in (BASE_PHRASES if base is None else base)] + [(*t, False) for t in (TEMPLATES if more is None else more)]
+    rows = [(label, p, p, True) for p, label in (BASE_PHRASES if base is None else base)]
+    rows += [(*t, False) for t in ([*TEMPLATES, *((label, text, key) for label, key, text in WHOLE)] if more is None else more)]
     for label, text, key, is_base in rows:
         w, k = tuple(words_of(text)), tuple(words_of(key))
         at = next((i for i in range(len(w) - len(k) + 1) if w[i : i + len(k)] == k), None)
         if at is None or not k:
             raise ValueError(f"the key phrase of {label!r} is not in its template")
-        out.append(Template(label, w, at, k, is_base))
+        out.append(Template(label, w, at, k, is_base, 1.0 if is_base else min_coverage))
     return out
 
 
@@ -90,37 +123,49 @@ def document_frequency(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[by
 
 
 class Index:
-    """Anchors: rare word -> (template, place of that word in the key phrase)."""
+    """Postings of rare words: word -> (template, position)."""
 
     def __init__(self, listed: list[Template], frequency: dict[bytes, int], documents: int):
         self.templates = listed
-        self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for t in listed for w in t.words}
-        self.anchors: dict[bytes, list[tuple[int, int]]] = {}
+        self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1e-9 for t in listed for w in t.words}
+        self.weight = [sum(self.idf[w] for w in t.words) for t in listed]
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.needed: list[float] = []  # of each template's rare words' weight what has to be met at a position
         for k, t in enumerate(listed):
-            # the rarest word of the key phrase, the first of equals; every verified place holds it there
-            j = max(range(len(t.key)), key=lambda i: (self.idf[t.key[i]], -i))
-            self.anchors.setdefault(t.key[j], []).append((k, j))
-        self.rare = frozenset(self.anchors)
+            spare, rare = (1 - t.least) * self.weight[k], 0.0
+            # the rarest positions first, the first of equals; past the spare weight one of them must be met
+            for i in sorted(range(len(t.words)), key=lambda i: (-self.idf[t.words[i]], i)):
+                self.postings.setdefault(t.words[i], []).append((k, i))
+                rare += self.idf[t.words[i]]
+                if rare > spare + SLACK:
+                    break
+            self.needed.append(rare - spare - SLACK)
+        self.rare = frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, place of the key phrase, coverage) of every verified place."""
         present = self.rare.intersection(words)
         if not present:
             return []
-        found = []
-        postings: dict[bytes, list[int]] = {w: [] for w in present}
+        places: dict[bytes, list[int]] = {w: [] for w in present}
         for i, w in enumerate(words):
             if w in present:
-                postings[w].append(i)
-        for w, places in postings.items():
-            for k, j in self.anchors[w]:
-                t = self.templates[k]
-                for p in places:
-                    at = p - j
-                    if at >= 0 and tuple(words[at : at + len(t.key)]) == t.key:
-                        start = at - t.key_at
-                        weights = [(self.idf[x] + 1e-9, 0 <= start + i < len(words) and words[start + i] == x) for i, x in enumerate(t.words)]
-                        found.append((k, at, sum(x for x, hit in weights if hit) / sum(x for x, _ in weights)))
+                places[w].append(i)
+        met: dict[tuple[int, int], float] = {}
+        for w in sorted(present, key=lambda w: (-self.idf[w], w)):
+            idf = self.idf[w]
+            for k, j in self.postings[w]:
+                for p in places[w]:
+                    met[k, p - j] = met.get((k, p - j), 0.0) + idf
+        found = []
+        for (k, start), weight in met.items():
+            t = self.templates[k]
+            at = start + t.key_at
+            if weight < self.needed[k] or at < 0 or tuple(words[at : at + len(t.key)]) != t.key:
+                continue
+            hit = sum(self.idf[x] for i, x in enumerate(t.words) if 0 <= start + i < len(words) and words[start + i] == x)
+            if hit >= t.least * self.weight[k] - SLACK:
+                found.append((k, at, min(1.0, hit / self.weight[k])))
         return found
 
 
@@ -136,7 +181,7 @@ def scan_licenses(docs: DataFrame, base=None, more=None, min_coverage: float = M
     other columns are ignored; an empty table gives an empty result.
     """
     docs = id_and_text(docs, id_col, text_col)
-    listed = templates(base, more)
+    listed = templates(base, more, min_coverage)
     frequency, documents = document_frequency(docs, {w for t in listed for w in t.words})
     kinds = {"n_words": LongType(), "n_base": LongType(), "first_word": LongType(), "last_word": LongType(), "base_labels": StringType(), "labels": StringType(), "score": DoubleType(), "spans": StringType()}
     schema = StructType([docs.schema["doc_id"], *(StructField(c, k) for c, k in kinds.items())])
@@ -148,7 +193,7 @@ def scan_licenses(docs: DataFrame, base=None, more=None, min_coverage: float = M
             out: dict[str, list] = {c: [] for c in kinds}
             for t in texts:
                 words = words_of(t)
-                places = [x for x in index.scan(words) if listed[x[0]].base or x[2] >= min_coverage]
+                places = index.scan(words)
                 own = [x for x in places if listed[x[0]].base]
                 row = (
                     len(words), len(own), min((at for _, at, _ in own), default=None), max((at for _, at, _ in own), default=None),

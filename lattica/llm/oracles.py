@@ -22,7 +22,7 @@ FROM h
 """
 
 _OP10 = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text, coalesce(md5(text), '') AS copy FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 n AS (SELECT rid, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars FROM w),
 sym AS (SELECT rid, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
@@ -35,9 +35,9 @@ pos AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws)
 tri AS (SELECT rid, i, array_to_string(ws[i:i+2], ' ') AS t FROM pos),
 many AS (SELECT rid, t FROM tri GROUP BY rid, t HAVING count(*) > 1),
 rep AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest([i, i+1, i+2]) AS j FROM tri JOIN many USING (rid, t)) GROUP BY rid),
-size AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-freq AS (SELECT host, norm, count(DISTINCT rid) AS c FROM worded GROUP BY host, norm),
-over AS (SELECT f.host, f.norm FROM freq f JOIN size s ON f.host IS NOT DISTINCT FROM s.host WHERE c > 20 AND c > 0.1 * docs),
+size AS (SELECT host, count(DISTINCT copy) AS docs FROM d GROUP BY host),
+freq AS (SELECT worded.host, norm, count(DISTINCT copy) AS c FROM worded JOIN d USING (rid) GROUP BY worded.host, norm),
+over AS (SELECT f.host, f.norm FROM freq f JOIN size s ON f.host IS NOT DISTINCT FROM s.host WHERE c > 5 AND c > sqrt(docs)),
 gone AS (SELECT rid, sum(k) AS lost FROM worded x JOIN over o ON x.host IS NOT DISTINCT FROM o.host AND x.norm = o.norm GROUP BY rid),
 j AS (
   SELECT d.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
@@ -46,7 +46,7 @@ j AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 0.5 * n_words AS kept, words_left
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 0.5 * n_words AND words_left >= 50 AS kept, words_left
 FROM j
 """
 

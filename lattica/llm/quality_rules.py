@@ -1,14 +1,14 @@
 """Quality rules: text statistics of each document, and lines that recur across a host's documents.
 
 Method: the normalised lines of every document are hashed, the distinct
-documents of each (host, line) counted, lines above the host's limit removed,
-and documents rejected of which too little is left. Counts are summed within
-each task before the shuffle, so that a hot host or line costs one row a task.
-
-At most (mean lines a document) / ``max_share`` lines of a host can exceed its
-limit, so the removal list is small; it is written to the shared folder, and
-Spark broadcasts it only if the written size is under its own threshold (else
-it joins by host, splitting skewed hosts).
+documents of each (host, line) counted (equal texts are one document), lines
+above the host's limit removed, and documents rejected of which too little is
+left. Copies are met within each task before the shuffle of line hashes.
+
+At most (mean lines a document) x (root of the host's documents) lines of a
+host can exceed its limit, so the removal list is small; it is written to the
+shared folder, and Spark broadcasts it only if the written size is under its
+own threshold (else it joins by host, splitting skewed hosts).
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import map_columns, materialize, utf8
 
 #: A line is removed where more than this share of its host's documents, and more than so many of them, hold it.
 MAX_SHARE, MIN_DOCUMENTS = 0.1, 20
+#: Where no share is given, a line is removed that more distinct texts of its host hold than this and the root of their number.
+MIN_TEXTS = 5
 #: A document is rejected if less than this share of its words is left.
 MIN_LEFT = 0.5
 #: Fixed values of the base rules.
@@ -130,16 +132,21 @@ def frequent_lines(docs: DataFrame, max_share: float | None, min_documents: int)
     return materialize(over.groupBy("host").agg(F.collect_list("line").alias("lines")), "frequent-lines")
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float | None = MAX_SHARE, min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float | None = MAX_SHARE, min_documents: int | None = None, min_left: float = MIN_LEFT, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left and, if asked for, clean_text (without the removed lines), changed (whether any was) and the columns to carry.
 
-    A document is a row: repeated rows count as often as they occur, unless
-    ``max_share`` is None (see ``frequent_lines``). A null
-    text has no words and fails. A null host is a host of its own. Lines
+    Without ``max_share`` equal texts of a host count once, and a document
+    needs as many words after the removal of lines as before it; with it a
+    document is a row, and repeated rows count as often as they occur. A
+    document is kept if it does not fail the base rules and enough of its
+    words is left. A null text has no words and fails. A null host is a host of its own. Lines
     without a word are neither counted nor removed. Columns of other names are
     ignored; an empty table gives an empty result.
     """
     carry = carry or []
+    if min_documents is None:
+        min_documents = MIN_TEXTS if max_share is None else MIN_DOCUMENTS
+    least = MIN_WORDS if max_share is None else 0
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_c_{c}") for c in carry))
     frequent = frequent_lines(narrow, max_share, min_documents).withColumnRenamed("host", "h")
     joined = narrow.join(frequent, narrow.host.eqNullSafe(frequent.h), "left").select("doc_id", "text", "lines", *(f"_c_{c}" for c in carry))
@@ -174,7 +181,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for c, v in zip(longs, stats):
                     out[c].append(v)
                 out["base_failed"].append(failed)
-                out["kept"].append(not failed and left >= min_left * stats[0])
+                out["kept"].append(not failed and left >= min_left * stats[0] and left >= least)
                 out["words_left"].append(left)
                 if with_text:
                     out["clean_text"].append(clean)

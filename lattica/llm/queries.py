@@ -55,7 +55,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+    return quality_rules.judge_quality(table(spark, sf_dir, "documents"), max_share=None)
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
