@@ -49,35 +49,40 @@ COUNTS = StructType([StructField("lang", StringType()), StructField("source", St
 PAIRS = StructType([StructField("lang", StringType()), StructField("a", LongType()), StructField("b", LongType()), StructField("value", LongType())])
 
 
-def _count(batches):
-    schema = to_arrow_schema(COUNTS)
-    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    held = 0
-
-    def out():
-        for (lang, source), (n, docs) in seen.items():
-            terms = list(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array([t.decode("utf-8", "surrogatepass") for t in terms]), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())], schema=schema
-            )
-
-    for batch in batches:
-        for lang, source, text in zip(*batch.columns):
-            n, docs = seen.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-            own = Counter(_TERM.findall(text.as_buffer().to_pybytes().translate(_LOW)))
-            held -= len(n)
-            n.update(own)
-            docs.update(own.keys())
-            held += len(n)
-            if held > HELD:
-                yield from out()
-                seen, held = {}, 0
-    yield from out()
+def _count(most: int):
+    """The function for mapInArrow: COUNTS of whole texts, added up until ``most`` are held."""
+
+    def run(batches):
+        schema = to_arrow_schema(COUNTS)
+        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
+
+        def out():
+            for (lang, source), (n, docs) in seen.items():
+                terms = list(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array([t.decode("utf-8", "surrogatepass") for t in terms]), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())], schema=schema
+                )
+
+        for batch in batches:
+            for lang, source, text in zip(*batch.columns):
+                n, docs = seen.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                own = Counter(_TERM.findall(text.as_buffer().to_pybytes().translate(_LOW)))
+                held -= len(n)
+                n.update(own)
+                docs.update(own.keys())
+                held += len(n)
+                if held > most:
+                    yield from out()
+                    seen, held = {}, 0
+        yield from out()
+
+    return run
 
 
 def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, vector) of kept terms; vector: (source, n) of the sources that hold it, in order."""
-    counts = docs.mapInArrow(_count, COUNTS)
+    counts = docs.mapInArrow(_count(HELD), COUNTS)
     # one shuffle: what is dealt by (lang, term) is grouped by (lang, term, source) and then by (lang, term) where it lies
     counts = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("vector"))
@@ -98,33 +103,37 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def _tile(key, vectors: pa.Table, sources: pa.Table) -> pa.Table:
-    """What the slice's vectors add to the divergence of each pair of the tile's sources, beyond that of a term which neither holds."""
-    lang, low, high, _ = (k.as_py() for k in key)
-    ids, zero = (sources.column(c).to_numpy() for c in ("id", "zero"))
-    order = np.argsort(ids)
-    ids, zero = ids[order], zero[order]
-    sides = [np.flatnonzero(ids // TILE == k) for k in (low, high)]
-    p0, q0 = zero[sides[0]][:, None], zero[sides[1]][None, :]
-    empty = (p0 - q0) * (p0 - q0) // (p0 + q0)
-    total = np.zeros_like(empty)
-    if len(vectors):
-        names, first, row = np.unique(vectors.column("vector_id").to_numpy(), return_index=True, return_inverse=True)
-        size, column, held = vectors.column("size").to_numpy()[first], np.searchsorted(ids, vectors.column("id").to_numpy()), vectors.column("p").to_numpy()
-        by_row = np.argsort(row, kind="stable")
-        row, column, held = row[by_row], column[by_row], held[by_row]
-        for at in range(0, len(names), BLOCK):
-            end = min(at + BLOCK, len(names))
-            a, b = np.searchsorted(row, [at, end])
-            dense = np.tile(zero, (end - at, 1))
-            dense[row[a:b] - at, column[a:b]] = held[a:b]
-            p, q = dense[:, sides[0], None], dense[:, None, sides[1]]
-            f = (p - q) * (p - q) // (p + q) - empty
-            total += (f * size[at:end, None, None]).sum(axis=0)
-    a, b = (x.ravel() for x in np.meshgrid(ids[sides[0]], ids[sides[1]], indexing="ij"))
-    keep = (a < b) & (total.ravel() != 0)
-    columns = [np.full(int(keep.sum()), lang, dtype=object), a[keep], b[keep], total.ravel()[keep]]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(PAIRS))], schema=to_arrow_schema(PAIRS))
+def _tile(tile: int):
+    """The function for a cogroup: what a slice's vectors add to the divergence of each pair of a tile's sources, beyond that of a term which neither holds."""
+
+    def evaluate(key, vectors: pa.Table, sources: pa.Table) -> pa.Table:
+        lang, low, high, _ = (k.as_py() for k in key)
+        ids, zero = (sources.column(c).to_numpy() for c in ("id", "zero"))
+        order = np.argsort(ids)
+        ids, zero = ids[order], zero[order]
+        sides = [np.flatnonzero(ids // tile == k) for k in (low, high)]
+        p0, q0 = zero[sides[0]][:, None], zero[sides[1]][None, :]
+        empty = (p0 - q0) * (p0 - q0) // (p0 + q0)
+        total = np.zeros_like(empty)
+        if len(vectors):
+            names, first, row = np.unique(vectors.column("vector_id").to_numpy(), return_index=True, return_inverse=True)
+            size, column, held = vectors.column("size").to_numpy()[first], np.searchsorted(ids, vectors.column("id").to_numpy()), vectors.column("p").to_numpy()
+            by_row = np.argsort(row, kind="stable")
+            row, column, held = row[by_row], column[by_row], held[by_row]
+            for at in range(0, len(names), BLOCK):
+                end = min(at + BLOCK, len(names))
+                a, b = np.searchsorted(row, [at, end])
+                dense = np.tile(zero, (end - at, 1))
+                dense[row[a:b] - at, column[a:b]] = held[a:b]
+                p, q = dense[:, sides[0], None], dense[:, None, sides[1]]
+                f = (p - q) * (p - q) // (p + q) - empty
+                total += (f * size[at:end, None, None]).sum(axis=0)
+        a, b = (x.ravel() for x in np.meshgrid(ids[sides[0]], ids[sides[1]], indexing="ij"))
+        keep = (a < b) & (total.ravel() != 0)
+        columns = [np.full(int(keep.sum()), lang, dtype=object), a[keep], b[keep], total.ravel()[keep]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(PAIRS))], schema=to_arrow_schema(PAIRS))
+
+    return evaluate
 
 
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -163,13 +172,15 @@ def _pair_values(terms: DataFrame, groups: DataFrame) -> DataFrame:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
         return rows.withColumn("low", F.least(block, "other")).withColumn("high", F.greatest(block, "other"))
 
-    named = groups.select(F.col("lang").alias("l"), F.col("source").alias("s"), "id", "base")
+    shaped = groups.join(shape, F.col("lang") == F.col("l")).drop("l")
+    # a row for each source, the shape of its language with it: vectors meet it by language and source
+    named = shaped.select(F.col("lang").alias("l"), F.col("source").alias("s"), "id", "base", "slices", "last")
     held = vectors.select("lang", "vector_id", "size", F.explode("vector").alias("e")).select("lang", "vector_id", "size", "e.source", "e.n")
-    held = held.join(named, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))).drop("l", "s").join(shape, F.col("lang") == F.col("l")).drop("l")
+    held = held.join(named, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))).drop("l", "s")
     held = tiled(held).select("lang", "low", "high", F.pmod(F.xxhash64("vector_id"), F.col("slices")).alias("slice"), "vector_id", "size", (F.col("id") + 0).alias("id"), share(F.col("n") + PRIOR, F.col("base")).alias("p"))
-    sources = tiled(groups.join(shape, F.col("lang") == F.col("l"))).select("lang", "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "id", "zero")
+    sources = tiled(shaped).select("lang", "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "id", "zero")
     keys = ["lang", "low", "high", "slice"]
-    summed = held.groupBy(keys).cogroup(sources.groupBy(keys)).applyInArrow(_tile, PAIRS).groupBy("lang", "a", "b").agg(F.sum("value").alias("more"))
+    summed = held.groupBy(keys).cogroup(sources.groupBy(keys)).applyInArrow(_tile(TILE), PAIRS).groupBy("lang", "a", "b").agg(F.sum("value").alias("more"))
     summed = summed.withColumnRenamed("lang", "sl")
     mine = groups.select("lang", "source", "v", "id", "zero")
     other = groups.select(F.col("lang").alias("ol"), F.col("source").alias("item"), F.col("id").alias("oid"), F.col("zero").alias("ozero"))
