@@ -24,7 +24,7 @@ for most runs to meet what they wrote before, and end there. Where TURNS turns
 don't tell all entries, the chunks left are run one after another.
 
 Tables have room for ROOM states, whatever the text: when they are full, within
-a segment too, the half visited most is kept, with all states in use.
+a segment too, the two thirds visited most are kept, with all states in use.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ import json
 import numpy as np
 
 #: Symbols of a chunk and of a segment; turns in which entries of chunks are guessed.
-CHUNK, SEGMENT, TURNS = 512, 1 << 19, 6
+CHUNK, SEGMENT, TURNS = 512, 1 << 20, 6
 #: States that a machine has at most: 408 bytes of tables each, about 350 of keys; known pairs of tokens.
-ROOM, MAX_FITS = 1 << 17, 1 << 19
+ROOM, MAX_FITS = 3 << 16, 1 << 19
 _BLANKS, _DIGITS = b" \t\n\r\x0b\x0c", b"0123456789"
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Second bytes of the lower-case letters U+00DF to U+00FF without the division sign.
@@ -129,14 +129,14 @@ class Machine:
         self.start = self._state((0, -1, 0))
 
     def shrink(self, used: list[np.ndarray]) -> np.ndarray:
-        """Keep the half of the states that was visited most and those in use, with the transitions among them; the others are made again when met. The new numbers of the old ones, 0 for none."""
+        """Keep the two thirds of ROOM that were visited most and the states in use, with the transitions among them; the others are made again when met. The new numbers of the old ones, 0 for none."""
         n = len(self.keys)
         visits = self.visits[:n].copy()
         visits[: self.start + 1] = np.iinfo(np.int64).max
         for u in used:
             visits[u] = np.iinfo(np.int64).max
         n_used = int((visits == np.iinfo(np.int64).max).sum())
-        keep = np.sort(np.argsort(-visits, kind="stable")[: max(ROOM // 2, n_used)])
+        keep = np.sort(np.argsort(-visits, kind="stable")[: max(ROOM * 2 // 3, n_used)])
         to = np.zeros(n, dtype=np.uint32)
         to[keep] = np.arange(len(keep), dtype=np.uint32)
         table = self.table.reshape(-1, WIDTH)
@@ -247,20 +247,20 @@ class Machine:
 
     def take(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Table entries of one step of all chunks; new transitions are made."""
-        at = state * WIDTH + symbols
-        entry = self.table[at]
+        at = state * WIDTH
+        at += symbols
+        entry = self.table.take(at)
         if not entry.all():
             for x in np.unique(at[entry == 0]).tolist():
                 self.step(x // WIDTH, x % WIDTH)
-            entry = self.table[at]
-        self.visits[state] += 1
+            entry = self.table.take(at)
         return entry
 
-    def run(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """At each symbol the token that ends there if the pre-token's prefix does (at an END: its last token, or -1), and the change of the number of tokens. The stream begins after an END and ends with one."""
+    def run(self, symbols: np.ndarray, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """If ids are wanted, at each symbol the token that ends there if the pre-token's prefix does (at an END: its last token, or -1), and the change of the number of tokens. The stream begins after an END and ends with one."""
         state, tokens, changes = self.start, [], []
         for at in range(0, len(symbols), SEGMENT):
-            t, c, state = _Segment(self, symbols[at : at + SEGMENT], state).read()
+            t, c, state = _Segment(self, symbols[at : at + SEGMENT], state, ids).read()
             tokens.append(t)
             changes.append(c)
         return (np.concatenate(tokens), np.concatenate(changes)) if tokens else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int8))
@@ -289,8 +289,8 @@ class Machine:
 class _Segment:
     """A stretch of symbols in equal chunks: the states after each symbol, and what the machine says there."""
 
-    def __init__(self, machine: Machine, symbols: np.ndarray, entry: int):
-        self.machine, self.length = machine, len(symbols)
+    def __init__(self, machine: Machine, symbols: np.ndarray, entry: int, ids: bool):
+        self.machine, self.length, self.ids = machine, len(symbols), ids
         self.n = n = -(-self.length // CHUNK)
         stream = np.zeros(n * CHUNK, dtype=np.uint8)
         stream[: self.length] = symbols
@@ -299,15 +299,41 @@ class _Segment:
         ends = stream == END
         self.first = np.where(ends.any(axis=1), ends.argmax(axis=1), CHUNK)
         self.states = np.zeros((CHUNK, n), dtype=np.uint32)
-        self.ended = np.zeros((CHUNK, n), dtype=np.int32)
+        self.ended = np.zeros((CHUNK, n) if ids else (0, 0), dtype=np.int32)
         self.change = np.zeros((CHUNK, n), dtype=np.int8)
         # each turn's entries and exits of all chunks: the maps as far as known
         now = np.full(n, machine.start, dtype=np.int64)
         now[0] = entry
         self.entries, self.exits = [now], []
 
-    def walk(self, at: np.ndarray, state: np.ndarray, meet: bool) -> None:
-        """Run chunks ``at`` from their states; with ``meet`` they end where they come to what stands there already, or after an END."""
+    def sweep(self) -> None:
+        """Run all chunks from their first entries."""
+        m, state, settled = self.machine, self.entries[0], 0
+        packed = np.empty((CHUNK, self.n), dtype=np.uint32)
+        for i in range(CHUNK):
+            if len(m.keys) + self.n >= ROOM:
+                self.settle(packed, settled, i)
+                settled, state = i, self.renumber(m.shrink([state, *self.entries]), state)
+            packed[i] = entry = m.take(state, self.chunks[i])
+            state = (entry >> _BITS).astype(np.int64)
+        self.settle(packed, settled, CHUNK)
+
+    def settle(self, packed: np.ndarray, begin: int, end: int) -> None:
+        """Write down what the entries of some steps say, while their states have these numbers."""
+        m = self.machine
+        after = packed[begin:end] >> _BITS
+        self.states[begin:end] = after
+        self.change[begin:end] = (packed[begin:end] & _LOW).astype(np.int8) - np.int8(_BIAS)
+        if self.ids:
+            before = np.concatenate([self.states[begin - 1 : begin] if begin else self.entries[0][None].astype(np.uint32), after[:-1]])
+            self.ended[begin:end] = m.prefix_token.take(after)
+            ends = self.chunks[begin:end] == END
+            last = before[ends]
+            self.ended[begin:end][ends] = np.where(last == m.start, -1, m.end_token.take(last))
+        m.visits[: len(m.keys)] += np.bincount(after.reshape(-1), minlength=len(m.keys))
+
+    def walk(self, at: np.ndarray, state: np.ndarray) -> None:
+        """Run chunks ``at`` from other states, until they come to what stands there already, or after an END."""
         m = self.machine
         for i in range(CHUNK):
             if not len(at):
@@ -317,15 +343,13 @@ class _Segment:
             symbols = self.chunks[i, at]
             entry = m.take(state, symbols)
             new = (entry >> _BITS).astype(np.int64)
-            self.ended[i, at] = np.where(symbols == END, np.where(state == m.start, -1, m.end_token[state]), m.prefix_token[new])
-            self.change[i, at] = (entry & _LOW).astype(np.int16) - _BIAS
-            if meet:
-                more = (self.states[i, at] != new) & (self.first[at] > i)
-                self.states[i, at] = new
-                at, state = at[more], new[more]
-            else:
-                self.states[i, at] = new
-                state = new
+            if self.ids:
+                self.ended[i, at] = np.where(symbols == END, np.where(state == m.start, -1, m.end_token[state]), m.prefix_token[new])
+            self.change[i, at] = (entry & _LOW).astype(np.int8) - np.int8(_BIAS)
+            m.visits[new] += 1
+            more = (self.states[i, at] != new) & (self.first[at] > i)
+            self.states[i, at] = new
+            at, state = at[more], new[more]
 
     def renumber(self, to: np.ndarray, state: np.ndarray) -> np.ndarray:
         self.states = to[self.states]
@@ -349,7 +373,7 @@ class _Segment:
 
     def read(self) -> tuple[np.ndarray, np.ndarray, int]:
         every = np.arange(self.n)
-        self.walk(every, self.entries[0], False)
+        self.sweep()
         self.exits.append(self.states[-1].astype(np.int64))
         standing = np.zeros(self.n, dtype=np.int64)  # the turn whose run is written in the arrays
         for turn in range(1, TURNS + 1):
@@ -359,12 +383,12 @@ class _Segment:
             wanted = np.concatenate([self.entries[0][:1], self.exits[-1][:-1]])
             todo = np.flatnonzero(wanted != self.entries[-1])
             self.entries.append(wanted)
-            self.walk(todo, wanted[todo], True)
+            self.walk(todo, wanted[todo])
             self.exits.append(self.states[-1].astype(np.int64))
             standing[:] = turn
         true = self.true_entries()
         again = np.flatnonzero((true >= 0) & (np.stack(self.entries)[true, every] != np.stack(self.entries)[standing, every]))
-        self.walk(again, np.stack(self.entries)[true[again], again], True)
+        self.walk(again, np.stack(self.entries)[true[again], again])
         for c in np.flatnonzero(true < 0).tolist():
             entry = np.array([int(self.states[-1, c - 1])])
             if entry[0] != (self.entries[-1][c]):
@@ -382,7 +406,8 @@ class _Segment:
         for i, symbol in enumerate(self.chunks[:, c].tolist()):
             found = m.table.item(state * WIDTH + symbol) or m.step(state, symbol)
             new = found >> _BITS
-            self.ended[i, c] = (m.end_token.item(state) if state != start else -1) if symbol == END else m.prefix_token.item(new)
+            if self.ids:
+                self.ended[i, c] = (m.end_token.item(state) if state != start else -1) if symbol == END else m.prefix_token.item(new)
             self.change[i, c] = (found & _LOW) - _BIAS
             if self.states[i, c] == new or symbol == END:
                 self.states[i, c] = new

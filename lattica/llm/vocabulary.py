@@ -69,7 +69,7 @@ class Vocabulary:
                 end += 1
             data = np.frombuffer(b"\n".join([*raws[at:end], b""]), dtype=np.uint8)  # of a longer text the machine reads segments
             symbols, place = automaton.symbols_of(data)
-            ended, change = self.machine.run(symbols)
+            ended, change = self.machine.run(symbols, ids)
             stops = place[np.cumsum([len(r) + 1 for r in raws[at:end]]) - 1]
             if ids:
                 token = self.machine.tokens(symbols, ended)
