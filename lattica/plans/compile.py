@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import Graph
-from ..operators import coverage, findings, flows, solve
+from ..operators import context, coverage, findings, flows, solve
 from ..storage import materialize
 from .lang import Call, Ontology, Op, Ref, Rule, RuleError, Step
 
@@ -210,6 +210,15 @@ class Compiler:
             S.fingerprint(rule=F.lit(rule.id), loc="loc", concept=F.lit(concept)).alias("fp"), "path", "evidence", "review",
         )
 
+    def context(self, rows: DataFrame) -> DataFrame:
+        """(node_id, context) of the findings' nodes, as far as concepts declare any: context_reach_*, context_asset_* and context_confirm_* of their declarations."""
+        of = lambda c, k, default="": str(c.meta.get(f"context_{k}", default))
+        known = [(tuple(self.ontology.descendants(n)), c) for n, c in sorted(self.ontology.concepts.items())]
+        exposures = [context.Exposure(d, of(c, "reach_target_prop"), of(c, "reach_label", c.name)) for d, c in known if c.meta.get("context_reach_source") is True and of(c, "reach_target_prop")]
+        holdings = [context.Holding(d, of(c, "asset_target_prop"), of(c, "asset_label", "{target} holds [{kinds}]")) for d, c in known if of(c, "asset_target_prop")]
+        confirmations = [context.Confirmation(d, of(c, "confirm_dst_prop"), of(c, "confirm_label", f"confirmed by {c.name}"), of(c, "confirm_flag_prop"), of(c, "confirm_flag_value")) for d, c in known if of(c, "confirm_dst_prop")]
+        return context.enrich(rows, self.graph.nodes, self.graph.labels, self.graph.out_edges("NET"), exposures, confirmations, holdings)
+
     def confidence(self, concept: str) -> DataFrame:
         """(node_id, confidence_rank) over the labels of the concept or one that refines it."""
         names = self.ontology.descendants(concept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
+from .. import report
 from ..graph import Graph
 from ..operators import flows, solve
 from ..sources import views
@@ -145,3 +145,50 @@ def _(spark, d):
     nations = views.table(spark, d, "nation").select(views.ident("N", "n_nationkey").alias("node_id"))
     chains = solve.grant_chains(materialize(views.steps(spark, d).select("src", "dst").distinct(), "steps"), vip(spark, d), nations, 4)
     return chains.select("source", "resource", F.array_join(solve.via_roles(F.col("path")), ",").alias("via"))
+
+
+# ---- context
+
+
+CONTEXT = lang.parse("""
+module around;
+concept Zone { kind: exposure, context_reach_source: true, context_reach_target_prop: customer, context_reach_label: "exposed" }
+concept Vault { kind: asset, context_asset_target_prop: customer, context_asset_label: "{target} keeps [{kinds}]" }
+concept Probe { kind: fact, context_confirm_dst_prop: customer, context_confirm_flag_prop: status, context_confirm_flag_value: F, context_confirm_label: "seen open" }
+concept Buyer { kind: fact }
+""")
+
+
+@query(
+    "finding_context",
+    """WITH probe AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+    SELECT 'O:' || o_orderkey AS node_id, 'C:' || c_custkey || ' is exposed (via nation-customer)' || CASE WHEN c_custkey IN (SELECT k FROM probe) THEN ' — seen open' ELSE '' END
+      || CASE WHEN c_acctbal >= 5000 AND c_mktsegment = 'BUILDING' THEN '; C:' || c_custkey || ' keeps [building gold]' WHEN c_acctbal >= 5000 THEN '; C:' || c_custkey || ' keeps [gold]' ELSE '' END AS context
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""",
+)
+def _(spark, d):
+    """Lines about the customers that urgent orders belong to: from where they are reached, what confirms it, what they hold."""
+    nodes = views.nodes(spark, d)
+    rich = (F.col("node_type") == "party.Customer") & (F.col("props")["balance"].cast("int") >= 5)
+    kinds = F.when(rich & (F.col("props")["segment"] == "BUILDING"), "gold, building,gold").when(rich, "gold")
+    nodes = nodes.withColumn("props", F.when(kinds.isNotNull(), F.map_concat("props", F.create_map(F.lit("asset_kinds"), kinds))).otherwise(F.col("props")))
+    of = lambda where, concept: nodes.where(where).select("node_id", F.lit(concept).alias("concept"))
+    labels = of("node_type = 'org.Region'", "Zone").union(of("node_type = 'party.Customer'", "Vault")).union(of("node_type = 'event.Order' and props['priority'] = '1-URGENT'", "Probe"))
+    edges = views.net(spark, d).select("edge_type", "src", "dst", "rule")
+    found = nodes.where("node_type = 'event.Order' and props['priority'] in ('1-URGENT', '2-HIGH')")
+    lines = Compiler(Graph(nodes, edges, labels), lang.ontology(CONTEXT)).context(found)
+    return lines.select("node_id", F.array_join("context", "; ").alias("context"))
+
+
+@query("sarif_code_flows", f"WITH RECURSIVE {LINES} SELECT sink AS node_id, (SELECT string_agg(c.loc, ' > ' ORDER BY i) FROM (SELECT unnest(range(1, len(path) + 1)) AS i) JOIN l c ON c.node_id = path[i]) AS flow FROM wit WHERE len(path) > 1")
+def _(spark, d):
+    """Where the witness of each sink runs, read back from the SARIF results."""
+    g, c = leaks(spark, d)
+    runs, name = next(iter(c.runs.values()))
+    w = runs.witnesses(name, c.ids("candidate")).select(F.col("node_id").alias("fp"), "path", F.lit("F-1").alias("rule_id"), F.lit("high").alias("severity"))
+    w = w.join(g.nodes.select(F.col("node_id").alias("fp"), "loc"), "fp")
+    results = report.sarif_results(report.path_locations(w, g.nodes))
+    kind = "array<struct<location:struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>"
+    steps = F.from_json(F.get_json_object("result", "$.codeFlows[0].threadFlows[0].locations"), kind)
+    at = lambda x: F.concat(x["location"]["physicalLocation"]["artifactLocation"]["uri"], F.lit(":"), x["location"]["physicalLocation"]["region"]["startLine"].cast("string"))
+    return results.select(F.col("fp").alias("node_id"), F.array_join(F.transform(steps, at), " > ").alias("flow")).where("flow is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import report
 from ..functions import scalars as S
-from ..sources import textscan, views
+from ..sources import manifests, textscan, views
 from ..streaming import refresh
 from .catalog import query
 from .ranking import F_SQL, order_findings
@@ -128,3 +128,46 @@ def _(spark, d):
     """One result object a row; report.sarif() puts those of a bounded report into one document."""
     place = F.concat(F.lit("orders/o"), F.col("seq").cast("string"), F.lit(":"), (F.col("seq") % 90 + 1).cast("string"))
     return report.sarif_results(order_findings(spark, d).withColumn("loc", place))
+
+
+# ---- manifests of several formats
+
+
+def manifest_files(spark, d):
+    """A file of each format for every supplier: (s_suppkey, format, content)."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    files = {
+        "go.mod": text("module m\n\nrequire Example.com/a", n, " v1.", k, " // direct\nrequire (\n\t\"github.com/b", k, "\" v0.1.0 // indirect\n\n\tx.org/c v2\n)\nreplace (\n\tz/z v1 => y/y v2\n)\nexclude q/q v1\n"),
+        "setup.cfg": text("[metadata]\ninstall_requires = no\n[Options]\npackages = find:\ninstall_requires =\n    Flask>=2.", n, "\n    # none\n    six\n    s", k, "[extra]==1\nzip_safe = no\n    late\n[options.extras]\n    other>1\n"),
+        "setup.py": text("setup(name='x', install_requires=['A", k, "[e]>=1.0', \"b\"], extras_require={'t': ['c']})\n"),
+        "Cargo.lock": text("[[package]]\nname = \"a\"\nsource = \"registry+https://x\"\n[[package]]\nname = \"b\"\nsource = \"git+https://Host.org/o/r", k, ".git#abc", n, "\"\n[[package]]\nsource = \"git+https://host.org/none\"\n"),
+        ".gitmodules": text("[submodule \"a\"]\n\tpath = lib/a\n\turl = git@host.org:o/a", k, ".git\n[submodule \"b\"]\n\tpath = lib/b\n\turl = https://host.org/o/b\n"),
+        ".npmrc": text("; runtime=node\nRuntime = Electron # yes\ntarget=1.", k, "\n"),
+        "package.json": text('{"dependencies": {"@S/a', k, '": "^1.', n, '.0"}, "devDependencies": {"b": ">=2 <3", "c": "latest", "d": "1.x || *"}}'),
+        "composer.lock": text('{"packages": [{"name": "V/a', k, '", "version": " v1.', n, ' "}], "packages-dev": [{"name": "v/b"}, {"name": ""}]}'),
+    }
+    each = F.array(*(F.struct(F.lit(f).alias("format"), c.alias("content")) for f, c in files.items()))
+    return views.table(spark, d, "supplier").select("s_suppkey", F.explode(each).alias("f")).select("s_suppkey", "f.*")
+
+
+@query(
+    "manifest_formats",
+    "SELECT s_suppkey, format, name, version FROM (SELECT s_suppkey AS s_suppkey, CAST(s_suppkey AS VARCHAR) AS k, CAST(s_nationkey AS VARCHAR) AS n FROM supplier), LATERAL (VALUES ('go.mod', 'example.com/a' || n, 'v1.' || k), ('go.mod', 'github.com/b' || k, 'v0.1.0'), ('go.mod', 'x.org/c', 'v2'), ('setup.cfg', 'flask', '>=2.' || n), ('setup.cfg', 'six', '*'), ('setup.cfg', 's' || k, '==1'),"
+    " ('setup.py', 'a' || k, '>=1.0'), ('setup.py', 'b', '*'), ('Cargo.lock', 'host.org/o/r' || k, 'abc' || n), ('.gitmodules', 'host.org/o/a' || k, 'c' || k), ('.npmrc', 'brave/electron', '1.' || k), ('package.json', '@s/a' || k, '1.' || n || '.0'), ('package.json', 'b', '2'), ('package.json', 'c', '*'), ('package.json', 'd', '*'), ('composer.lock', 'v/a' || k, 'v1.' || n), ('composer.lock', 'v/b', '*')) AS t(format, name, version)",
+)
+def _(spark, d):
+    files = manifest_files(spark, d)
+    of = lambda f: files.where(F.col("format") == f)
+    lines = lambda f: of(f).select("s_suppkey", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    commits = views.table(spark, d, "supplier").select("s_suppkey", F.lit("lib/a").alias("path"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("commit"))
+    found = {
+        "go.mod": manifests.go_mod(lines("go.mod"), "s_suppkey"), "setup.cfg": manifests.setup_cfg(lines("setup.cfg"), "s_suppkey"), "setup.py": manifests.setup_py(of("setup.py"), "s_suppkey", "content"),
+        "Cargo.lock": manifests.cargo_lock_git(lines("Cargo.lock"), "s_suppkey"), ".gitmodules": manifests.gitmodules(lines(".gitmodules"), "s_suppkey", commits), ".npmrc": manifests.npmrc(lines(".npmrc"), "s_suppkey"),
+        "package.json": manifests.package_json(of("package.json"), "s_suppkey", "content"), "composer.lock": manifests.composer_lock(of("composer.lock"), "s_suppkey", "content"),
+    }
+    out = None
+    for name, rows in found.items():
+        rows = rows.select("s_suppkey", F.lit(name).alias("format"), "name", "version")
+        out = rows if out is None else out.union(rows)
+    return out

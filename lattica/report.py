@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -30,10 +30,27 @@ def validate_api(text: str) -> list[str]:
     return wrong + [f"no {k}" for k in ("rule_id", "severity", "confidence", "fp") if not doc.get("finding", {}).get(k)]
 
 
+def path_locations(findings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The findings with path_locs: where each node of their path stands; a node without a place is its id."""
+    steps = findings.select("fp", F.posexplode("path").alias("at", "node_id"))
+    steps = steps.join(nodes.select("node_id", F.coalesce(F.nullif(S.text("loc"), F.lit("")), F.col("node_id")).alias("place")), "node_id", "left")
+    locs = steps.groupBy(F.col("fp").alias("p_fp")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("place", "node_id").alias("place")))), lambda x: x["place"]).alias("path_locs"))
+    return findings.join(locs, F.col("fp") == F.col("p_fp"), "left").drop("p_fp")
+
+
+def _physical(loc) -> Column:
+    uri = F.coalesce(F.nullif(S.loc_file(loc), F.lit("")), loc if isinstance(loc, Column) else F.col(loc))
+    return F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct(S.loc_line(loc).alias("startLine")).alias("region"))
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """One SARIF result object for each finding (rule_id, severity, fp, loc)."""
+    """One SARIF result object for each finding (rule_id, severity, fp, loc); with path_locs its path is a code flow."""
     place = F.struct(F.struct(F.struct(S.loc_file("loc").alias("uri")).alias("artifactLocation"), F.struct(S.loc_line("loc").alias("startLine")).alias("region")).alias("physicalLocation"))
-    result = F.struct(F.col("rule_id").alias("ruleId"), S.severity_level("severity").alias("level"), F.struct(F.concat(F.lit("finding of "), "rule_id").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fp").alias("primary/v1")).alias("partialFingerprints"))
+    flows = []
+    if "path_locs" in findings.columns:
+        steps = F.transform("path_locs", lambda p: F.struct(F.struct(_physical(p).alias("physicalLocation")).alias("location")))
+        flows = [F.when(F.size("path_locs") > 1, F.array(F.struct(F.array(F.struct(steps.alias("locations"))).alias("threadFlows")))).alias("codeFlows")]
+    result = F.struct(*flows, F.col("rule_id").alias("ruleId"), S.severity_level("severity").alias("level"), F.struct(F.concat(F.lit("finding of "), "rule_id").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fp").alias("primary/v1")).alias("partialFingerprints"))
     return findings.select("fp", "rule_id", "severity", F.to_json(result).alias("result"))
 
 
@@ -49,6 +66,21 @@ def sarif(findings: DataFrame, tool: str = "lattica") -> DataFrame:
     return results.crossJoin(F.broadcast(rules)).select(body.alias("sarif"))  # one row each
 
 
+def sarif_lines(findings: DataFrame, tool: str = "lattica") -> DataFrame:
+    """(place, line): the same document of any size as lines in order of place, to be written one after another.
+
+    The head has one entry for each rule; each result is a row of its own, made where its finding lies.
+    """
+    r = sarif_results(findings)
+    rules = r.groupBy("rule_id").agg(F.max("severity").alias("severity")).agg(F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), F.struct(S.security_severity("severity").alias("security-severity")).alias("properties")))).alias("rules"))
+    begin = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":'), F.lit(json.dumps(tool)), F.lit(',"rules":'), F.to_json("rules"), F.lit('}},"results":['))
+    head = rules.select(F.lit("").alias("place"), begin.alias("line"))
+    first = r.agg(F.min("fp").alias("first"))
+    body = r.crossJoin(F.broadcast(first)).select(F.concat(F.lit("r"), "fp").alias("place"), F.concat(F.when(F.col("fp") == F.col("first"), "").otherwise(","), "result").alias("line"))  # one row
+    tail = rules.select(F.lit("s").alias("place"), F.lit("]}]}").alias("line"))
+    return head.unionByName(body).unionByName(tail).orderBy("place")
+
+
 def graph_json(functions: DataFrame, calls: DataFrame, findings: DataFrame) -> DataFrame:
     """(kind, json) rows of a code map: functions (fn, loc), call edges (caller, callee), findings with the functions they pass (fp, rule_id, fns)."""
     f = functions.select(F.lit("function").alias("kind"), F.to_json(F.struct("fn", "loc")).alias("json"))
