@@ -217,6 +217,23 @@ def specifier_allows(specifier, version) -> Column:
     return sure(F.forall(clauses, holds))
 
 
+def semver_satisfies(wanted, version) -> Column:
+    """One of the alternatives (separated by ||) holds: all of its clauses (= >= <= > < ^ ~, separated by blanks; none is equality) on major, minor and patch; an empty one allows all."""
+    have = version_key(version, 3)
+
+    def holds(c: Column) -> Column:
+        op = F.regexp_extract(c, r"^([=<>^~]*)", 1)
+        want = version_key(F.regexp_replace(c, r"^[=<>^~]+", ""), 3)
+        same = lambda n: F.slice(have, 1, n) == F.slice(want, 1, n)
+        return (
+            F.when(op.isin("", "="), have == want).when(op == ">=", have >= want).when(op == "<=", have <= want).when(op == ">", have > want).when(op == "<", have < want)
+            .when(op == "^", (have >= want) & same(1)).when(op == "~", (have >= want) & same(2)).otherwise(False)
+        )
+
+    clauses = lambda alternative: F.filter(F.split(alternative, r"\s+"), lambda c: ~c.isin("", "*"))
+    return sure(F.exists(F.split(text(wanted), r"\|\|"), lambda a: F.forall(clauses(a), holds)))
+
+
 def edit_distance_le1(a, b) -> Column:
     return sure(F.levenshtein(_c(a), _c(b)) == 1)
 

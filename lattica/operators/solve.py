@@ -147,7 +147,7 @@ def grant_chains(steps: DataFrame, principals: DataFrame, resources: DataFrame,
     ahead, up = _ways(steps, principals, -(-max_depth // 2))
     back, down = _ways(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), resources, max_depth // 2)
     back = back.select(F.col("source").alias("resource"), F.col("node_id").alias("mid"), F.col("depth").alias("rest"))
-    met = ahead.join(back, F.col("node_id") == F.col("mid")).where("depth + rest > 0")
+    met = ahead.join(back, F.col("node_id") == F.col("mid")).where("source <> resource")
     met = materialize(met.groupBy("source", "resource").agg(F.min(F.struct((F.col("depth") + F.col("rest")).alias("n"), F.abs(F.col("depth") - F.col("rest")).alias("skew"), "mid")).alias("m")).select("source", "resource", "m.mid"), "met")
     first = _ways_to(materialize(up, "up"), met.select("source", F.col("mid").alias("node_id")).distinct()).select(F.col("source").alias("s"), F.col("node_id").alias("m1"), F.col("path").alias("first"))
     last = _ways_to(materialize(down, "down"), met.select(F.col("resource").alias("source"), F.col("mid").alias("node_id")).distinct()).select(F.col("source").alias("t"), F.col("node_id").alias("m2"), F.col("path").alias("last"))

@@ -113,6 +113,23 @@ def _(spark, d):
     return rows.select("rule_id", "source", "node_id", F.array_join("path", " -> ").alias("path"), "confidence", clauses.alias("evidence"), F.coalesce(F.col("review")[0]["condition"], F.lit("")).alias("review"))
 
 
+@query(
+    "proof_tree",
+    f"""WITH RECURSIVE {GUARDED}, miss AS (SELECT d.node_id, min(depth) AS depth FROM d JOIN k USING (node_id) GROUP BY d.node_id),
+    said AS (SELECT CASE WHEN count(*) = 0 THEN 'none on any flow' ELSE count(*) || ' on other paths, the nearest at ' || (SELECT node_id FROM miss ORDER BY depth, node_id LIMIT 1) END AS said FROM miss),
+    found AS (SELECT c.*, wit.source, path, o.ord AS o_ord, CASE least({_RANK.replace('fidelity', 'c.fidelity').replace('confidence', 'c.confidence')}, {_RANK.replace('fidelity', 'o.fidelity').replace('confidence', 'o.confidence')}, CASE WHEN o.ord >= 5 THEN 2 ELSE 3 END) WHEN 3 THEN 'high' ELSE 'medium' END AS conf, substr(sha256('rule=F-1|loc=' || c.loc || '|concept=candidate'), 1, 16) AS fp
+      FROM wit JOIN l c ON c.node_id = wit.sink JOIN l o ON o.node_id = wit.source
+      WHERE c.node_id NOT IN (SELECT node_id FROM covered) AND NOT EXISTS (SELECT 1 FROM g WHERE g.okey = c.okey AND ({DOMINATES} OR (g.ord % 3 = 2 AND g.ord < c.ord AND (c.region = '/fn' || c.okey OR c.region = g.region)))))
+    SELECT fp, '[HIGH] F-1  (conf=' || conf || ', fp=' || fp || ')' || chr(10) || '    source: ' || source || chr(10) || '    sink: ' || node_id || ' @ ' || loc || chr(10) || '    taint path: ' || array_to_string(path, ' -> ') || chr(10)
+      || '    unless path coveredBy clean: not satisfied — ' || said || chr(10) || '    unless endpoint coveredBy gate: not satisfied — no control of this part covers it'
+      || CASE WHEN o_ord >= 5 THEN chr(10) || '    review condition:  is set from outside — advisory: callers are not trusted — conf=medium' ELSE '' END AS text FROM found, said""",
+)
+def _(spark, d):
+    """The text report of whole findings."""
+    _, c = leaks(spark, d)
+    return report.proof_tree(c.explain(RULES["Leak"]))
+
+
 # ---- many policies
 
 #: name: sources (a customer's segment, or all suppliers), kills (an order's priority or status, or none)

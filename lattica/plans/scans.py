@@ -297,3 +297,18 @@ def _(spark, d):
     f = materialize(views.flows(spark, d).select("src", "dst"), "flows")
     into = f.groupBy("dst").agg(F.count("*").alias("n")).agg(F.sum(F.when(F.col("n") >= 8, 1).otherwise(0)).alias("hubs"), F.max("n").alias("max_in"))
     return f.agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src")).crossJoin(F.broadcast(into))  # one row each
+
+
+@query("fn_semver", "SELECT p_partkey, v >= [1, 10, 0] AND v < [1, 40, 0] OR v = [1, 5, 2] AS spread, v[2] >= 10 AS caret, v[2] = 20 AND v[3] >= 1 AS tilde FROM (SELECT p_partkey, [1, p_size, p_partkey % 4] AS v FROM part)")
+def _(spark, d):
+    """Version ranges with alternatives, carets and tildes."""
+    version = F.concat_ws(".", F.lit("v1"), F.col("p_size").cast("string"), (F.col("p_partkey") % 4).cast("string"))
+    of = lambda r: S.semver_satisfies(F.lit(r), version)
+    return views.table(spark, d, "part").select("p_partkey", of(">=1.10 <1.40 || 1.5.2").alias("spread"), of("^1.10").alias("caret"), of("~1.20.1").alias("tilde"))
+
+
+@query("fn_map_hash", "SELECT o_orderkey, sha256('cust=' || o_custkey || chr(0) || 'none=' || chr(0) || 'status=' || o_orderstatus) AS h FROM orders")
+def _(spark, d):
+    """A hash of properties, whatever their order in the map."""
+    props = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("cust"), F.col("o_custkey").cast("string"), F.lit("none"), F.lit(None).cast("string"))
+    return views.table(spark, d, "orders").select("o_orderkey", S.map_hash(props).alias("h"))

@@ -110,3 +110,24 @@ def text_report(findings: DataFrame) -> DataFrame:
     """(line,) for each finding, in the order of bands, totals and rules."""
     line = F.format_string("[%s] %s %s (%s)", F.col("band"), F.col("rule_id"), F.col("fp"), F.col("confidence"))
     return findings.orderBy("band", F.col("total").desc(), "rule_id", "fp").select(line.alias("line"))
+
+
+def proof_tree(findings: DataFrame) -> DataFrame:
+    """(fp, text): what speaks for each finding, in lines: its ends, its path, what its exceptions found, its context and what to review.
+
+    ``findings``: as of Compiler.explain; ``context`` (lines) may be added.
+    """
+    mark = lambda e: F.when(e["satisfied"], "satisfied (suppressed)").otherwise("not satisfied")
+    more = lambda x: F.when(S.text(x) != "", F.concat(F.lit(" — "), x)).otherwise("")
+    none = F.array().cast("array<string>")
+    lines = [
+        F.array(F.format_string("[%s] %s  (conf=%s, fp=%s)", F.upper("severity"), F.col("rule_id"), F.col("confidence"), F.col("fp"))),
+        F.when(F.col("source").isNotNull(), F.array(F.concat(F.lit("    source: "), "source"))),
+        F.array(F.concat(F.lit("    sink: "), "node_id", F.lit(" @ "), S.text("loc"))),
+        F.when(F.size("path") > 0, F.array(F.concat(F.lit("    taint path: "), F.array_join("path", " -> ")))),
+        F.transform("evidence", lambda e: F.concat(F.lit("    unless "), e["clause"], F.lit(": "), mark(e), more(e["detail"]))),
+    ]
+    if "context" in findings.columns:
+        lines.append(F.transform("context", lambda c: F.concat(F.lit("    context: "), c)))
+    lines.append(F.transform("review", lambda r: F.concat(F.lit("    review condition: "), r["condition"], F.when(r["assumption"] != "", F.concat(F.lit(" — advisory: "), r["assumption"])).otherwise(""), F.lit(" — conf="), r["confidence"])))
+    return findings.select("fp", F.array_join(F.flatten(F.array(*(F.coalesce(x, none) for x in lines))), "\n").alias("text"))
