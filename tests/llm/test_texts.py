@@ -162,7 +162,7 @@ def test_chunk_maps_compose(tokenizer, monkeypatch, chunk):
 
 @pytest.mark.parametrize("letters", ["abcdefghij klmnopqrstuvwxyz ' .,!?|éüñ ß123", "th e in g ' s re ll ve an d", "aàAÀ×÷İıſﬁΣς數٣½ \x1c\x85\u3000\u0308'<|> 9"])
 def test_random_texts_against_the_library(tokenizer, monkeypatch, letters):
-    monkeypatch.setattr(automaton, "MAX_STATES", 3000)
+    monkeypatch.setattr(automaton, "ROOM", 3000)
     words = vocabulary.Vocabulary(queries.vocabulary_path())
     parts = list(letters) if "th" not in letters else [*letters.split(" "), " "]
     rng = random.Random(4)
