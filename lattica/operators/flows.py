@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regions as R
 from ..functions import scalars as S
-from ..storage import materialize
+from ..storage import dealt, materialize
 
 #: Ranks of a source are 0 to RANKS - 1; policies of a mask column (62 bits at most are used); rounds whose masks are merged into one table.
 RANKS, POLICIES, MERGE = 4, 15, 8
@@ -29,7 +29,7 @@ RANKS, POLICIES, MERGE = 4, 15, 8
 
 def written(edges: DataFrame) -> DataFrame:
     """src, dst: distinct, dealt by src and written, for any number of runs."""
-    return materialize(edges.select("src", "dst").distinct().repartition("src"), "edges")
+    return dealt(edges.select("src", "dst"), "src", "edges")
 
 
 @dataclass(frozen=True)

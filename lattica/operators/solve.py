@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import action_matches
-from ..storage import materialize
+from ..storage import dealt, materialize
 from .flows import witness_paths
 
 
@@ -22,17 +22,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max_depth: int | None = None, by_source: bool = False, stop_seeds: bool = True) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max_depth: int | None = None, by_source: bool = False, stop_seeds: bool = True, parents: bool = False, written: bool = False) -> DataFrame:
     """(node_id, depth), or (source, node_id, depth), of all nodes reached; seeds have depth 0.
 
     ``edges``: src, dst. Nodes in ``stop`` (node_id) are reached but not passed
     through; with stop_seeds False that does not hold for seeds themselves.
+    With parents there is also the smallest node one step before (null for
+    seeds): the round that finds a node has all of them, so that no node is
+    joined with the edges that lead to it. Edges that are ``written`` come from
+    storage.dealt, by src, and are not written again.
     """
     key = ["source", "node_id"] if by_source else ["node_id"]
     start = seeds.select(*((F.col("node_id").alias("source"),) if by_source else ()), "node_id").distinct().withColumn("depth", F.lit(0))
+    if parents:
+        start = start.withColumn("parent", F.lit(None).cast("string"))
     rounds = [materialize(start, "reach")]
-    edges = edges.select("src", "dst").distinct()
-    edges = materialize(edges, "edges")
+    edges = edges if written else dealt(edges.select("src", "dst"), "src", "edges")
     halted = stop.select("node_id").distinct() if stop is not None else None
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -40,8 +45,9 @@ def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, m
         if halted is not None and (depth or stop_seeds):
             frontier = frontier.join(halted, "node_id", "left_anti")
         depth += 1
-        found = frontier.join(edges, frontier.node_id == edges.src).select(*((F.col("source"),) if by_source else ()), F.col("dst").alias("node_id")).distinct()
-        new = found.join(_union(rounds).select(*key), key, "left_anti").withColumn("depth", F.lit(depth))
+        steps = frontier.join(edges, frontier.node_id == edges.src).select(*((F.col("source"),) if by_source else ()), F.col("dst").alias("node_id"), F.col("src").alias("parent"))
+        found = steps.groupBy(*key).agg(F.min("parent").alias("parent")) if parents else steps.select(*key).distinct()
+        new = found.join(_union(rounds).select(*key), key, "left_anti").select(*key, F.lit(depth).alias("depth"), *(("parent",) if parents else ()))
         new = materialize(new, "reach")
         if new.isEmpty():
             break
@@ -122,12 +128,20 @@ def via_roles(path: Column) -> Column:
     return F.slice(path, F.lit(2), F.greatest(F.size(path) - 2, F.lit(0)))
 
 
+def on_the_way(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
+    """src, dst of the edges that are on a way of up to max_depth steps from a start to an end."""
+    edges = dealt(edges.select("src", "dst"), "src", "edges")
+    near = closure(edges, starts, max_depth=max_depth - 1, written=True).select(F.col("node_id").alias("src"), F.col("depth").alias("above"))
+    ahead = materialize(edges.join(near, "src"), "ahead")
+    back = closure(ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends, max_depth=max_depth - 1)
+    left = back.select(F.col("node_id").alias("dst"), F.col("depth").alias("left"))
+    return materialize(ahead.join(left, "dst").where(F.col("above") + F.col("left") < max_depth).select("src", "dst"), "steps")
+
+
 def _ways(edges: DataFrame, starts: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """By start: (source, node_id, depth) within max_depth, and (source, node_id, parent) of the smallest node before each."""
-    reached = materialize(closure(edges, starts, None, max_depth, by_source=True), "ways")
-    before = reached.select(F.col("source").alias("s"), F.col("node_id").alias("parent"), F.col("depth").alias("d"))
-    steps = reached.join(edges.select("src", "dst"), F.col("node_id") == F.col("dst")).join(before, (F.col("src") == F.col("parent")) & (F.col("source") == F.col("s")) & (F.col("depth") == F.col("d") + 1))
-    return reached, steps.groupBy("source", "node_id").agg(F.min("parent").alias("parent"))
+    reached = closure(edges, starts, None, max_depth, by_source=True, parents=True)
+    return reached.drop("parent"), reached.where("parent is not null").select("source", "node_id", "parent")
 
 
 def _ways_to(parents: DataFrame, ends: DataFrame) -> DataFrame:
@@ -142,8 +156,11 @@ def grant_chains(steps: DataFrame, principals: DataFrame, resources: DataFrame,
 
     Forward from the principals and backward from the resources, half the
     steps each, and joined where they meet, so that neither side holds all
-    that the other one reaches. Chains of no step are left out.
+    that the other one reaches. Steps that are on no chain of that length are
+    taken out first, by each node's distance from the nearest ends. Chains of
+    no step are left out.
     """
+    steps = on_the_way(steps, principals, resources, max_depth)
     ahead, up = _ways(steps, principals, -(-max_depth // 2))
     back, down = _ways(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), resources, max_depth // 2)
     back = back.select(F.col("source").alias("resource"), F.col("node_id").alias("mid"), F.col("depth").alias("rest"))

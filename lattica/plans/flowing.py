@@ -160,7 +160,7 @@ def _(spark, d):
 def _(spark, d):
     """The roles between principals and nations that they come to, from both ends."""
     nations = views.table(spark, d, "nation").select(views.ident("N", "n_nationkey").alias("node_id"))
-    chains = solve.grant_chains(materialize(views.steps(spark, d).select("src", "dst").distinct(), "steps"), vip(spark, d), nations, 4)
+    chains = solve.grant_chains(views.steps(spark, d), vip(spark, d), nations, 4)
     return chains.select("source", "resource", F.array_join(solve.via_roles(F.col("path")), ",").alias("via"))
 
 

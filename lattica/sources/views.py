@@ -54,7 +54,7 @@ def net(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("nation"), ident("R", "n_regionkey"), ident("N", "n_nationkey"), "region-nation", even("n_nationkey")),
         edge(t("customer"), ident("N", "c_nationkey"), ident("C", "c_custkey"), "nation-customer", F.when(F.col("c_custkey") % 3 == 0, "any").otherwise("tcp")),
         edge(t("supplier"), ident("N", "s_nationkey"), ident("S", "s_suppkey"), "nation-supplier", F.lit("tcp")),
-        edge(lines(spark, sf_dir).select("l_suppkey", "l_partkey").distinct(), ident("S", "l_suppkey"), ident("P", "l_partkey"), "supplier-part", even("l_partkey")),
+        edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), ident("S", "l_suppkey"), ident("P", "l_partkey"), "supplier-part", even("l_partkey")),
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("edge_type", F.lit("NET"))
 
@@ -65,7 +65,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = lambda df, src, dst, ability: df.select(src.alias("src"), dst.alias("dst"), ability.alias("ability"))
     parts = [
         edge(t("orders"), ident("C", "o_custkey"), ident("O", "o_orderkey"), F.concat(F.lit("order:"), F.col("o_orderstatus"))),
-        edge(lines(spark, sf_dir).select("l_orderkey", "l_suppkey", "l_returnflag").distinct(), ident("O", "l_orderkey"), ident("S", "l_suppkey"), F.concat(F.lit("ship:"), F.col("l_returnflag"), F.lit("*"))),
+        edge(t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").distinct(), ident("O", "l_orderkey"), ident("S", "l_suppkey"), F.concat(F.lit("ship:"), F.col("l_returnflag"), F.lit("*"))),
         edge(t("supplier"), ident("S", "s_suppkey"), ident("N", "s_nationkey"), F.lit("own")),
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("edge_type", F.lit("STEP"))
@@ -77,8 +77,8 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = lambda df, src, dst: df.select(src.alias("src"), dst.alias("dst"))
     parts = [
         edge(t("orders"), ident("C", "o_custkey"), ident("O", "o_orderkey")),
-        edge(lines(spark, sf_dir), ident("O", "l_orderkey"), ident("P", "l_partkey")).distinct(),
-        edge(lines(spark, sf_dir), ident("O", "l_orderkey"), ident("S", "l_suppkey")).distinct(),
+        edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), ident("O", "l_orderkey"), ident("P", "l_partkey")),
+        edge(t("lineitem").select("l_orderkey", "l_suppkey").distinct(), ident("O", "l_orderkey"), ident("S", "l_suppkey")),
         edge(t("supplier"), ident("S", "s_suppkey"), ident("N", "s_nationkey")),
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("edge_type", F.lit("FLOWS"))

@@ -25,8 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def dealt(df: DataFrame, key: str, what: str = "table") -> DataFrame:
+    """The distinct rows, written in buckets of the key: one shuffle, and none of this table in joins on the key."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lattica_{what}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key).dropDuplicates()
+    rows.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     """Write and reread: cuts the lineage of loops, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lattica-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
