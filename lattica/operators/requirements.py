@@ -84,9 +84,11 @@ def bind_selectors(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
 
     ``nodes``: node_id, family, path; ``selectors``: family, selector, binding,
     concept. All families meet all selectors in one join, on the family and the
-    last segment; of a node only matches are ranked.
+    last segment; of a node only matches are ranked. Selectors are part of the
+    rules and go to all tasks: a few segments have most of the nodes, which a
+    shuffle by segment would bring into one task.
     """
     wanted = selectors.select(F.col("family").alias("s_family"), F.col("selector"), "binding", "concept", S.last_segment("selector").alias("s_last"), F.size(F.split("selector", r"\.")).alias("segments"))
-    met = nodes.withColumn("last", S.last_segment("path")).join(wanted, (F.col("family") == F.col("s_family")) & (F.col("last") == F.col("s_last"))).where(S.path_suffix_matches("path", "selector"))
+    met = nodes.withColumn("last", S.last_segment("path")).join(F.broadcast(wanted), (F.col("family") == F.col("s_family")) & (F.col("last") == F.col("s_last"))).where(S.path_suffix_matches("path", "selector"))
     best = met.withColumn("place", F.rank().over(Window.partitionBy("node_id").orderBy(F.desc("segments"))))
     return best.where("place = 1").select("node_id", "binding", "concept").distinct()

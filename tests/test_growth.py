@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lattica import storage
-from lattica.operators import solve
+from lattica.operators import requirements, solve
 
 from .test_engine import frame
 from .test_flows import edges
@@ -41,3 +41,17 @@ def test_dealt_edges_are_distinct_and_not_shuffled_again(spark):
         assert met.count() == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_selectors_go_to_the_nodes(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "call", "a.r") for k in range(20)] + [("m", "call", "b.r")], "node_id string, family string, path string")
+    selectors = spark.createDataFrame([("call", "r", "any", "sink"), ("call", "b.r", "b", "candidate")], "family string, selector string, binding string, concept string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    no_broadcast(spark)
+    try:
+        found = requirements.bind_selectors(nodes, selectors)
+        # one segment has all nodes: a shuffle by it is one task
+        assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+        assert {(r.node_id, r.binding) for r in found.collect()} == {(f"n{k}", "any") for k in range(20)} | {("m", "b")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
