@@ -73,6 +73,21 @@ class Graph:
         return Graph(*(spark.read.schema(s).parquet(f"{path}/{t}") for t, s in (("nodes", schema.NODES), ("edges", schema.EDGES), ("labels", schema.LABELS))))
 
 
+@dataclass(frozen=True)
+class Recording:
+    """A graph and the labels that a phase writes to it: kept as they come, so that nothing is compared with the labels before."""
+
+    graph: Graph
+    written: DataFrame
+
+    @staticmethod
+    def of(graph: Graph) -> Recording:
+        return Recording(graph, graph.labels.limit(0))
+
+    def append_labels(self, rows: DataFrame) -> Recording:
+        return Recording(self.graph.append_labels(rows), self.written.unionByName(rows, allowMissingColumns=True))
+
+
 def flows_if_present(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("node_id").distinct()
     found = candidates.select("src", "dst").join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
@@ -80,5 +95,5 @@ def flows_if_present(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def new_labels(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The labels that a phase added (the recording view)."""
+    """The labels that a phase added, of graphs that nothing recorded (see Recording)."""
     return after.exceptAll(before)

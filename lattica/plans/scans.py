@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..graph import Graph, flows_if_present, new_labels
+from ..graph import Graph, Recording, flows_if_present, new_labels
 from ..sources import views
 from .catalog import CFG, FLOWS, NET, NODES, query
 from .catalog import STEPS as STEP_SQL
@@ -90,7 +90,7 @@ def _(spark, d):
 def _(spark, d):
     before = views.cfg_labels(spark, d).select("node_id", "concept")
     phase = views.cfg(spark, d).where("flag = 'R' and ord > 4").select("node_id", F.lit("risky").alias("concept"))
-    return new_labels(before, before.union(phase))
+    return Recording.of(Graph(None, None, before)).append_labels(phase).written
 
 
 # ---- properties and predicates

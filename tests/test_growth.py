@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lattica import storage
+from lattica.graph import Graph, Recording, new_labels
 from lattica.operators import requirements, solve
 
 from .test_engine import frame
@@ -55,3 +56,12 @@ def test_selectors_go_to_the_nodes(spark):
         assert {(r.node_id, r.binding) for r in found.collect()} == {(f"n{k}", "any") for k in range(20)} | {("m", "b")}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_recorded_labels_are_those_that_a_comparison_finds(spark):
+    label = lambda *rows: spark.createDataFrame(rows, "node_id string, concept string")
+    before = label(("a", "x"), ("a", "x"), ("b", "y"))
+    phase = Recording.of(Graph(None, None, before)).append_labels(label(("a", "x"), ("c", "x"))).append_labels(label(("c", "x")))
+    got = sorted(map(tuple, phase.written.collect()))
+    assert got == [("a", "x"), ("c", "x"), ("c", "x")] == sorted(map(tuple, new_labels(before, phase.graph.labels).collect()))
+    assert "Exchange" not in plan(phase.written)
