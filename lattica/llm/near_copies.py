@@ -1,15 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles, for the pipeline.
 
 Two texts are linked where their sets of five-word shingles have a Jaccard
-similarity of 4/5 or more. At that similarity 64-bit SimHashes differ in about
-10 bits, give or take 3, and no covering of so wide a radius is selective; so
-pairs meet by a prefix filter, which loses none. Under any fixed order of all
+similarity of 4/5 or more. Texts whose SimHashes of these shingles differ in 3
+bits or less meet first, by op1's anchors, and are checked on whole sets. At
+that similarity 64-bit SimHashes differ in about 10 bits, give or take 3, and no
+covering of so wide a radius is selective; so what SimHash can't link meets by
+a prefix filter after it, which loses none. Under any fixed order of all
 shingles, two sets of that similarity share one of their first n - ceil(4n/5)
 + 1 shingles. The order puts shingles last that are common in the tasks that
 count them; an estimate changes how many pairs meet, never the result.
 
-Groups, not pairs, are wanted: first each set is compared with one leader of
-every shingle it shares, twice with different leaders; then all pairs that
+Groups, not pairs, are wanted: after SimHash each set is compared with one leader of
+every shingle it shares with another group, twice with different leaders; then all pairs that
 meet and are not yet in one group. A pair is first held against bounds that
 lose none. Sets whose first shared shingle is the i-th of one share at most its
 n - i last shingles; and the parities of a set's shingles over a number of
@@ -30,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .common import id_and_text, map_columns, materialize, utf8
 from .components import connected_components
-from .simhash import SEED, representatives, shingles
+from .simhash import SEED, hashes, links as simhash_links, representatives, vote
 
 #: Words of a shingle; a pair is linked from SIMILAR[0] / SIMILAR[1] on.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -49,8 +51,7 @@ FEW, IDLE, ROUNDS = 2, 2, 2
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct shingles' hashes, ascending."""
-    found = set(shingles(text, SHINGLE))
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype="<u8", count=len(found)))
+    return np.unique(hashes(text, SHINGLE))
 
 
 def common_counters(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +79,8 @@ def common_counters(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, fp, digest, n, first, p0, p1 ..., wide) of each document: fp names the set, n is its size, first its prefix, p0 and so on its parities."""
-    schema = StructType([docs.schema["doc_id"], StructField("fp", LongType()), StructField("digest", LongType()), StructField("n", IntegerType()), StructField("first", ArrayType(LongType())), *(StructField(p, LongType()) for p in PARITIES), StructField("wide", ArrayType(LongType()))])
+    """(doc_id, fp, digest, sim, n, first, p0, p1 ..., wide) of each document: fp names the set, sim is its SimHash, n its size, first its prefix, p0 and so on its parities."""
+    schema = StructType([docs.schema["doc_id"], StructField("fp", LongType()), StructField("digest", LongType()), StructField("sim", LongType()), StructField("n", IntegerType()), StructField("first", ArrayType(LongType())), *(StructField(p, LongType()) for p in PARITIES), StructField("wide", ArrayType(LongType()))])
     a, b = SIMILAR
 
     def parities_of(s: np.ndarray, words: int) -> np.ndarray:
@@ -95,13 +96,14 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
         weight[common[0]] = common[1]
 
         def cut(ids, texts):
-            out = {"doc_id": ids, "fp": [], "digest": [SEED if t is None else signed(xxhash.xxh64_intdigest(utf8(t), SEED)) for t in texts], "n": [], "first": [], "wide": []}
+            out = {"doc_id": ids, "fp": [], "digest": [SEED if t is None else signed(xxhash.xxh64_intdigest(utf8(t), SEED)) for t in texts], "sim": [], "n": [], "first": [], "wide": []}
             parities = np.zeros((len(texts), WORDS), dtype="<i8")
             for k, t in enumerate(texts):
                 s = shingle_set(t)
                 n = len(s)
                 order = np.lexsort((s, weight[(s % COUNTERS).astype(np.int64)]))
                 out["fp"].append(signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)))
+                out["sim"].append(signed(vote(s)))
                 out["n"].append(n)
                 out["first"].append(s[order[: n - -(-a * n // b) + 1 if n else 0]].view("<i8").tolist())
                 parities[k] = parities_of(s, WORDS)
@@ -113,6 +115,24 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
     return map_columns(docs, schema, make)
 
 
+def by_simhash(sizes: DataFrame) -> DataFrame:
+    """(a, b), a < b: the sets that SimHash says to compare. ``sizes``: fp, sim of each set.
+
+    Sets of one SimHash are compared with the smallest of them; these, where
+    other SimHashes are linked to theirs (at 3 or fewer differing bits), with
+    the set of the smallest of these and of the smallest that can be reached:
+    at most three pairs a set, however many are alike.
+    """
+    stands = materialize(sizes.groupBy("sim").agg(F.min("fp").alias("stand")), "simhashes")
+    near = materialize(simhash_links(stands.select(F.col("sim").alias("fp"))), "simhash-pairs")
+    least = near.union(near.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    chosen = least.union(connected_components(near).select("node", "root")).where("a <> b").distinct()
+    x, y = (stands.select(F.col("sim").alias(f"sim_{c}"), F.col("stand").alias(f"stand_{c}")) for c in "ab")
+    across = chosen.join(x, F.col("a") == F.col("sim_a")).join(y, F.col("b") == F.col("sim_b")).select("stand_a", "stand_b")
+    within = sizes.select("fp", "sim").join(stands, "sim").where("fp <> stand").select("fp", "stand")
+    return across.union(within).select(F.least("stand_a", "stand_b").alias("a"), F.greatest("stand_a", "stand_b").alias("b")).distinct()
+
+
 def _possible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose parities don't rule the similarity out. ``sizes``: fp, n and parities of each set."""
     p, q = SIMILAR
@@ -176,19 +196,27 @@ def _one_of_alike(posts: DataFrame) -> DataFrame:
     return materialize(posts.join(kept, "token", "left_semi"), "postings")
 
 
+def _open(posts: DataFrame) -> DataFrame:
+    """The postings of shingles that more than one group shares."""
+    more = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    return materialize(posts.join(more, "token", "left_semi"), "postings")
+
+
 def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(fp, root) of each linked set; root is its group's smallest. ``docs``: doc_id, text; ``prints``: of prefixes."""
     # equal sets have the same columns
-    sizes = materialize(prints.dropDuplicates(["fp"]).select("fp", "n", "first", *PARITIES, "wide"), "sets")
+    sizes = materialize(prints.dropDuplicates(["fp"]).select("fp", "sim", "n", "first", *PARITIES, "wide"), "sets")
+    links = _similar(_possible(by_simhash(sizes), sizes), docs, prints)
+    roots = connected_components(links)
+    posts = sizes.select("fp", F.posexplode("first").alias("i", "token"))
+    shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     # buckets that are joined have the parity of their sum
     step = WORDS // len(FOLDED)
     folded = [reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, PARITIES[k * step : (k + 1) * step])).alias(f) for k, f in enumerate(FOLDED)]
-    posts = sizes.select("fp", "n", *folded, F.posexplode("first").alias("i", "token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    live = materialize(posts.join(shared, "token", "left_semi").withColumn("root", F.col("fp")), "postings")
+    own = sizes.select("fp", "n", *folded).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    live = _open(materialize(posts.join(shared, "token", "left_semi").join(own, "fp"), "postings"))
     other = ("fp", "n", "i", "root", *FOLDED)
     p, q = SIMILAR
-    links = roots = None
     turn = idle = 0
     while True:
         whole = live.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
@@ -210,19 +238,15 @@ def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
         turn, idle = turn + 1, idle + 1
         if not pairs.isEmpty():
             found = _similar(pairs, docs, prints)
-            links = found if links is None else links.union(found)
             if not found.isEmpty():
                 idle = 0
+                links = links.union(found)
                 roots = connected_components(links)
         if last:
             break
         if idle == 0:
-            # the postings of shingles that more than one group shares, with their roots
             r = live.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-            open_ = r.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-            live = materialize(r.join(open_, "token", "left_semi"), "postings")
-    if roots is None:
-        return sizes.select("fp", F.col("fp").alias("root")).limit(0)
+            live = _open(materialize(r, "postings"))
     return roots.withColumnRenamed("node", "fp")
 
 

@@ -43,18 +43,25 @@ def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[k:] for k in range(size)))))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half of the shingles' hashes. Without words: 0."""
+def hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each shingle, repeats included."""
     found = shingles(text, size)
-    if not found:
-        return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), dtype="<u8", count=len(found))
+    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), dtype="<u8", count=len(found))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half of the hashes. Without any: 0."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), BLOCK):
         ones += np.unpackbits(hashes[at : at + BLOCK].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16 if BLOCK < 65536 else np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of a text's shingles. Without words: 0."""
+    return vote(hashes(text, size, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, digest) of each document; fp is the fingerprint as a signed long, digest Spark's xxhash64 of the text."""
     docs = id_and_text(docs, id_col, text_col)
@@ -161,7 +168,9 @@ def representatives(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col
     best = ranked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
     best = materialize(best, "representatives")
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own_digest"))
-    kept = rows.join(best, F.col("own_id").eqNullSafe(F.col("best_id")) & (F.col("own_digest") == F.col("best_digest")), "left_semi")
-    window = Window.partitionBy("own_id", "own_digest").orderBy(F.xxhash64("row"))
+    # ids that may be null as two keys that are not: the join and the window then deal the texts in the same way, once
+    keys = lambda i, digest: (F.col(i).isNull().alias("none"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("key"), digest.alias("digest"))
+    rows = docs.select(F.struct(*columns).alias("row"), *keys(id_col, F.xxhash64(F.col(text_col).cast("string"))))
+    kept = rows.join(best.select(*keys("best_id", F.col("best_digest"))), ["none", "key", "digest"], "left_semi")
+    window = Window.partitionBy("none", "key", "digest").orderBy(F.xxhash64("row"))
     return kept.withColumn("place", F.row_number().over(window)).where("place = 1").select(*(F.col("row")[c].alias(c) for c in columns))

@@ -1,7 +1,7 @@
 from itertools import combinations
 
 import corpus_pipeline
-from lattica.llm import near_copies
+from lattica.llm import near_copies, simhash
 
 from .data import odd_documents
 from .test_texts import SF
@@ -66,3 +66,46 @@ def test_shingles_that_stand_in_the_same_sets_are_joined_once(spark):
     got = near_copies._one_of_alike(df).collect()
     assert sorted({r.token for r in got}) == [5, 6, 8]
     assert sorted((r.token, r.fp, r.i) for r in got) == sorted(x for x in posts if x[0] in (5, 6, 8))
+
+
+def test_simhash_says_what_is_compared_first(spark):
+    rows = [(k, " ".join([f"w{k % 3}x{j}" for j in range(900)] + [f"y{k}x{j}" for j in range(k // 3)]), "en", "a") for k in range(24)]
+    docs = odd_documents(spark, rows).select("doc_id", "text")
+    sizes = near_copies.prefixes(docs, near_copies.common_counters(docs)).dropDuplicates(["fp"]).cache()
+    sims = {r.fp: r.sim & (1 << 64) - 1 for r in sizes.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(sims[r.fp] == simhash.vote(near_copies.shingle_set(texts[r.doc_id])) for r in sizes.collect())
+    pairs = {(r.a, r.b) for r in near_copies.by_simhash(sizes).collect()}
+    near = {(a, b) for a, b in combinations(sorted(sims), 2) if (sims[a] ^ sims[b]).bit_count() <= 3}
+    assert near and {x for p in near for x in p} == {x for p in pairs for x in p}
+
+    def components(links):
+        root = {x: x for p in near for x in p}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+        return root
+
+    assert components(pairs) == components(near)
+
+
+def test_the_stage_links_by_simhash_before_the_prefix_filter(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_copies, "by_simhash", lambda sizes, real=near_copies.by_simhash: asked.append(real(sizes).cache()) or asked[0])
+    words = [f"w{k}" for k in range(2000)]
+    rows = [(k, " ".join([*words, "x" * k]), "en", "a") for k in range(3)]
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd_documents(spark, rows), SF).collect()] == [0]
+    assert asked[0].count() == 2
+
+
+def test_texts_of_the_rows_that_stay_are_dealt_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    prints = simhash.fingerprints(docs)
+    known = prints.select(prints.fp.alias("k"), prints.fp.alias("root")).distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.representatives(docs, prints, known, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Window" in plan and plan.count("Exchange hashpartitioning") == 2
