@@ -9,7 +9,7 @@ from .. import report
 from ..graph import Graph
 from ..operators import flows, solve
 from ..sources import views
-from ..storage import materialize
+from ..storage import dealt, materialize
 from . import lang
 from .catalog import CFG, FLOWS, STEPS, query
 from .compile import Compiler
@@ -34,23 +34,27 @@ RULES = {r.name: r for r in MODULE.rules}
 def line_flows(spark, d):
     """src, dst: each call of an order flows to the next two."""
     w = Window.partitionBy("okey").orderBy("ord", "node_id")
-    c = views.cfg(spark, d).select("node_id", F.array(F.lead("node_id", 1).over(w), F.lead("node_id", 2).over(w)).alias("next"))
+    # dealt by order while they are narrow, which serves the distinct rows and the window
+    rows = views.cfg_rows(spark, d).repartition("l_orderkey").distinct()
+    c = views.cfg(spark, d, rows).select("node_id", F.array(F.lead("node_id", 1).over(w), F.lead("node_id", 2).over(w)).alias("next"))
     return c.select("node_id", F.explode("next").alias("dst")).where("dst is not null").select(F.lit("FLOWS").alias("edge_type"), F.col("node_id").alias("src"), "dst")
 
 
-def code_labels(spark, d):
+def code_labels(spark, d, rows=None):
     """Flag A is a source (``outer`` from line 5 on), R a sink, N a gate at even lines and, in every third order, clean."""
-    plain = views.cfg_labels(spark, d).where("concept <> 'check'").withColumn("line", F.split("node_id", ":")[2].cast("int"))
+    plain = views.cfg_labels(spark, d, rows).where("concept <> 'check'").withColumn("line", F.split("node_id", ":")[2].cast("int"))
     plain = plain.withColumn("concept", F.when((F.col("concept") == "audit") & (F.col("line") >= 5), "outer").otherwise(F.col("concept"))).drop("line")
-    n = views.cfg(spark, d).where("flag = 'N'")
+    n = views.cfg(spark, d, rows).where("flag = 'N'")
     detail = F.create_map(F.lit("coverage"), F.lit("endpoint"), F.lit("advisory"), F.when(F.col("okey") % 7 == 0, "true").otherwise("false"))
     of = lambda rows, concept, detail: rows.select("node_id", F.lit(concept).alias("concept"), F.lit("high").alias("confidence"), F.lit("semantic").alias("fidelity"), detail.alias("detail"))
     return plain.unionByName(of(n.where("ord % 2 = 0"), "gate", detail)).unionByName(of(n.where("okey % 3 = 0"), "clean", F.create_map().cast("map<string,string>")))
 
 
 def code(spark, d) -> Graph:
-    nodes = views.cfg(spark, d).drop("flag", "line", "okey").withColumn("props", F.create_map().cast("map<string,string>"))
-    return Graph(nodes, line_flows(spark, d), code_labels(spark, d))
+    """Nodes and labels are made from narrow rows that are dealt by node once, and not shuffled again in joins by node."""
+    rows = dealt(views.cfg_rows(spark, d).select(views.call_id().alias("node_id"), "*"), "node_id", "lines")
+    nodes = views.cfg(spark, d, rows).drop("flag", "line", "okey").withColumn("props", F.create_map().cast("map<string,string>"))
+    return Graph(nodes, line_flows(spark, d), code_labels(spark, d, rows))
 
 
 LINES = f"""{CFG}, l AS (SELECT *, row_number() OVER (PARTITION BY okey ORDER BY ord, node_id) AS pos FROM cfg),

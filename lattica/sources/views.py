@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,26 +84,39 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("edge_type", F.lit("FLOWS"))
 
 
-def cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as calls in structured code: node_id, region, ord, loc, scope, callee_path, method, flag, line, okey."""
+def cfg_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of line items that cfg and its labels are made of; rows may repeat."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+def call_id() -> Column:
+    """The node_id of a row of cfg_rows."""
+    return F.concat(F.lit("L:"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string"), F.lit(":"), F.col("l_returnflag"))
+
+
+def cfg(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Line items as calls in structured code: node_id, region, ord, loc, scope, callee_path, method, flag, line, okey.
+
+    ``rows``: distinct rows of cfg_rows, perhaps with their node_id: where they were dealt by it, joins by node_id use their buckets.
+    """
     k, order = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
     root = F.concat(F.lit("/fn"), order)
     region = F.when(k % 3 == 0, root).when(k % 3 == 1, F.concat(root, F.lit("/if1.t"))).otherwise(F.concat(root, F.lit("/loop1.b")))
-    distinct = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    distinct = cfg_rows(spark, sf_dir).distinct() if rows is None else rows
     return distinct.select(
-        F.concat(F.lit("L:"), order, F.lit(":"), k.cast("string"), F.lit(":"), F.col("l_returnflag")).alias("node_id"), F.lit("code.Call").alias("node_type"),
+        (F.col("node_id") if "node_id" in distinct.columns else call_id()).alias("node_id"), F.lit("code.Call").alias("node_type"),
         region.alias("region"), k.cast("int").alias("ord"), F.concat(F.lit("order"), order, F.lit(":"), k.cast("string")).alias("loc"), region.alias("scope"),
         F.concat(F.lit("svc.m"), (F.col("l_orderkey") % 50).cast("string"), F.lit("."), F.lower("l_returnflag")).alias("callee_path"), F.lower("l_returnflag").alias("method"),
         F.col("l_returnflag").alias("flag"), k.cast("int").alias("line"), F.col("l_orderkey").alias("okey"),
     )
 
 
-def cfg_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cfg_labels(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Labels on cfg: flag R is ``candidate``, N is ``check`` with a coverage by line, A is ``audit``; every seventh order's are advisory."""
     coverage = F.element_at(F.array(*map(F.lit, ("dominates", "endpoint", "postDominates", "sameScope", "sameReceiver"))), (F.col("line") % 5 + 1).cast("int"))
     concept = F.when(F.col("flag") == "R", "candidate").when(F.col("flag") == "N", "check").otherwise("audit")
     detail = F.create_map(F.lit("coverage"), coverage, F.lit("advisory"), F.when(F.col("okey") % 7 == 0, "true").otherwise("false"))
-    return cfg(spark, sf_dir).select(
+    return cfg(spark, sf_dir, rows).select(
         "node_id", concept.alias("concept"), F.when(F.col("okey") % 2 == 0, "high").otherwise("medium").alias("confidence"),
         F.when(F.col("line") % 2 == 0, "syntactic").otherwise("semantic").alias("fidelity"), detail.alias("detail"),
     )

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from lattica import storage
 from lattica.graph import Graph, Recording, new_labels
-from lattica.operators import requirements, solve
+from lattica.operators import flows, requirements, solve
+from lattica.plans import flowing
 
 from .test_engine import frame
 from .test_flows import edges
@@ -65,3 +66,30 @@ def test_recorded_labels_are_those_that_a_comparison_finds(spark):
     got = sorted(map(tuple, phase.written.collect()))
     assert got == [("a", "x"), ("c", "x"), ("c", "x")] == sorted(map(tuple, new_labels(before, phase.graph.labels).collect()))
     assert "Exchange" not in plan(phase.written)
+
+
+def test_the_code_graph_is_dealt_once(spark):
+    g = flowing.code(spark, "/root/testdata/sf0.001")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(9).select(F.col("id").cast("string").alias("node_id"))
+        joined = g.nodes.join(ids, "node_id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        edges = flows.written(g.edges)
+        witnesses = g.nodes.select("node_id", F.array("node_id").alias("path"))
+        guarded = flows.flow_guarded(witnesses, edges, g.nodes, g.nodes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert joined.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(dst#" not in guarded
+
+
+def test_guards_two_steps_away_and_flows_of_a_node_to_itself(spark):
+    nodes = spark.createDataFrame([("a", "/f", 1), ("g", "/f", 2), ("m", "/f", 3), ("z", "/f", 4), ("q", "/f", 5)], "node_id string, region string, ord int")
+    edges = spark.createDataFrame([("a", "a"), ("a", "m"), ("m", "g"), ("g", "g"), ("a", "z"), ("q", "q")], "src string, dst string")
+    witnesses = spark.createDataFrame([("z", ["a", "z"]), ("q", ["q"])], "node_id string, path array<string>")
+    got = flows.flow_guarded(witnesses, edges, nodes, nodes.where("node_id in ('g', 'q')")).collect()
+    assert [r.node_id for r in got] == ["z"]
