@@ -177,8 +177,6 @@ def flow_guarded(witnesses: DataFrame, edges: DataFrame, nodes: DataFrame, guard
     ids = guards.select("node_id").distinct()
     inner = places.where("at < n - 1").join(ids, "node_id", "left_semi").select("sink")
     regions = guards.where(S.text("region") != "").select(F.col("node_id").alias("guard"), F.col("region").alias("g_region"), F.col("ord").alias("g_ord"))
-    # dealt by dst once for both joins; a node's flow to itself leads to no other guard
-    edges = dealt(edges.select("src", "dst").where("src <> dst"), "dst", "back")
     one = edges.join(regions.select("guard"), F.col("dst") == F.col("guard")).select(F.col("src").alias("near"), "guard")
     two = edges.join(one, F.col("dst") == F.col("near")).select(F.col("src").alias("near"), "guard")
     near = one.union(two).where("near <> guard").distinct()
