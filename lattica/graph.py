@@ -12,15 +12,24 @@ from . import schema
 
 @dataclass(frozen=True)
 class Graph:
+    """``kinds``, where the writer of the graph knows them: for every concept that has labels the types of the nodes that carry it."""
+
     nodes: DataFrame
     edges: DataFrame
     labels: DataFrame
+    kinds: dict[str, tuple[str, ...]] | None = None
 
     # ---- scans
 
     def nodes_of_type(self, node_type: str) -> DataFrame:
         return self.nodes.where(F.col("node_type") == node_type)
 
+    def nodes_for(self, *concepts: str) -> DataFrame:
+        """The nodes on which labels of the concepts can stand; those of other types are left out where the types are known."""
+        if self.kinds is None:
+            return self.nodes
+        return self.nodes.where(F.col("node_type").isin(*sorted({t for c in concepts for t in self.kinds.get(c, ())})))
+
     def nodes_with_concept(self, *concepts: str) -> DataFrame:
         """Distinct node ids that carry one of the concepts."""
         return self.labels.where(F.col("concept").isin(*concepts)).select("node_id").distinct()
@@ -44,13 +53,13 @@ class Graph:
 
     def upsert_nodes(self, rows: DataFrame) -> Graph:
         """Rows replace nodes of the same id."""
-        return replace(self, nodes=self.nodes.join(rows, "node_id", "left_anti").unionByName(rows))
+        return replace(self, nodes=self.nodes.join(rows, "node_id", "left_anti").unionByName(rows), kinds=None)
 
     def append_edges(self, rows: DataFrame) -> Graph:
         return replace(self, edges=self.edges.unionByName(rows, allowMissingColumns=True))
 
     def append_labels(self, rows: DataFrame) -> Graph:
-        return replace(self, labels=self.labels.unionByName(rows, allowMissingColumns=True))
+        return replace(self, labels=self.labels.unionByName(rows, allowMissingColumns=True), kinds=None)
 
     def add_flows_if_present(self, candidates: DataFrame) -> Graph:
         """FLOWS edges of candidates (src, dst) whose ends both exist."""

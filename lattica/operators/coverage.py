@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regions as R
 from ..functions import scalars as S
+from ..storage import materialize
 
 PARTS = ("path", "endpoint", "sameReceiver", "sameScope", "dominates", "postDominates", "global")
 
@@ -46,6 +47,7 @@ def uncovered_dominates(candidates: DataFrame, guards: DataFrame) -> DataFrame:
 
 def uncovered_post_dominates(candidates: DataFrame, guards: DataFrame) -> DataFrame:
     """A check that runs later on every path covers; where either side has no regions, any check does."""
+    guards = materialize(guards.select("node_id", "region", "ord"), "guards")  # read three times
     bare = guards.where(~has_cfg()).select(F.col("node_id").alias("b_id"))
     some = guards.select(F.col("node_id").alias("b_id"))
     g = _g(guards.where(has_cfg()))

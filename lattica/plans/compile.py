@@ -34,12 +34,16 @@ class Compiler:
         return self.graph.nodes_with_concept(*self.ontology.descendants(concept))
 
     def nodes(self, concept: str) -> DataFrame:
-        return self.graph.nodes.join(self.ids(concept), "node_id", "left_semi")
+        return self.holders(concept).join(self.ids(concept), "node_id", "left_semi")
+
+    def holders(self, concept: str) -> DataFrame:
+        """The nodes that can carry the concept or one that refines it."""
+        return self.graph.nodes_for(*self.ontology.descendants(concept))
 
     def guards(self, control: str, part: str) -> DataFrame:
         names = self.ontology.descendants(control)
         labels = self.graph.labels.withColumn("concept", F.when(F.col("concept").isin(*names), control).otherwise(F.lit(None)))
-        return coverage.guards(self.graph.nodes, labels, control, part)
+        return coverage.guards(self.holders(control), labels, control, part)
 
     # ---- expressions
 
@@ -234,7 +238,7 @@ class Compiler:
         self.prepare([rule])
         runs, name = self.runs[self.policy(rule)]
         found = materialize(runs.witnesses(name, self.ids(b.concept)), "witnesses")
-        rows = self.graph.nodes.join(found.select("node_id", "path"), "node_id")
+        rows = self.holders(b.concept).join(found.select("node_id", "path"), "node_id")
         rows = self.where(rows, rule.where, {b.alias} - {""})
         rows = self.exceptions(rows, rule.unless)
         for part, control in rule.unless:
@@ -261,7 +265,7 @@ class Compiler:
         if not known:
             return rows
         first = findings.first_label(self.graph.labels, self.ontology.descendants(concept)).select(F.col("node_id").alias("source"), F.col("concept").alias("source_concept"))
-        named = self.graph.nodes.select(F.col("node_id").alias("source"), S.prop("name").alias("source_name"))
+        named = self.holders(concept).select(F.col("node_id").alias("source"), S.prop("name").alias("source_name"))
         rows = rows.join(first, "source", "left").join(named, "source", "left")
         review, ceiling = F.lit(None), F.lit(None)
         for c, meta in known.items():
@@ -272,14 +276,15 @@ class Compiler:
             ceiling = F.when(F.col("source_concept") == c, findings.CONFIDENCES.index(most) + 1).otherwise(ceiling)
         return rows.withColumn("review", review).withColumn("ceiling", ceiling.cast("int"))
 
-    def _found(self, rule: Rule, found: DataFrame) -> DataFrame:
+    def _found(self, rule: Rule, found: DataFrame, of_concept: bool = False) -> DataFrame:
+        """Nodes found, with their sources; of_concept: all of them carry the rule's second concept."""
         b = rule.ends[1]
-        rows = self.graph.nodes.join(found.select("source", F.col("target").alias("node_id")), "node_id")
+        rows = (self.holders(b.concept) if of_concept else self.graph.nodes).join(found.select("source", F.col("target").alias("node_id")), "node_id")
         return self.where(rows, rule.where, {b.alias, b.concept} - {""})
 
     def _reach(self, rule: Rule) -> DataFrame:
         a, b = (self.ids(e.concept) for e in rule.ends)
-        return self._found(rule, self._hops("NET", a, b))
+        return self._found(rule, self._hops("NET", a, b), of_concept=True)
 
     def _grant(self, rule: Rule) -> DataFrame:
         a, b = (self.ids(e.concept) for e in rule.ends)

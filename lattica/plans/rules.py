@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..sources import views
+from ..storage import dealt
 from . import lang
 from .catalog import CFG, FLOWS, NET, STEPS, guards, query
-from .compile import Compiler, pruned
+from .compile import Compiler, needed_concepts, pruned
 from .joins import DOMINATES
 
 TEXT = """
@@ -46,17 +47,20 @@ MODULE = lang.parse(TEXT)
 RULES = {r.name: r for r in MODULE.rules}
 ONTOLOGY = lang.ontology(MODULE)
 LEVELS = {"bronze": 1, "silver": 2, "gold": 3}
+CALLS = ("candidate", "check", "audit", "late")
+KINDS = {c: ("code.Call",) for c in CALLS} | {"Zone": ("org.Region",), "Buyer": ("party.Customer",), "User": ("party.Customer",), "Vendor": ("party.Supplier",), "Part": ("asset.Part",), "Order": ("event.Order",), "Blocked": ("event.Order",)}
 
 
-def graph(spark, d) -> Graph:
-    """All views as one graph; transitions are the turns of conversations."""
+def graph(spark, d, calls: bool = False) -> Graph:
+    """All views as one graph; transitions are the turns of conversations. ``calls``: calls are looked at, and dealt by node before."""
+    rows = dealt(views.cfg_rows(spark, d).select(views.call_id().alias("node_id"), "*"), "node_id", "lines") if calls else None
     base = views.nodes(spark, d).withColumn("ord", F.lit(None).cast("int"))
     for c in ("region", "scope", "method", "callee_path"):
         base = base.withColumn(c, F.lit(""))
     level = F.when(F.col("props")["balance"].cast("int") >= 5, "gold").otherwise("bronze")
     extra = F.when(F.col("node_type") == "party.Supplier", F.create_map(F.lit("priv_level"), level)).when(F.col("node_type") == "asset.Part", F.create_map(F.lit("asset_kinds"), F.col("props")["kind"]))
     base = base.withColumn("props", F.map_concat("props", F.coalesce(extra, F.create_map().cast("map<string,string>"))))
-    code = views.cfg(spark, d).drop("flag", "line", "okey").withColumn("props", F.create_map().cast("map<string,string>"))
+    code = views.cfg(spark, d, rows).drop("flag", "line", "okey").withColumn("props", F.create_map().cast("map<string,string>"))
     turns = views.table(spark, d, "conversations")
     state = turns.select(F.concat_ws(":", F.lit("T"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node_id"), F.lit("analysis.Transition").alias("node_type"), F.lit("").alias("loc"), F.create_map(F.lit("machine"), F.lit("chat"), F.lit("to"), F.col("role")).alias("props"))
     nodes = base.unionByName(code).unionByName(state, allowMissingColumns=True)
@@ -64,15 +68,16 @@ def graph(spark, d) -> Graph:
     typed = base.select("node_id", kind[F.col("node_type")].alias("concept")).where("concept is not null")
     users = base.where("node_type = 'party.Customer' and props['segment'] = 'MACHINERY'").select("node_id", F.lit("User").alias("concept"))
     blocked = base.where("node_type = 'event.Order' and props['priority'] = '1-URGENT'").select("node_id", F.lit("Blocked").alias("concept"))
-    late = views.cfg(spark, d).where("ord >= 4").select("node_id", F.lit("late").alias("concept"))
+    late = views.cfg(spark, d, rows).where("ord >= 4").select("node_id", F.lit("late").alias("concept"))
     plain = typed.union(users).union(blocked).union(late).select("*", F.lit("high").alias("confidence"), F.lit("semantic").alias("fidelity"), F.create_map().cast("map<string,string>").alias("detail"))
-    edges = views.net(spark, d).select("edge_type", "src", "dst", "proto").unionByName(views.steps(spark, d), allowMissingColumns=True).unionByName(views.flows(spark, d), allowMissingColumns=True)
-    return Graph(nodes, edges, views.cfg_labels(spark, d).unionByName(plain))
+    edges = views.net(spark, d, True).select("edge_type", "src", "dst", "proto").unionByName(views.steps(spark, d, True), allowMissingColumns=True).unionByName(views.flows(spark, d, True), allowMissingColumns=True)
+    return Graph(nodes, edges, views.cfg_labels(spark, d, rows).unionByName(plain), KINDS)
 
 
 def findings_of(name: str):
     def run(spark, d):
-        return Compiler(pruned(graph(spark, d), [RULES[name]], ONTOLOGY), ONTOLOGY, LEVELS).compile(RULES[name]).select("rule_id", "source", "node_id", "confidence", "fp")
+        calls = not needed_concepts([RULES[name]], ONTOLOGY).isdisjoint(CALLS)
+        return Compiler(pruned(graph(spark, d, calls), [RULES[name]], ONTOLOGY), ONTOLOGY, LEVELS).compile(RULES[name]).select("rule_id", "source", "node_id", "confidence", "fp")
 
     return run
 

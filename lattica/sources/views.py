@@ -45,7 +45,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").distinct()
 
 
-def net(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _distinct(rows: DataFrame, repeats: bool) -> DataFrame:
+    """Line items name an edge more than once; where edges are dealt anyway (storage.dealt), that takes the repeats out."""
+    return rows if repeats else rows.distinct()
+
+
+def net(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
     """edge_type NET, src, dst, rule, proto: region - nation - customer or supplier - part."""
     t = lambda n: table(spark, sf_dir, n)
     edge = lambda df, src, dst, rule, proto: df.select(src.alias("src"), dst.alias("dst"), F.lit(rule).alias("rule"), proto.alias("proto"))
@@ -54,31 +59,31 @@ def net(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("nation"), ident("R", "n_regionkey"), ident("N", "n_nationkey"), "region-nation", even("n_nationkey")),
         edge(t("customer"), ident("N", "c_nationkey"), ident("C", "c_custkey"), "nation-customer", F.when(F.col("c_custkey") % 3 == 0, "any").otherwise("tcp")),
         edge(t("supplier"), ident("N", "s_nationkey"), ident("S", "s_suppkey"), "nation-supplier", F.lit("tcp")),
-        edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), ident("S", "l_suppkey"), ident("P", "l_partkey"), "supplier-part", even("l_partkey")),
+        edge(_distinct(t("lineitem").select("l_suppkey", "l_partkey"), repeats), ident("S", "l_suppkey"), ident("P", "l_partkey"), "supplier-part", even("l_partkey")),
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("edge_type", F.lit("NET"))
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def steps(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
     """edge_type STEP, src, dst, ability: customer - order - supplier - nation."""
     t = lambda n: table(spark, sf_dir, n)
     edge = lambda df, src, dst, ability: df.select(src.alias("src"), dst.alias("dst"), ability.alias("ability"))
     parts = [
         edge(t("orders"), ident("C", "o_custkey"), ident("O", "o_orderkey"), F.concat(F.lit("order:"), F.col("o_orderstatus"))),
-        edge(t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").distinct(), ident("O", "l_orderkey"), ident("S", "l_suppkey"), F.concat(F.lit("ship:"), F.col("l_returnflag"), F.lit("*"))),
+        edge(_distinct(t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag"), repeats), ident("O", "l_orderkey"), ident("S", "l_suppkey"), F.concat(F.lit("ship:"), F.col("l_returnflag"), F.lit("*"))),
         edge(t("supplier"), ident("S", "s_suppkey"), ident("N", "s_nationkey"), F.lit("own")),
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("edge_type", F.lit("STEP"))
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flows(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
     """edge_type FLOWS, src, dst: customer - order - part or supplier - nation."""
     t = lambda n: table(spark, sf_dir, n)
     edge = lambda df, src, dst: df.select(src.alias("src"), dst.alias("dst"))
     parts = [
         edge(t("orders"), ident("C", "o_custkey"), ident("O", "o_orderkey")),
-        edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), ident("O", "l_orderkey"), ident("P", "l_partkey")),
-        edge(t("lineitem").select("l_orderkey", "l_suppkey").distinct(), ident("O", "l_orderkey"), ident("S", "l_suppkey")),
+        edge(_distinct(t("lineitem").select("l_orderkey", "l_partkey"), repeats), ident("O", "l_orderkey"), ident("P", "l_partkey")),
+        edge(_distinct(t("lineitem").select("l_orderkey", "l_suppkey"), repeats), ident("O", "l_orderkey"), ident("S", "l_suppkey")),
         edge(t("supplier"), ident("S", "s_suppkey"), ident("N", "s_nationkey")),
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("edge_type", F.lit("FLOWS"))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from lattica import storage
 from lattica.graph import Graph, Recording, new_labels
 from lattica.operators import flows, requirements, solve
-from lattica.plans import flowing
+from lattica.plans import flowing, rules
+from lattica.plans.compile import Compiler, pruned
+from lattica.sources import views
 
 from .test_engine import frame
 from .test_flows import edges
@@ -89,3 +91,40 @@ def test_guards_two_steps_away_and_flows_of_a_node_to_itself(spark):
     witnesses = spark.createDataFrame([("z", ["a", "z"]), ("q", ["q"])], "node_id string, path array<string>")
     got = flows.flow_guarded(witnesses, edges, nodes, nodes.where("node_id in ('g', 'q')")).collect()
     assert [r.node_id for r in got] == ["z"]
+
+
+def shuffles(spark, df):
+    """Exchanges of a plan without broadcasts."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        return df().select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_rules_read_only_nodes_that_can_carry_their_concepts(spark):
+    g = pruned(rules.graph(spark, "/root/testdata/sf0.001"), [rules.RULES["Near"]], rules.ONTOLOGY)
+    parts = Compiler(g, rules.ONTOLOGY, rules.LEVELS).nodes("Part")
+    text = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "part.parquet" in text or "p_partkey" in text
+    assert "l_orderkey" not in text and "o_orderkey" not in text and "c_custkey" not in text
+    every = Compiler(Graph(g.nodes, g.edges, g.labels), rules.ONTOLOGY, rules.LEVELS).nodes("Part")
+    assert sorted(r.node_id for r in parts.select("node_id").collect()) == sorted(r.node_id for r in every.select("node_id").collect()) != []
+
+
+def test_the_kinds_of_a_graph_name_all_its_labels(spark):
+    g = rules.graph(spark, "/root/testdata/sf0.001")
+    found = g.labels.join(g.nodes.select("node_id", "node_type"), "node_id").select("concept", "node_type").distinct().collect()
+    assert {(r.concept, r.node_type) for r in found} == {(c, t) for c, types in g.kinds.items() for t in types}
+    assert g.append_labels(g.labels.limit(0)).kinds is None
+
+
+def test_edges_that_are_dealt_are_not_made_distinct_before(spark):
+    d = "/root/testdata/sf0.001"
+    assert shuffles(spark, lambda: views.flows(spark, d, True)) == 0 < shuffles(spark, lambda: views.flows(spark, d))
+    once, more = (sorted(map(tuple, storage.dealt(views.flows(spark, d, r).select("src", "dst"), "src").collect())) for r in (False, True))
+    assert once == more
