@@ -5,7 +5,8 @@ node stands a bit mask: for every policy one bit for each rank, which says that
 a live flow from a source of that rank or a better one reaches the node. A
 round joins the frontier with the edges once for all policies, merges masks by
 ``bit_or``, takes off what the node's kills stop and what it had before, and
-writes what is new. So the depth at which the highest bit of a node came is the
+writes what is new, in buckets of the node as the edges are, so that a round
+shuffles only what it finds. So the depth at which the highest bit of a node came is the
 least depth from its best sources, however long the way; a better source wins
 over a nearer one.
 
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions import regions as R
 from ..functions import scalars as S
-from ..storage import dealt, materialize
+from ..storage import Growing, bucketed, dealt, materialize
 
-#: Ranks of a source are 0 to RANKS - 1; policies of a mask column (62 bits at most are used); rounds whose masks are merged into one table.
-RANKS, POLICIES, MERGE = 4, 15, 8
+#: Ranks of a source are 0 to RANKS - 1; policies of a mask column (62 bits at most are used).
+RANKS, POLICIES = 4, 15
 
 
 def written(edges: DataFrame) -> DataFrame:
@@ -40,6 +41,7 @@ class Runs:
     bits: DataFrame
     stops: DataFrame
     names: tuple[str, ...]
+    max_depth: int | None = None
 
     def _at(self, policy: str) -> tuple[str, int]:
         i = self.names.index(policy)
@@ -74,11 +76,20 @@ class Runs:
         return self.best(policy).join(sinks.select("node_id").distinct(), "node_id", "left_semi").join(self.stopped(policy), "node_id", "left_anti")
 
     def parents(self, policy: str) -> DataFrame:
-        """(node_id, parent): on the way from the best source, of the nodes before it the smallest id."""
-        best = materialize(self.best(policy), "best")
-        before = best.join(self.stopped(policy), "node_id", "left_anti").select(F.col("node_id").alias("parent"), F.col("rank").alias("p_rank"), F.col("depth").alias("p_depth"))
-        steps = self.edges.join(before, F.col("src") == F.col("parent")).join(best.where("depth > 0"), (F.col("dst") == F.col("node_id")) & (F.col("rank") == F.col("p_rank")) & (F.col("depth") == F.col("p_depth") + 1))
-        return steps.groupBy("node_id").agg(F.min("parent").alias("parent"))
+        """(node_id, parent): on the way from the best source, of the nodes before it the smallest id.
+
+        A node's best source is that of a live node before it, of the highest
+        rank, then of the least depth; so one grouping by the node finds it.
+        """
+        best = bucketed(self.best(policy), "node_id", "best")
+        before = best.join(self.stopped(policy), "node_id", "left_anti")
+        if self.max_depth is not None:
+            before = before.where(F.col("depth") < self.max_depth)
+        steps = self.edges.join(before, F.col("src") == F.col("node_id")).select("dst", F.struct((-F.col("rank")).alias("r"), F.col("depth").alias("d"), F.col("src").alias("p")).alias("step"))
+        first = steps.groupBy("dst").agg(F.min("step").alias("first"))
+        found = first.join(best.where("depth > 0"), F.col("dst") == F.col("node_id"))
+        # compared as differences, so that they don't become keys of the join, by which both sides would be shuffled
+        return found.where("rank + first.r = 0 and depth - first.d = 1").select("node_id", F.col("first.p").alias("parent"))
 
     def witnesses(self, policy: str, sinks: DataFrame) -> DataFrame:
         """(node_id, path, rank) of each tainted sink: from the best source to the sink."""
@@ -104,37 +115,23 @@ def run(edges: DataFrame, policies: dict[str, tuple[DataFrame, DataFrame]], max_
         b = kills.select("node_id", *mask(i, F.lit((1 << RANKS) - 1).cast("long")))
         starts, stops = (a, b) if starts is None else (starts.union(a), stops.union(b))
     merged = [F.bit_or(c).alias(c) for c in columns]
-    stops = materialize(stops.groupBy(F.col("node_id").alias("stop_id")).agg(*(F.bit_or(c).alias(f"s_{c}") for c in columns)), "kills")
+    stops = bucketed(stops.groupBy(F.col("node_id").alias("stop_id")).agg(*(F.bit_or(c).alias(f"s_{c}") for c in columns)), "stop_id", "kills")
     any_new = lambda: F.greatest(*(F.col(c) != 0 for c in columns)) if len(columns) > 1 else F.col(columns[0]) != 0
-    rounds = [materialize(starts.groupBy("node_id").agg(*merged).select("node_id", F.lit(0).alias("depth"), *columns), "flow")]
-    seen = [rounds[0].drop("depth")]
+    bits = Growing(starts.groupBy("node_id").agg(*merged).select("node_id", F.lit(0).alias("depth"), *columns), "node_id", "flow")
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        live = rounds[-1].join(stops, F.col("node_id") == F.col("stop_id"), "left")
+        seen = bits.table()
+        live = seen.where(F.col("depth") == depth - 1).join(stops, F.col("node_id") == F.col("stop_id"), "left")
         live = live.select("node_id", *(F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"s_{c}", F.lit(0)))).alias(c) for c in columns)).where(any_new())
         found = live.join(edges, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("node_id")).agg(*merged)
-        if len(seen) > MERGE:
-            seen = [materialize(_merge(seen, merged), "seen")]
-        known = _merge(seen, [F.bit_or(c).alias(f"k_{c}") for c in columns]).withColumnRenamed("node_id", "known_id")
+        known = seen.groupBy(F.col("node_id").alias("known_id")).agg(*(F.bit_or(c).alias(f"k_{c}") for c in columns))
         new = found.join(known, F.col("node_id") == F.col("known_id"), "left")
         new = new.select("node_id", F.lit(depth).alias("depth"), *(F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"k_{c}", F.lit(0)))).alias(c) for c in columns)).where(any_new())
-        new = materialize(new, "flow")
-        if new.isEmpty():
+        bits.add(new)
+        if bits.table().where(F.col("depth") == depth).isEmpty():
             break
-        rounds.append(new)
-        seen.append(new.drop("depth"))
-    bits = rounds[0]
-    for r in rounds[1:]:
-        bits = bits.unionByName(r)
-    return Runs(edges, bits, stops, tuple(policies))
-
-
-def _merge(tables: list[DataFrame], merged: list[Column]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.groupBy("node_id").agg(*merged)
+    return Runs(edges, bits.table(), stops, tuple(policies), max_depth)
 
 
 # ---- witness paths

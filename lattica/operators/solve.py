@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import action_matches
-from ..storage import dealt, materialize
+from ..storage import Growing, bucketed, dealt, materialize
 from .flows import witness_paths
 
 
@@ -30,29 +30,36 @@ def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, m
     With parents there is also the smallest node one step before (null for
     seeds): the round that finds a node has all of them, so that no node is
     joined with the edges that lead to it. Edges that are ``written`` come from
-    storage.dealt, by src, and are not written again.
+    storage.dealt, by src, and are not written again; others may repeat. Rounds
+    by node are written in buckets of it, so that only what a round finds is
+    shuffled; ``stop`` is made once.
     """
     key = ["source", "node_id"] if by_source else ["node_id"]
     start = seeds.select(*((F.col("node_id").alias("source"),) if by_source else ()), "node_id").distinct().withColumn("depth", F.lit(0))
     if parents:
         start = start.withColumn("parent", F.lit(None).cast("string"))
-    rounds = [materialize(start, "reach")]
+    # by source, one node (with very many sources) would be one task, so those rounds are not in buckets
+    rounds = [materialize(start, "reach")] if by_source else []
+    whole = None if by_source else Growing(start, "node_id", "reach")
     edges = edges if written else dealt(edges.select("src", "dst"), "src", "edges")
-    halted = stop.select("node_id").distinct() if stop is not None else None
+    halted = bucketed(stop.select("node_id").distinct(), "node_id", "stop") if stop is not None else None
     depth = 0
     while max_depth is None or depth < max_depth:
-        frontier = rounds[-1]
+        seen = _union(rounds) if by_source else whole.table()
+        frontier = rounds[-1] if by_source else seen.where(F.col("depth") == depth)
         if halted is not None and (depth or stop_seeds):
             frontier = frontier.join(halted, "node_id", "left_anti")
         depth += 1
         steps = frontier.join(edges, frontier.node_id == edges.src).select(*((F.col("source"),) if by_source else ()), F.col("dst").alias("node_id"), F.col("src").alias("parent"))
         found = steps.groupBy(*key).agg(F.min("parent").alias("parent")) if parents else steps.select(*key).distinct()
-        new = found.join(_union(rounds).select(*key), key, "left_anti").select(*key, F.lit(depth).alias("depth"), *(("parent",) if parents else ()))
-        new = materialize(new, "reach")
-        if new.isEmpty():
+        new = found.join(seen.select(*key), key, "left_anti").select(*key, F.lit(depth).alias("depth"), *(("parent",) if parents else ()))
+        if by_source:
+            rounds.append(materialize(new, "reach"))
+        else:
+            whole.add(new)
+        if (rounds[-1] if by_source else whole.table().where(F.col("depth") == depth)).isEmpty():
             break
-        rounds.append(new)
-    return _union(rounds)
+    return _union(rounds) if by_source else whole.table()
 
 
 def flow_reach(edges: DataFrame, sources: DataFrame, kills: DataFrame) -> DataFrame:
@@ -102,8 +109,9 @@ def hop_reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, protocol
     """(source, target, depth): targets at one hop or more; the search does not pass through a target. ``edges``: src, dst, proto."""
     if protocols:
         edges = edges.where(F.col("proto").isin("any", *protocols))
+    targets = materialize(targets.select("node_id").distinct(), "targets")
     reached = closure(edges, sources, targets, max_depth, by_source=True, stop_seeds=False)
-    return reached.where("depth > 0").join(targets.select("node_id").distinct(), "node_id", "left_semi").select("source", F.col("node_id").alias("target"), "depth")
+    return reached.where("depth > 0").join(targets, "node_id", "left_semi").select("source", F.col("node_id").alias("target"), "depth")
 
 
 def grant_closure(steps: DataFrame, sources: DataFrame, targets: DataFrame, levels: DataFrame | None = None, min_rank: int = 0, max_depth: int | None = None) -> DataFrame:

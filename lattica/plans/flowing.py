@@ -152,7 +152,7 @@ def _policy_sql(name: str, source: str, kill: str) -> str:
 def _(spark, d):
     """Three policies in one loop over the same edges."""
     t = lambda name, where, kind, key: views.table(spark, d, name).where(where).select(views.ident(kind, key).alias("node_id"))
-    runs = flows.run(flows.written(views.flows(spark, d)), {n: (t("customer", s, "C", "c_custkey"), t("orders", k, "O", "o_orderkey")) for n, (s, k) in POLICIES.items()})
+    runs = flows.run(flows.written(views.flows(spark, d, True)), {n: (t("customer", s, "C", "c_custkey"), t("orders", k, "O", "o_orderkey")) for n, (s, k) in POLICIES.items()})
     out = None
     for n in POLICIES:
         one = runs.reached(n).select(F.lit(n).alias("policy"), "node_id", "depth")
@@ -164,7 +164,7 @@ def _(spark, d):
 def _(spark, d):
     """The roles between principals and nations that they come to, from both ends."""
     nations = views.table(spark, d, "nation").select(views.ident("N", "n_nationkey").alias("node_id"))
-    chains = solve.grant_chains(views.steps(spark, d), vip(spark, d), nations, 4)
+    chains = solve.grant_chains(views.steps(spark, d, True), vip(spark, d), nations, 4)
     return chains.select("source", "resource", F.array_join(solve.via_roles(F.col("path")), ",").alias("via"))
 
 

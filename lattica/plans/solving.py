@@ -29,12 +29,12 @@ def sinks(spark, d):
 
 
 def reached(spark, d):
-    return materialize(solve.flow_reach(views.flows(spark, d), sources(spark, d), kills(spark, d)), "policy")
+    return materialize(solve.flow_reach(views.flows(spark, d, True), sources(spark, d), kills(spark, d)), "policy")
 
 
 @query("flow_reach", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH} SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY node_id")
 def _(spark, d):
-    return solve.flow_reach(views.flows(spark, d), sources(spark, d), kills(spark, d))
+    return solve.flow_reach(views.flows(spark, d, True), sources(spark, d), kills(spark, d))
 
 
 @query("taint_sinks", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH} SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM d WHERE node_id IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal < 2000) GROUP BY node_id")
@@ -72,13 +72,13 @@ def _(spark, d):
 @query("witness_depth", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH}, m AS (SELECT node_id, min(depth) AS depth FROM d GROUP BY node_id) SELECT t.node_id, min(p.node_id) AS parent FROM m t JOIN flows f ON f.dst = t.node_id JOIN m p ON p.node_id = f.src AND p.depth + 1 = t.depth AND p.node_id NOT IN (SELECT node_id FROM kills) WHERE t.node_id LIKE 'S:%' GROUP BY t.node_id")
 def _(spark, d):
     live = reached(spark, d).join(kills(spark, d), "node_id", "left_anti")
-    return solve.witness_parents(views.flows(spark, d).where("dst like 'S:%'"), live)
+    return solve.witness_parents(views.flows(spark, d, True).where("dst like 'S:%'"), live)
 
 
 @query("witness_path", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH}, w AS (SELECT f.dst AS node_id, min(f.src) AS parent FROM flows f JOIN d ON d.node_id = f.src WHERE f.dst LIKE 'S:%' AND f.src NOT IN (SELECT node_id FROM kills) GROUP BY f.dst) SELECT w.node_id, 'C:' || o_custkey || ' -> ' || parent || ' -> ' || w.node_id AS path FROM w JOIN orders ON parent = 'O:' || o_orderkey WHERE w.node_id IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal < 2000)")
 def _(spark, d):
     live = materialize(reached(spark, d).join(kills(spark, d), "node_id", "left_anti"), "live")
-    parents = materialize(solve.witness_parents(views.flows(spark, d), live), "parents")
+    parents = materialize(solve.witness_parents(views.flows(spark, d, True), live), "parents")
     paths = solve.witness_paths(parents, solve.taint_flows(live, sinks(spark, d), kills(spark, d)))
     return paths.select("node_id", F.array_join("path", " -> ").alias("path"))
 
@@ -87,14 +87,14 @@ def _(spark, d):
 def _(spark, d):
     regions = views.table(spark, d, "region").select(views.ident("R", "r_regionkey").alias("node_id"))
     parts = views.table(spark, d, "part").select(views.ident("P", "p_partkey").alias("node_id"))
-    return solve.hop_reach(views.net(spark, d), regions, parts)
+    return solve.hop_reach(views.net(spark, d, True), regions, parts)
 
 
 @query("hop_reach_protocols", f"WITH {NET}, t AS (SELECT * FROM net WHERE proto IN ('any', 'udp')), n1 AS (SELECT 'R:' || r_regionkey AS source, t.dst AS node FROM region JOIN t ON t.src = 'R:' || r_regionkey) SELECT DISTINCT source, t.dst AS target, 2 AS depth FROM n1 JOIN t ON t.src = node WHERE t.dst LIKE 'C:%'")
 def _(spark, d):
     regions = views.table(spark, d, "region").select(views.ident("R", "r_regionkey").alias("node_id"))
     customers = views.table(spark, d, "customer").select(views.ident("C", "c_custkey").alias("node_id"))
-    return solve.hop_reach(views.net(spark, d), regions, customers, ["udp"])
+    return solve.hop_reach(views.net(spark, d, True), regions, customers, ["udp"])
 
 
 def vip(spark, d):
@@ -108,13 +108,13 @@ VIP = "vip AS (SELECT 'C:' || c_custkey AS node_id FROM customer WHERE c_mktsegm
 def _(spark, d):
     named = spark.sql("select explode(array('N:1', 'N:2')) as node_id")
     rich = views.table(spark, d, "supplier").select(views.ident("S", "s_suppkey").alias("node_id"), F.when(F.col("s_acctbal") >= 5000, 3).otherwise(1).alias("rank"))
-    return solve.grant_closure(views.steps(spark, d), vip(spark, d), named, rich, min_rank=3)
+    return solve.grant_closure(views.steps(spark, d, True), vip(spark, d), named, rich, min_rank=3)
 
 
 @query("can_access", f"WITH {STEPS}, {VIP}, o AS (SELECT DISTINCT node_id AS source, dst AS node FROM vip JOIN steps ON src = node_id) SELECT DISTINCT source, dst AS resource, 2 AS depth FROM o JOIN steps ON src = node WHERE ability = 'ship:R*' AND dst LIKE 'S:%'")
 def _(spark, d):
     suppliers = views.table(spark, d, "supplier").select(views.ident("S", "s_suppkey").alias("node_id"))
-    return solve.can_access(views.steps(spark, d), vip(spark, d), suppliers, "ship:Return")
+    return solve.can_access(views.steps(spark, d, True), vip(spark, d), suppliers, "ship:Return")
 
 
 @query("via_roles", f"WITH {STEPS}, {VIP} SELECT a.src AS source, b.dst AS resource, min(a.dst) AS via FROM vip JOIN steps a ON a.src = node_id JOIN steps b ON b.src = a.dst GROUP BY a.src, b.dst")
@@ -127,7 +127,7 @@ def _(spark, d):
 
 @query("bfs_khop", f"WITH RECURSIVE {NET}, k(node_id, depth) AS (SELECT 'R:0', 0 UNION SELECT dst, depth + 1 FROM k JOIN net ON src = node_id WHERE depth < 2) SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM k GROUP BY node_id")
 def _(spark, d):
-    return solve.closure(views.net(spark, d), spark.sql("select 'R:0' as node_id"), max_depth=2)
+    return solve.closure(views.net(spark, d, True), spark.sql("select 'R:0' as node_id"), max_depth=2)
 
 
 CHAIN = "chain AS (SELECT 'E:' || event_id AS src, 'E:' || next AS dst FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events) WHERE next IS NOT NULL)"
@@ -146,18 +146,18 @@ def _(spark, d):
 @query("trace_shortest", f"WITH RECURSIVE {FLOWS}, {VIP}, t(source, node_id, depth) AS (SELECT node_id, node_id, 0 FROM vip UNION SELECT source, dst, depth + 1 FROM t JOIN flows ON src = node_id WHERE depth < 4) SELECT source, CAST(min(depth) AS INTEGER) AS depth FROM t WHERE depth > 0 AND (node_id LIKE 'N:1%' OR node_id IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal < 2000)) GROUP BY source")
 def _(spark, d):
     ends = views.table(spark, d, "nation").where("cast(n_nationkey as string) like '1%'").select(views.ident("N", "n_nationkey").alias("node_id")).union(sinks(spark, d))
-    return solve.trace_shortest(views.flows(spark, d), vip(spark, d), ends)
+    return solve.trace_shortest(views.flows(spark, d, True), vip(spark, d), ends)
 
 
 @query("trace_frontier", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH}, m AS (SELECT node_id, min(depth) AS depth FROM d GROUP BY node_id) SELECT node_id, CAST(depth AS INTEGER) AS depth FROM (SELECT * FROM m WHERE (node_id LIKE 'P:%') OR (depth > 0 AND node_id IN (SELECT node_id FROM kills)) ORDER BY depth, node_id LIMIT 12)")
 def _(spark, d):
     parts = views.table(spark, d, "part").select(views.ident("P", "p_partkey").alias("node_id"))
-    return solve.trace_frontier(views.flows(spark, d), reached(spark, d), kills(spark, d), parts)
+    return solve.trace_frontier(views.flows(spark, d, True), reached(spark, d), kills(spark, d), parts)
 
 
 @query("graph_taint_dump", f"WITH {FLOWS}, {VIP}, o AS (SELECT DISTINCT node_id AS source, dst FROM vip JOIN flows ON src = node_id) SELECT source, count(*) AS n_labelled FROM o WHERE dst IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY source")
 def _(spark, d):
-    r = solve.closure(views.flows(spark, d), vip(spark, d), by_source=True)
+    r = solve.closure(views.flows(spark, d, True), vip(spark, d), by_source=True)
     return r.where("depth > 0").join(kills(spark, d), "node_id", "left_semi").groupBy("source").agg(F.count("*").alias("n_labelled"))
 
 
@@ -208,7 +208,7 @@ def _(spark, d):
 def _(spark, d):
     """Every result names a source and a target and has a witness of one step or more."""
     suppliers = views.table(spark, d, "supplier").select(views.ident("S", "s_suppkey").alias("node_id"))
-    r = solve.can_access(views.steps(spark, d), vip(spark, d), suppliers, "ship:Return")
+    r = solve.can_access(views.steps(spark, d, True), vip(spark, d), suppliers, "ship:Return")
     return r.agg(F.count(F.when((S.text("source") == "") | (S.text("resource") == "") | (F.col("depth") < 1), 1)).alias("violations")).select(F.lit("can_access").alias("solver"), "violations")
 
 

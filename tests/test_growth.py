@@ -106,6 +106,22 @@ def shuffles(spark, df):
             spark.conf.set(k, v)
 
 
+def test_rounds_of_a_loop_are_one_table_and_not_shuffled(spark):
+    rounds = storage.Growing(frame(spark, ["a", "b"]).withColumn("depth", F.lit(0)), "node_id", "rounds")
+    rounds.add(frame(spark, ["c"]).withColumn("depth", F.lit(1)))
+    assert sorted(map(tuple, rounds.table().collect())) == [("a", 0), ("b", 0), ("c", 1)]
+    found = lambda: frame(spark, ["b", "d"]).distinct().join(rounds.table().select("node_id"), "node_id", "left_anti")
+    assert shuffles(spark, found) == 1
+    assert [r.node_id for r in found().collect()] == ["d"]
+
+
+def test_parents_of_a_run_are_shuffled_once(spark):
+    sources = spark.createDataFrame([("a", 0), ("x", 2)], "node_id string, rank int")
+    r = flows.run(flows.written(edges(spark, "a>b x>y y>b b>c z>c x>a k>c x>k")), {"p": (sources, frame(spark, ["k"]))})
+    assert {(p.node_id, p.parent) for p in r.parents("p").collect()} == {("y", "x"), ("a", "x"), ("k", "x"), ("b", "a"), ("c", "b")}
+    assert shuffles(spark, lambda: r.parents("p")) == 1
+
+
 def test_rules_read_only_nodes_that_can_carry_their_concepts(spark):
     g = pruned(rules.graph(spark, "/root/testdata/sf0.001"), [rules.RULES["Near"]], rules.ONTOLOGY)
     parts = Compiler(g, rules.ONTOLOGY, rules.LEVELS).nodes("Part")
