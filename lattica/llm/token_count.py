@@ -37,4 +37,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, id_c
 
         return count
 
-    return map_columns(docs, schema, make)
+    return map_columns(docs, schema, make, keeps=True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import fresh_path, id_and_text, map_columns, materialize
+from .common import drop_held, fresh_path, id_and_text, map_columns, materialize
 from .vocabulary import load
 
 SKIPPABLE, SEEK_MAGIC, TABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1, b"LTDOCS01"
@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary_path: str, end_i
         write.finish = finish
         return write
 
-    return materialize(map_columns(dealt, MANIFEST, make), "token-manifest")
+    return materialize(map_columns(dealt, MANIFEST, make, keeps=True), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
@@ -175,6 +175,7 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) ->
     def run(batches):
         import pyarrow as pa
 
+        drop_held()
         store, folder = filesystem(out_dir)
         for b in batches:
             for path, base in zip(*(c.to_pylist() for c in b.columns)):

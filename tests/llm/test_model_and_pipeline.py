@@ -116,3 +116,22 @@ def test_repeated_ids_do_not_displace_other_labels(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i != ids[0])) for i in ids], "doc_id long, quality int")
     quality_model.fit(docs, labels, max_rows=6)
     assert seen == [[0.0] + [1.0] * 5]
+
+
+def test_a_worker_drops_the_vocabulary_when_another_operator_comes(spark):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from lattica.llm import token_count, vocabulary
+    from lattica.llm.common import map_columns
+    from lattica.llm.queries import vocabulary_path
+
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    assert token_count.count_tokens(docs, vocabulary_path()).count() == 40
+
+    def make():
+        return lambda ids: {"held": [vocabulary.load.cache_info().currsize] * len(ids)}
+
+    held = map_columns(docs.select("doc_id"), StructType([StructField("held", LongType())]), make)
+    assert {r.held for r in held.collect()} == {0}
+    again = token_count.count_tokens(docs, vocabulary_path())
+    assert again.where("n_tokens >= 3").count() == 40
