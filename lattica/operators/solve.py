@@ -31,40 +31,35 @@ def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, m
     seeds): the round that finds a node has all of them, so that no node is
     joined with the edges that lead to it. Edges that are ``written`` come from
     storage.dealt, by src, and are not written again; others may repeat. Rounds
-    by node are written in buckets of it, so that only what a round finds is
-    shuffled; ``stop`` is made once.
+    are written in buckets of the node (of source and node, so that one node
+    with very many sources is not one task), so that what is visited is not
+    shuffled again; ``stop`` is made once.
     """
     key = ["source", "node_id"] if by_source else ["node_id"]
     start = seeds.select(*((F.col("node_id").alias("source"),) if by_source else ()), "node_id").distinct().withColumn("depth", F.lit(0))
     if parents:
         start = start.withColumn("parent", F.lit(None).cast("string"))
-    # by source, one node (with very many sources) would be one task, so those rounds are not in buckets
-    rounds = [materialize(start, "reach")] if by_source else []
-    whole = None if by_source else Growing(start, "node_id", "reach")
+    whole = Growing(start, key, "reach")
     edges = edges if written else dealt(edges.select("src", "dst"), "src", "edges")
     halted = bucketed(stop.select("node_id").distinct(), "node_id", "stop") if stop is not None else None
     depth = 0
     while max_depth is None or depth < max_depth:
-        seen = _union(rounds) if by_source else whole.table()
-        frontier = rounds[-1] if by_source else seen.where(F.col("depth") == depth)
+        seen = whole.table()
+        frontier = seen.where(F.col("depth") == depth)
         if halted is not None and (depth or stop_seeds):
             frontier = frontier.join(halted, "node_id", "left_anti")
         depth += 1
         steps = frontier.join(edges, frontier.node_id == edges.src).select(*((F.col("source"),) if by_source else ()), F.col("dst").alias("node_id"), F.col("src").alias("parent"))
         found = steps.groupBy(*key).agg(F.min("parent").alias("parent")) if parents else steps.select(*key).distinct()
-        new = found.join(seen.select(*key), key, "left_anti").select(*key, F.lit(depth).alias("depth"), *(("parent",) if parents else ()))
-        if by_source:
-            rounds.append(materialize(new, "reach"))
-        else:
-            whole.add(new)
-        if (rounds[-1] if by_source else whole.table().where(F.col("depth") == depth)).isEmpty():
+        whole.add(found.join(seen.select(*key), key, "left_anti").select(*key, F.lit(depth).alias("depth"), *(("parent",) if parents else ())))
+        if whole.table().where(F.col("depth") == depth).isEmpty():
             break
-    return _union(rounds) if by_source else whole.table()
+    return whole.table()
 
 
-def flow_reach(edges: DataFrame, sources: DataFrame, kills: DataFrame) -> DataFrame:
+def flow_reach(edges: DataFrame, sources: DataFrame, kills: DataFrame, parents: bool = False, written: bool = False) -> DataFrame:
     """Multi-source reach over flows. A kill node is reached, not passed, also where it is a source itself."""
-    return closure(edges, sources, kills)
+    return closure(edges, sources, kills, parents=parents, written=written)
 
 
 def taint_flows(reached: DataFrame, sinks: DataFrame, kills: DataFrame) -> DataFrame:
@@ -123,8 +118,10 @@ def grant_closure(steps: DataFrame, sources: DataFrame, targets: DataFrame, leve
 
 def can_access(steps: DataFrame, principals: DataFrame, resources: DataFrame, action: str, max_depth: int | None = None) -> DataFrame:
     """(source, resource, depth): the last step's ability covers the action. The search goes on through resources. ``steps``: src, dst, ability."""
-    reached = closure(steps, principals, None, max_depth, by_source=True)
-    last = steps.where(action_matches(F.col("ability"), F.lit(action))).select("src", "dst").distinct()
+    # dealt once with what the last step needs; a step of several abilities is met more than once and found once
+    steps = dealt(steps.select("src", "dst", action_matches(F.col("ability"), F.lit(action)).alias("fits")), "src", "edges")
+    reached = closure(steps, principals, None, max_depth, by_source=True, written=True)
+    last = steps.where("fits").select("src", "dst")
     if max_depth is not None:
         reached = reached.where(F.col("depth") < max_depth)
     hit = reached.join(last, F.col("node_id") == F.col("src")).join(resources.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi")

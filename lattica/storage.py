@@ -36,19 +36,19 @@ def dealt(df: DataFrame, key: str, what: str = "table") -> DataFrame:
 
 
 class Growing:
-    """A table in buckets of a key that a loop adds its rounds to: one scan has all of them, and none is shuffled in joins on the key.
+    """A table in buckets of a key (of one column or more) that a loop adds its rounds to: one scan has all of them, and none is shuffled in joins on the key.
 
     (A union of tables loses their buckets as soon as a filter stands above one.)
     """
 
-    def __init__(self, rows: DataFrame, key: str, what: str = "table"):
-        self.spark, self.key = rows.sparkSession, key
+    def __init__(self, rows: DataFrame, key: str | list[str], what: str = "table"):
+        self.spark, self.key = rows.sparkSession, [key] if isinstance(key, str) else key
         self.buckets, self.name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"lattica_{what}_{uuid.uuid4().hex}"
         self.add(rows)
 
     def add(self, rows: DataFrame) -> None:
         """Rows that a join or a grouping by the key has left where they belong are not shuffled."""
-        rows.write.mode("append").bucketBy(self.buckets, self.key).option("path", f"{shared_dir(self.spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
+        rows.write.mode("append").bucketBy(self.buckets, *self.key).option("path", f"{shared_dir(self.spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)

@@ -144,3 +144,33 @@ def test_edges_that_are_dealt_are_not_made_distinct_before(spark):
     assert shuffles(spark, lambda: views.flows(spark, d, True)) == 0 < shuffles(spark, lambda: views.flows(spark, d))
     once, more = (sorted(map(tuple, storage.dealt(views.flows(spark, d, r).select("src", "dst"), "src").collect())) for r in (False, True))
     assert once == more
+
+
+def test_rounds_by_source_are_not_shuffled_to_tell_what_is_new(spark):
+    reached = solve.closure(edges(spark, "a>b b>c c>a d>c"), frame(spark, ["a", "d"]), by_source=True)
+    found = lambda: spark.createDataFrame([("a", "c"), ("b", "c")], "source string, node_id string").distinct().join(reached.select("source", "node_id"), ["source", "node_id"], "left_anti")
+    assert shuffles(spark, found) == 1
+    assert [tuple(r) for r in found().collect()] == [("b", "c")]
+
+
+def test_the_last_step_of_an_access_is_read_from_the_dealt_steps(spark):
+    steps = spark.createDataFrame([("u", "r", "assume"), ("r", "x", "s3:*"), ("r", "x", "s3:Get*"), ("r", "x", "own"), ("r", "y", "own"), ("u", "y", None), ("x", "z", "s3:*")], "src string, dst string, ability string")
+    access = lambda: solve.can_access(steps, frame(spark, ["u"]), frame(spark, ["x", "y", "z"]), "s3:GetObject")
+    assert sorted(map(tuple, access().collect())) == [("u", "x", 2), ("u", "z", 3)]
+    # what was reached, the resources, the steps that fit (by dst and src, as the resources go down to them), the result; the steps are not made distinct again
+    assert shuffles(spark, access) <= 5
+
+
+def test_the_run_names_the_parents_of_its_witnesses(spark):
+    assert shuffles(spark, lambda: solving_query("witness_depth")(spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_the_frontier_of_a_trace_is_told_from_the_dealt_flows(spark):
+    # calls, labels and the distinct rows; neither flows nor rounds
+    assert shuffles(spark, lambda: solving_query("trace_frontier")(spark, "/root/testdata/sf0.001")) <= 3
+
+
+def solving_query(name):
+    from lattica.plans import catalog
+
+    return catalog.queries()[name]
