@@ -71,8 +71,9 @@ def _(spark, d):
 
 @query("witness_depth", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH}, m AS (SELECT node_id, min(depth) AS depth FROM d GROUP BY node_id) SELECT t.node_id, min(p.node_id) AS parent FROM m t JOIN flows f ON f.dst = t.node_id JOIN m p ON p.node_id = f.src AND p.depth + 1 = t.depth AND p.node_id NOT IN (SELECT node_id FROM kills) WHERE t.node_id LIKE 'S:%' GROUP BY t.node_id")
 def _(spark, d):
-    live = reached(spark, d).join(kills(spark, d), "node_id", "left_anti")
-    return solve.witness_parents(views.flows(spark, d, True).where("dst like 'S:%'"), live)
+    # the round that finds a node names its smallest live predecessor
+    found = solve.flow_reach(views.flows(spark, d, True), sources(spark, d), kills(spark, d), parents=True)
+    return found.where("node_id like 'S:%' and parent is not null").select("node_id", "parent")
 
 
 @query("witness_path", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH}, w AS (SELECT f.dst AS node_id, min(f.src) AS parent FROM flows f JOIN d ON d.node_id = f.src WHERE f.dst LIKE 'S:%' AND f.src NOT IN (SELECT node_id FROM kills) GROUP BY f.dst) SELECT w.node_id, 'C:' || o_custkey || ' -> ' || parent || ' -> ' || w.node_id AS path FROM w JOIN orders ON parent = 'O:' || o_orderkey WHERE w.node_id IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_acctbal < 2000)")
