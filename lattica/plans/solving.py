@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import solve
 from ..sources import views
-from ..storage import materialize
+from ..storage import dealt, materialize
 from .catalog import FLOWS, NET, STEPS, query
 
 SOURCES = "sources AS (SELECT 'C:' || c_custkey AS node_id FROM customer WHERE c_mktsegment = 'BUILDING')"
@@ -153,7 +153,9 @@ def _(spark, d):
 @query("trace_frontier", f"WITH RECURSIVE {FLOWS}, {SOURCES}, {KILLS}, {DEPTH}, m AS (SELECT node_id, min(depth) AS depth FROM d GROUP BY node_id) SELECT node_id, CAST(depth AS INTEGER) AS depth FROM (SELECT * FROM m WHERE (node_id LIKE 'P:%') OR (depth > 0 AND node_id IN (SELECT node_id FROM kills)) ORDER BY depth, node_id LIMIT 12)")
 def _(spark, d):
     parts = views.table(spark, d, "part").select(views.ident("P", "p_partkey").alias("node_id"))
-    return solve.trace_frontier(views.flows(spark, d, True), reached(spark, d), kills(spark, d), parts)
+    # the run's own edges and rounds: neither is shuffled to tell which nodes have no way on
+    edges = dealt(views.flows(spark, d, True).select("src", "dst"), "src", "edges")
+    return solve.trace_frontier(edges, solve.flow_reach(edges, sources(spark, d), kills(spark, d), written=True), kills(spark, d), parts)
 
 
 @query("graph_taint_dump", f"WITH {FLOWS}, {VIP}, o AS (SELECT DISTINCT node_id AS source, dst FROM vip JOIN flows ON src = node_id) SELECT source, count(*) AS n_labelled FROM o WHERE dst IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY source")
